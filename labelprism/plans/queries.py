@@ -84,3 +84,260 @@ def q_term_log_odds(spark, sf):
     """The complete label × term presence log-odds table."""
     s = assoc.term_log_odds(_doc_tokens(spark, sf), "doc_id", "label", "tokens")
     return s.select("label", "term", "a", "df", rnd("score").alias("score"))
+
+
+# ------------------------------------------------------------------ sources
+from labelprism.functions.columns import WS_CLASS  # noqa: E402
+from labelprism.functions.lexicon import LEMMA_PAIRS, NUMBER_WORDS, STOP_WORDS, lemma_table, stopword_table  # noqa: E402
+from labelprism.operators import clean, evaluate, vectors  # noqa: E402
+from labelprism.sources import tables  # noqa: E402
+
+_WS_SQL = WS_CLASS
+
+
+@register("read_documents", "SELECT doc_id, lang, source, n_chars FROM documents")
+def q_read_documents(spark, sf):
+    """Typed scan with a pruned column list."""
+    return read_table(spark, table_path(sf, "documents"),
+                      schema="doc_id long, text string, lang string, source string, n_chars long",
+                      columns=["doc_id", "lang", "source", "n_chars"])
+
+
+@register("union_splits", """
+SELECT doc_id, NULL::BIGINT AS item_id, text AS Sentence, lang AS Label, source FROM documents WHERE lang = 'en'
+UNION ALL
+SELECT doc_id, NULL::BIGINT, text, lang, source FROM documents WHERE lang IS DISTINCT FROM 'en'
+UNION ALL
+SELECT NULL::BIGINT, item_id, text, NULL, NULL FROM benchmark""")
+def q_union_splits(spark, sf):
+    """Union splits with differing columns, then canonical names."""
+    docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
+    en = docs.where(F.col("lang") == "en")
+    rest = docs.where(~F.col("lang").eqNullSafe("en"))
+    bench = load(spark, sf, "benchmark", ["item_id", "text"])
+    u = tables.rename(tables.union_splits([en, rest, bench]), {"text": "Sentence", "lang": "Label", "labels": "Label"})
+    return u.select("doc_id", "item_id", "Sentence", "Label", "source")
+
+
+@register("debug_head", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 5")
+def q_debug_head(spark, sf):
+    """Preview the first 5 rows by key (top-k)."""
+    return tables.debug_head(load(spark, sf, "documents", ["doc_id", "lang", "source"]), 5, "doc_id")
+
+
+@register("profile_embeddings", """
+SELECT count(*) AS n_rows, 3::BIGINT AS n_columns, count(DISTINCT label) AS n_classes,
+       min(len(embedding))::BIGINT AS min_width, max(len(embedding))::BIGINT AS max_width
+FROM embeddings""")
+def q_profile_embeddings(spark, sf):
+    """Rows, columns, classes, vector width in one aggregate."""
+    return tables.profile(load(spark, sf, "embeddings"), label="label", vector="embedding")
+
+
+# ------------------------------------------------------------------ cleaning
+@register("drop_null_rows", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE d.text IS NOT NULL AND l.quality IS NOT NULL""")
+def q_drop_null_rows(spark, sf):
+    """Rows null in the text or the (joined) label are dropped."""
+    docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
+    labs = load(spark, sf, "labels")
+    joined = docs.join(labs, "doc_id", "left")
+    return clean.drop_null_rows(joined, ["text", "quality"]).select("doc_id", "lang", "quality", "toxic")
+
+
+@register("cleaning_report_empty", """
+SELECT role, count(*) AS rows_in,
+       count(*) FILTER (WHERE length(coalesce(text, '')) = 0) AS rows_removed,
+       count(*) FILTER (WHERE length(coalesce(text, '')) > 0) AS rows_kept
+FROM conversations GROUP BY role""")
+def q_cleaning_report_empty(spark, sf):
+    """Fill null text, drop empty, audit per role."""
+    conv = load(spark, sf, "conversations", ["role", "text"])
+    return clean.cleaning_report(conv, "text", "empty", ["role"])
+
+
+@register("cleaning_report_blank", f"""
+SELECT lang, count(*) AS rows_in,
+       count(*) FILTER (WHERE NOT coalesce(regexp_matches(text, '[^{_WS_SQL[1:-1]}]'), false)) AS rows_removed,
+       count(*) FILTER (WHERE coalesce(regexp_matches(text, '[^{_WS_SQL[1:-1]}]'), false)) AS rows_kept
+FROM documents GROUP BY lang""")
+def q_cleaning_report_blank(spark, sf):
+    """Drop null or whitespace-only text, audit per language."""
+    docs = load(spark, sf, "documents", ["lang", "text"])
+    return clean.cleaning_report(docs, "text", "blank", ["lang"])
+
+
+# ------------------------------------------------------------------ text
+@register("tokens_ws", f"""
+WITH t AS (SELECT conv_id, turn,
+                  list_filter(regexp_split_to_array(text, '{_WS_SQL}+'), lambda x: x <> '') AS toks
+           FROM conversations)
+SELECT conv_id, turn, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS token FROM t""")
+def q_tokens_ws(spark, sf):
+    """Whitespace tokens with their position, case kept."""
+    conv = text.add_ws_tokens(load(spark, sf, "conversations", ["conv_id", "turn", "text"]), "text")
+    return conv.select("conv_id", "turn", F.posexplode("tokens").alias("pos", "token")) \
+               .withColumn("pos", F.col("pos").cast("long"))
+
+
+_WORDS_SQL = f"regexp_extract_all(lower(text), '{_WORD_SQL}', 1)"
+
+
+@register("bag_of_words", f"""
+SELECT doc_id, term, count(*) AS tf
+FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) GROUP BY doc_id, term""")
+def q_bag_of_words(spark, sf):
+    """Word tokens → (doc, term, tf)."""
+    return text.bag_of_words(_doc_tokens(spark, sf), "doc_id", "tokens")
+
+
+@register("dictionary", f"""
+SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_id
+FROM (SELECT DISTINCT unnest({_WORDS_SQL}) AS term FROM documents)""")
+def q_dictionary(spark, sf):
+    """Corpus dictionary, dense ids in code-point order."""
+    toks = text.explode_tokens(_doc_tokens(spark, sf), "doc_id", "tokens", pos=None)
+    return text.dictionary(toks)
+
+
+_VOCAB_SQL = f"""
+pres AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS term FROM documents),
+vocab AS (SELECT term, count(*) AS df FROM pres GROUP BY term
+          HAVING count(*) >= 7 AND count(*) <= 0.8 * (SELECT count(*) FROM documents))"""
+
+
+@register("vocabulary", f"WITH {_VOCAB_SQL} SELECT term, df FROM vocab")
+def q_vocabulary(spark, sf):
+    """Terms in at least 7 documents and at most 80 % of them."""
+    return text.vocabulary(_doc_tokens(spark, sf), "doc_id", "tokens", 7, 0.8)
+
+
+@register("count_vectorise", f"""
+WITH {_VOCAB_SQL},
+bow AS (SELECT doc_id, term, count(*) AS tf
+        FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) GROUP BY doc_id, term)
+SELECT doc_id, term, tf FROM bow WHERE term IN (SELECT term FROM vocab)""")
+def q_count_vectorise(spark, sf):
+    """Bag of words restricted to the df-limited vocabulary."""
+    docs = _doc_tokens(spark, sf)
+    return text.count_vectorise(text.bag_of_words(docs, "doc_id", "tokens"),
+                                text.vocabulary(docs, "doc_id", "tokens", 7, 0.8))
+
+
+@register("term_presence", f"SELECT DISTINCT doc_id, unnest({_WORDS_SQL}) AS term FROM documents")
+def q_term_presence(spark, sf):
+    """(document, term) presence, whole vocabulary."""
+    return text.term_presence(_doc_tokens(spark, sf), "doc_id", "tokens")
+
+
+@register("length_stats", f"""
+WITH t AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '{_WS_SQL}+'), lambda x: x <> '')) AS n
+           FROM documents)
+SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS total_words, round(avg(n::DOUBLE), 6) AS mean_words
+FROM t GROUP BY lang""")
+def q_length_stats(spark, sf):
+    """Words per document (whitespace tokens): count and mean per language."""
+    docs = text.add_ws_tokens(load(spark, sf, "documents", ["lang", "text"]), "text")
+    s = text.length_stats(docs, "tokens", ["lang"])
+    return s.withColumn("mean_words", rnd("mean_words"))
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_STOP_ALL = sorted(set(STOP_WORDS) | set(NUMBER_WORDS))
+
+
+@register("normalise_text", f"""
+WITH stop(form) AS (VALUES {_values([(w,) for w in _STOP_ALL])}),
+lem(form, lemma) AS (VALUES {_values(LEMMA_PAIRS)}),
+r AS (SELECT doc_id, regexp_extract_all(text, '{text.ALNUM_RUN}') AS r FROM documents),
+toks AS (SELECT doc_id, unnest(generate_series(1, len(r))) AS pos, unnest(r) AS w FROM r),
+f AS (SELECT doc_id, pos, w, lower(w) AS lw FROM toks WHERE regexp_full_match(w, '\\p{{L}}+'))
+SELECT doc_id, string_agg(coalesce(lem.lemma, f.w), ' ' ORDER BY pos) AS norm_text
+FROM f LEFT JOIN lem ON lem.form = f.lw
+WHERE f.lw NOT IN (SELECT form FROM stop)
+GROUP BY doc_id""")
+def q_normalise_text(spark, sf):
+    """Alphabetic, non-stop, non-number tokens reduced to lemmas."""
+    docs = load(spark, sf, "documents", ["doc_id", "text"])
+    return text.normalise_text(docs, "doc_id", "text", stopword_table(spark), lemma_table(spark))
+
+
+# ------------------------------------------------------------------ associations
+@register("label_distribution", """
+SELECT lang AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct
+FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
+def q_label_distribution(spark, sf):
+    """Label counts and shares."""
+    docs = load(spark, sf, "documents", ["lang"]).withColumnRenamed("lang", "label")
+    return assoc.label_distribution(docs, "label").withColumn("pct", rnd("pct"))
+
+
+@register("crosstab", """
+WITH b AS (SELECT * FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT l.lang, s.source, count(b.doc_id) AS n
+FROM (SELECT DISTINCT lang FROM b) l CROSS JOIN (SELECT DISTINCT source FROM b) s
+LEFT JOIN b ON b.lang = l.lang AND b.source = s.source
+GROUP BY l.lang, s.source""")
+def q_crosstab(spark, sf):
+    """Complete language × source count grid, zero cells included."""
+    return assoc.crosstab(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
+
+
+@register("deviation", """
+WITH b AS (SELECT * FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+g AS (SELECT s.source, l.lang, count(b.doc_id) AS n
+      FROM (SELECT DISTINCT source FROM b) s CROSS JOIN (SELECT DISTINCT lang FROM b) l
+      LEFT JOIN b ON b.source = s.source AND b.lang = l.lang GROUP BY s.source, l.lang),
+gl AS (SELECT lang, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS global_pct
+       FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+r AS (SELECT g.*, coalesce(n * 100.0::DOUBLE / nullif(sum(n) OVER (PARTITION BY source), 0), 0.0) AS row_pct FROM g)
+SELECT r.source, r.lang, r.n, round(r.row_pct, 6) AS row_pct, round(coalesce(gl.global_pct, 0.0), 6) AS global_pct,
+       round(r.row_pct - coalesce(gl.global_pct, 0.0), 6) AS deviation
+FROM r LEFT JOIN gl ON gl.lang = r.lang""")
+def q_deviation(spark, sf):
+    """Row % of each language per source and its deviation from the global %."""
+    d = assoc.deviation(load(spark, sf, "documents", ["source", "lang"]), "source", "lang")
+    return d.select("source", "lang", "n", rnd("row_pct").alias("row_pct"),
+                    rnd("global_pct").alias("global_pct"), rnd("deviation").alias("deviation"))
+
+
+_LOG_ODDS_SQL = """
+WITH b AS (SELECT * FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+g AS (SELECT l.lang, s.source, count(b.doc_id) AS n
+      FROM (SELECT DISTINCT lang FROM b) l CROSS JOIN (SELECT DISTINCT source FROM b) s
+      LEFT JOIN b ON b.lang = l.lang AND b.source = s.source GROUP BY l.lang, s.source),
+t AS (SELECT lang, source, n AS a,
+             sum(n) OVER (PARTITION BY lang) - n AS b_,
+             sum(n) OVER (PARTITION BY source) - n AS c_,
+             sum(n) OVER () AS tot FROM g),
+lo AS (SELECT lang, source, a AS n,
+              ln(((a + 0.5::DOUBLE) / (b_ + 0.5::DOUBLE)) / ((c_ + 0.5::DOUBLE) / ((tot - a - b_ - c_) + 0.5::DOUBLE))) AS log_odds
+       FROM t)"""
+
+
+@register("log_odds", _LOG_ODDS_SQL + " SELECT lang, source, n, round(log_odds, 6) AS log_odds FROM lo")
+def q_log_odds(spark, sf):
+    """Log odds of language × source with the +½ correction."""
+    lo = assoc.log_odds(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
+    return lo.select("lang", "source", "n", rnd("log_odds").alias("log_odds"))
+
+
+@register("max_abs", _LOG_ODDS_SQL + " SELECT round(max(abs(log_odds)), 6) AS max_abs FROM lo")
+def q_max_abs(spark, sf):
+    """A10: symmetric scale of the log-odds table."""
+    lo = assoc.log_odds(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
+    return assoc.max_abs(lo, "log_odds").withColumn("max_abs", rnd("max_abs"))
+
+
+@register("label_cluster_counts", """
+SELECT lang, source, count(*) AS n,
+       CASE grouping_id(lang, source) WHEN 0 THEN 'label_cluster' WHEN 1 THEN 'label' ELSE 'cluster' END AS level
+FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source))""")
+def q_label_cluster_counts(spark, sf):
+    """Counts by (label, group), label, group in one grouping-sets pass."""
+    return assoc.label_cluster_counts(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
