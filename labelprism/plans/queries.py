@@ -341,3 +341,220 @@ FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source))""")
 def q_label_cluster_counts(spark, sf):
     """Counts by (label, group), label, group in one grouping-sets pass."""
     return assoc.label_cluster_counts(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
+
+
+# ------------------------------------------------------------------ vectors
+_EMB_SQL = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _emb(spark, sf):
+    return load(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+
+
+@register("l2_normalise", f"""
+WITH {_EMB_SQL},
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
+SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS pos,
+       unnest(list_transform(v, lambda x: round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6))) AS value
+FROM n""")
+def q_l2_normalise(spark, sf):
+    """Unit-length vectors, shown element by element."""
+    n = vectors.l2_normalise(_emb(spark, sf), "embedding", "unit")
+    return n.select("vec_id", F.posexplode("unit").alias("pos", "value")) \
+            .select("vec_id", F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
+
+
+_CENTROID_SQL = f"""
+{_EMB_SQL},
+x AS (SELECT label, unnest(generate_series(0, len(v) - 1)) AS dim, unnest(v) AS val FROM e),
+c AS (SELECT label, dim, avg(CASE WHEN isnan(val) THEN NULL ELSE val END) AS mean FROM x GROUP BY label, dim)"""
+
+
+@register("label_centroids", f"WITH {_CENTROID_SQL} SELECT label, dim, round(mean, 6) AS mean FROM c")
+def q_label_centroids(spark, sf):
+    """Mean embedding per label (missing values ignored), long form."""
+    c = vectors.centroids_long(_emb(spark, sf), "label", "embedding")
+    return c.select("label", F.col("dim").cast("long").alias("dim"), rnd("mean").alias("mean"))
+
+
+@register("semantic_topk", f"""
+WITH {_CENTROID_SQL},
+q AS (SELECT label AS qid, list(mean ORDER BY dim) AS q FROM c GROUP BY label),
+qn AS (SELECT qid, q, sqrt(list_sum(list_transform(q, lambda z: z * z))) AS qnorm FROM q),
+en AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda z: z * z))) AS vnorm FROM e),
+s AS (SELECT qn.qid AS label, en.vec_id,
+             CASE WHEN vnorm > 0 THEN list_inner_product(en.v, qn.q) / (qnorm * vnorm) ELSE 0.0 END AS score
+      FROM qn CROSS JOIN en)
+SELECT label, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10""")
+def q_semantic_topk(spark, sf):
+    """The 10 rows most similar (cosine) to each label's mean vector."""
+    emb = _emb(spark, sf)
+    cents = vectors.centroids(emb, "label", "embedding")
+    top = vectors.semantic_topk(emb, "vec_id", "embedding", cents, "label", "centroid", k=10)
+    return top.select("label", "vec_id", rnd("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- fixed values: keyword rules of the rule-score query (terms, points) ---
+RULES = [(["the"], 1.0), (["and", "of"], 2.0), (["tion", "ing"], 3.0), (["en", "la", "le"], 1.5),
+         (["der", "und"], 2.5), (["que"], 0.5)]
+
+
+@register("rule_score", f"""
+WITH t AS (SELECT doc_id, {_WORDS_SQL} AS toks FROM documents)
+SELECT doc_id, (0.0::DOUBLE {''.join(
+    " + CASE WHEN " + " AND ".join(f"list_contains(toks, '{w}')" for w in ws) + f" THEN {p}::DOUBLE ELSE 0.0::DOUBLE END"
+    for ws, p in RULES)}) AS score FROM t""")
+def q_rule_score(spark, sf):
+    """Points per matched keyword rule (all terms of a rule present)."""
+    return vectors.rule_score(_doc_tokens(spark, sf), "doc_id", "tokens", RULES)
+
+
+@register("knn", f"""
+WITH {_EMB_SQL},
+p AS (SELECT a.vec_id, b.vec_id AS nbr,
+             list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, nbr, round(dist, 6) AS dist, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS rank FROM p) WHERE rank <= 5""")
+def q_knn(spark, sf):
+    """Exact 5 nearest neighbours of every vector (blocked self-join)."""
+    nn = vectors.knn(_emb(spark, sf), "vec_id", "embedding", k=5)
+    return nn.select("vec_id", "nbr", rnd("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("dominant_dim", f"""
+SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS dominant FROM embeddings""")
+def q_dominant_dim(spark, sf):
+    """Arg-max index per vector, ties to the lowest index."""
+    d = vectors.dominant(_emb(spark, sf), "embedding")
+    return d.select("vec_id", F.col("dominant").cast("long").alias("dominant"))
+
+
+_CENTERS_SQL = f"""
+{_EMB_SQL},
+c AS (SELECT vec_id AS cid, label AS clabel, v AS cv FROM e ORDER BY vec_id LIMIT 10),
+d AS (SELECT e.vec_id, e.label, c.cid, c.clabel,
+             row_number() OVER (PARTITION BY e.vec_id ORDER BY
+               list_sum(list_transform(list_zip(e.v, c.cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cid) AS rn
+      FROM e CROSS JOIN c),
+preds AS (SELECT vec_id, label, cid AS cluster, clabel AS prediction FROM d WHERE rn = 1)"""
+
+
+def _fixed_centers(emb):
+    # fixed model input: the 10 rows with the lowest ids are the centres
+    return tables.debug_head(emb, 10, "vec_id")
+
+
+@register("assign_clusters", f"WITH {_CENTERS_SQL} SELECT vec_id, cluster FROM preds")
+def q_assign_clusters(spark, sf):
+    """Nearest of fixed centres (squared Euclidean), ties to the lowest id."""
+    emb = _emb(spark, sf)
+    a = vectors.assign_clusters(emb, "embedding", _fixed_centers(emb), "vec_id", "embedding")
+    return a.select("vec_id", "cluster")
+
+
+@register("cluster_label_crosstab", f"""
+WITH {_CENTERS_SQL},
+dom AS (SELECT cid AS cluster FROM c),
+labs AS (SELECT DISTINCT label FROM preds)
+SELECT dom.cluster, labs.label, count(preds.vec_id) AS n
+FROM dom CROSS JOIN labs LEFT JOIN preds ON preds.cluster = dom.cluster AND preds.label = labs.label
+GROUP BY dom.cluster, labs.label""")
+def q_cluster_label_crosstab(spark, sf):
+    """Cluster × label counts re-indexed to every cluster id (empty clusters kept)."""
+    emb = _emb(spark, sf)
+    centers = _fixed_centers(emb)
+    a = vectors.assign_clusters(emb, "embedding", centers, "vec_id", "embedding")
+    return assoc.crosstab(a, "cluster", "label", domain=centers.select(F.col("vec_id").alias("cluster")))
+
+
+# ------------------------------------------------------------------ evaluation
+@register("label_encode", """
+WITH m AS (SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS label_id
+           FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+SELECT d.doc_id, d.source, m.label_id FROM documents d LEFT JOIN m ON m.source = d.source""")
+def q_label_encode(spark, sf):
+    """String label → dense class id, classes sorted."""
+    return evaluate.label_encode(load(spark, sf, "documents", ["doc_id", "source"]), "source") \
+                   .select("doc_id", "source", "label_id")
+
+
+_HASH_SQL = "('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT"
+_FOLDS_SQL = f"""
+folds AS (SELECT vec_id, ((row_number() OVER (PARTITION BY label ORDER BY {_HASH_SQL}, vec_id) - 1) % 3)::INTEGER AS fold
+          FROM embeddings)"""
+
+
+@register("stratified_folds", f"""
+WITH {_FOLDS_SQL} SELECT f.vec_id, e.label, f.fold FROM folds f JOIN embeddings e USING (vec_id)""")
+def q_stratified_folds(spark, sf):
+    """Stratified 3-fold assignment by hashed order within each class."""
+    return evaluate.stratified_folds(_emb(spark, sf), "label", "vec_id", 3, 42).select("vec_id", "label", "fold")
+
+
+@register("holdout", f"""
+SELECT vec_id, ({_HASH_SQL} / 4294967296.0::DOUBLE) < 0.2::DOUBLE AS is_test FROM embeddings""")
+def q_holdout(spark, sf):
+    """20 % hold-out flag from the hashed key (not stratified)."""
+    return evaluate.holdout(_emb(spark, sf), "vec_id", 0.2, 42).select("vec_id", "is_test")
+
+
+_FOLD_METRICS_SQL = f"""
+WITH {_CENTERS_SQL}, {_FOLDS_SQL},
+p AS (SELECT f.fold, preds.label, preds.prediction FROM preds JOIN folds f USING (vec_id)),
+acc AS (SELECT fold, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END::DOUBLE) AS accuracy FROM p GROUP BY fold),
+cls AS (SELECT fold, label AS c FROM p UNION SELECT fold, prediction AS c FROM p),
+tp AS (SELECT fold, label AS c, count(*) AS tp FROM p WHERE label = prediction GROUP BY fold, label),
+nt AS (SELECT fold, label AS c, count(*) AS nt FROM p GROUP BY fold, label),
+np AS (SELECT fold, prediction AS c, count(*) AS np FROM p GROUP BY fold, prediction),
+f AS (SELECT cls.fold, 2.0::DOUBLE * coalesce(tp.tp, 0) / (coalesce(nt.nt, 0) + coalesce(np.np, 0)) AS f1
+      FROM cls LEFT JOIN tp ON tp.fold = cls.fold AND tp.c = cls.c
+      LEFT JOIN nt ON nt.fold = cls.fold AND nt.c = cls.c
+      LEFT JOIN np ON np.fold = cls.fold AND np.c = cls.c),
+m AS (SELECT acc.fold, acc.accuracy, (SELECT avg(f1) FROM f WHERE f.fold = acc.fold) AS macro_f1 FROM acc)"""
+
+
+def _fold_metrics(spark, sf):
+    emb = _emb(spark, sf)
+    centers = _fixed_centers(emb).select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cv"),
+                                         F.col("label").alias("clabel"))
+    a = vectors.assign_clusters(emb, "embedding", centers, "cid", "cv", out="cluster")
+    cl = centers.select(F.col("cid").alias("cluster"), F.col("clabel").alias("prediction"))
+    preds = a.join(F.broadcast(cl), "cluster")
+    folds = evaluate.stratified_folds(emb.select("vec_id", "label"), "label", "vec_id", 3, 42).select("vec_id", "fold")
+    p = preds.join(folds, "vec_id")
+    return evaluate.accuracy(p, "label", "prediction", ["fold"]).join(
+        evaluate.macro_f1(p, "label", "prediction", ["fold"]), "fold")
+
+
+@register("fold_metrics", _FOLD_METRICS_SQL + """
+SELECT fold, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM m""")
+def q_fold_metrics(spark, sf):
+    """Accuracy and macro F1 per fold of a fixed nearest-centre classifier."""
+    m = _fold_metrics(spark, sf)
+    return m.select("fold", rnd("accuracy").alias("accuracy"), rnd("macro_f1").alias("macro_f1"))
+
+
+@register("fold_summary", _FOLD_METRICS_SQL + """
+SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std,
+       round(avg(macro_f1), 6) AS macro_f1_mean, round(stddev_pop(macro_f1), 6) AS macro_f1_std FROM m""")
+def q_fold_summary(spark, sf):
+    """Mean and population std of the per-fold scores."""
+    s = evaluate.fold_summary(_fold_metrics(spark, sf), ["accuracy", "macro_f1"])
+    return s.select(*[rnd(c).alias(c) for c in s.columns])
+
+
+@register("baselines", """
+WITH c AS (SELECT lang, count(*)::DOUBLE AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+s AS (SELECT sum(n) AS tot, count(*)::DOUBLE AS k, max(n) AS mx FROM c)
+SELECT k::BIGINT AS n_classes, round(mx / tot, 6) AS majority_accuracy,
+       round((2 * (mx / tot) / (1 + mx / tot)) / k, 6) AS majority_macro_f1,
+       round(1.0::DOUBLE / k, 6) AS random_accuracy,
+       round((SELECT sum(2 * (n / tot) / (k * (n / tot) + 1)) FROM c) / k, 6) AS random_macro_f1
+FROM s""")
+def q_baselines(spark, sf):
+    """Majority-class and uniform-random accuracy / macro F1."""
+    b = evaluate.baselines(load(spark, sf, "documents", ["lang"]), "lang")
+    return b.select("n_classes", *[rnd(c).alias(c) for c in b.columns if c != "n_classes"])
