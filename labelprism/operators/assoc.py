@@ -38,26 +38,31 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def complete_counts(df: DataFrame, row: str, col: str, col_values: list | None = None,
-                    row_domain: DataFrame | None = None, n: str = "n") -> DataFrame:
+                    row_domain: DataFrame | None = None, n: str = "n",
+                    weight: str | None = None) -> DataFrame:
     """Long ``(row, col, n)`` counts over the complete grid.
 
     ``col`` must be a small domain (its values become literals; given or
     collected with a bound).  Rows are every non-null ``row`` value in ``df``,
     plus the values of ``row_domain`` (one column named ``row``) if given — the
     re-index-to-``range(k)`` of a cross-tab.  Null ``row``/``col`` values are
-    left out, like a pandas cross-tab.
+    left out, like a pandas cross-tab.  With ``weight`` the cells sum that
+    column instead of counting rows.
     """
     if col_values is None:
         col_values = small_domain(df, col)
     base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
     parts = []
     for chunk in chunks(col_values):
-        aggs = [F.count(F.when(F.col(col) == F.lit(v), 1)).alias(f"_c{i}") for i, v in enumerate(chunk)]
+        if weight is None:
+            aggs = [F.count(F.when(F.col(col) == F.lit(v), 1)).alias(f"_c{i}") for i, v in enumerate(chunk)]
+        else:
+            aggs = [F.sum(F.when(F.col(col) == F.lit(v), F.col(weight))).alias(f"_c{i}") for i, v in enumerate(chunk)]
         wide = base.groupBy(row).agg(*aggs)
         if row_domain is not None:
             wide = wide.join(row_domain.select(row).distinct(), row, "full")
         stacked = F.explode(F.array(*[
-            F.struct(F.lit(v).alias(col), F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("long").alias(n))
+            F.struct(F.lit(v).alias(col), F.coalesce(F.col(f"_c{i}"), F.lit(0)).alias(n))
             for i, v in enumerate(chunk)]))
         parts.append(wide.select(row, stacked.alias("_s")).select(row, "_s.*"))
     out = parts[0]

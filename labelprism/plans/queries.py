@@ -558,3 +558,203 @@ def q_baselines(spark, sf):
     """Majority-class and uniform-random accuracy / macro F1."""
     b = evaluate.baselines(load(spark, sf, "documents", ["lang"]), "lang")
     return b.select("n_classes", *[rnd(c).alias(c) for c in b.columns if c != "n_classes"])
+
+
+# ------------------------------------------------------------------ topic report (fixed model)
+# Fixed model input for the topic-report operators: each language is a topic;
+# its term weights are the term's occurrences in that language's documents
+# (vocabulary terms only) plus a 0.1 prior; each document belongs wholly to its
+# language's topic.  The operators themselves take any (topic, term, weight),
+# (doc, topic, theta) and (doc, n) tables, e.g. those of a fitted LDA.
+from labelprism.operators import topics  # noqa: E402
+
+PRIOR = 0.1
+
+
+def _bow_vocab(spark, sf):
+    docs = _doc_tokens(spark, sf)
+    vocab = text.vocabulary(docs, "doc_id", "tokens", 7, 0.8)
+    bow = text.count_vectorise(text.bag_of_words(docs, "doc_id", "tokens"), vocab)
+    return docs, bow
+
+
+def _group_topic_terms(docs, bow, group):
+    occ = bow.join(docs.select("doc_id", F.col(group).alias("topic")), "doc_id")
+    grid = assoc.complete_counts(occ, "term", "topic", n="n", weight="tf")
+    return grid.select("topic", "term", (F.col("n") + F.lit(PRIOR)).alias("weight"))
+
+
+def _lang_model(spark, sf):
+    docs, bow = _bow_vocab(spark, sf)
+    tt = _group_topic_terms(docs, bow, "label")
+    dt = docs.where(F.col("label").isNotNull()).select("doc_id", F.col("label").alias("topic"),
+                                                       F.lit(1.0).alias("theta"))
+    dl = bow.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    return tt, dt, dl
+
+
+_TOPIC_BASE_SQL = f"""
+WITH {_VOCAB_SQL},
+bow AS (SELECT doc_id, term, tf FROM (
+          SELECT doc_id, term, count(*) AS tf
+          FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) GROUP BY doc_id, term)
+        WHERE term IN (SELECT term FROM vocab)),
+dl AS (SELECT doc_id, lang AS topic FROM documents WHERE lang IS NOT NULL),
+occ AS (SELECT dl.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN dl USING (doc_id) GROUP BY dl.topic, bow.term),
+tt AS (SELECT t.topic, v.term, coalesce(o.n, 0) + {PRIOR}::DOUBLE AS weight
+       FROM (SELECT DISTINCT topic FROM occ) t CROSS JOIN (SELECT DISTINCT term FROM occ) v
+       LEFT JOIN occ o ON o.topic = t.topic AND o.term = v.term),
+dlen AS (SELECT doc_id, sum(tf) AS n FROM bow GROUP BY doc_id),
+tf0 AS (SELECT dl.topic, sum(1.0::DOUBLE * dlen.n) AS topic_freq FROM dl JOIN dlen USING (doc_id) GROUP BY dl.topic),
+ts AS (SELECT topic, topic_freq, topic_freq / sum(topic_freq) OVER () AS proportion,
+              row_number() OVER (ORDER BY topic_freq DESC, topic) AS topic_order FROM tf0),
+ws AS (SELECT topic, sum(weight) AS wsum FROM tt GROUP BY topic),
+ph AS (SELECT tt.topic, tt.term, tt.weight / ws.wsum AS phi, tt.weight / ws.wsum * ts.topic_freq AS freq
+       FROM tt JOIN ws USING (topic) JOIN ts USING (topic)),
+tot AS (SELECT term, sum(freq) AS total FROM ph GROUP BY term),
+cnt AS (SELECT ph.topic, ph.term, ph.phi, ph.freq, tot.total FROM ph JOIN tot USING (term)),
+nall AS (SELECT sum(freq) AS n_all FROM cnt),
+sc AS (SELECT topic, term, ln(phi) AS logprob, ln(phi / (total / (SELECT n_all FROM nall))) AS loglift FROM cnt),
+top30 AS (SELECT * FROM (SELECT topic, term, weight,
+                                row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM tt)
+          WHERE rank <= 30)"""
+
+
+@register("top_terms", _TOPIC_BASE_SQL + " SELECT topic, term, round(weight, 6) AS weight, rank FROM top30")
+def q_top_terms(spark, sf):
+    """30 heaviest terms per topic."""
+    tt, _, _ = _lang_model(spark, sf)
+    t = topics.top_terms(tt, 30)
+    return t.select("topic", "term", rnd("weight").alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("topic_report", _TOPIC_BASE_SQL + """
+SELECT topic, 'Topic ' || topic AS name, rank, printf('  %d. %s (%.3f)', rank, term, weight) AS line FROM top30""")
+def q_topic_report(spark, sf):
+    """Ranked topic words as report lines (weight to 3 places)."""
+    tt, _, _ = _lang_model(spark, sf)
+    r = topics.topic_report(topics.top_terms(tt, 30))
+    return r.select("topic", "name", F.col("rank").cast("long").alias("rank"), "line")
+
+
+def _shares(spark, sf):
+    tt, dt, dl = _lang_model(spark, sf)
+    return tt, topics.topic_share(dt, dl, "doc_id")
+
+
+@register("topic_share", _TOPIC_BASE_SQL + """
+SELECT topic, round(topic_freq, 6) AS topic_freq, round(proportion, 6) AS proportion,
+       round(proportion * 100.0::DOUBLE, 6) AS share_pct, topic_order FROM ts""")
+def q_topic_share(spark, sf):
+    """Topic share of corpus tokens and the size order of topics."""
+    _, s = _shares(spark, sf)
+    return s.select("topic", rnd("topic_freq").alias("topic_freq"), rnd("proportion").alias("proportion"),
+                    rnd("share_pct").alias("share_pct"), F.col("topic_order").cast("long").alias("topic_order"))
+
+
+def _counts(spark, sf):
+    tt, s = _shares(spark, sf)
+    return topics.topic_term_counts(tt, s), s
+
+
+@register("topic_term_counts", _TOPIC_BASE_SQL + """
+SELECT topic, term, round(phi, 6) AS phi, round(freq, 6) AS freq, round(total, 6) AS total FROM cnt""")
+def q_topic_term_counts(spark, sf):
+    """Expected term count per topic and term totals."""
+    c, _ = _counts(spark, sf)
+    return c.select("topic", "term", *[rnd(x).alias(x) for x in ("phi", "freq", "total")])
+
+
+@register("token_shares", _TOPIC_BASE_SQL + """
+SELECT topic, term, round(round_even(freq, 0) / total, 6) AS share FROM cnt WHERE freq >= 0.5""")
+def q_token_shares(spark, sf):
+    """Per-term topic shares from rounded expected counts."""
+    c, _ = _counts(spark, sf)
+    return topics.token_shares(c).withColumn("share", rnd("share"))
+
+
+@register("topic_term_scores", _TOPIC_BASE_SQL + """
+SELECT topic, term, round(logprob, 6) AS logprob, round(loglift, 6) AS loglift FROM sc""")
+def q_topic_term_scores(spark, sf):
+    """Log probability and log lift per (topic, term)."""
+    c, _ = _counts(spark, sf)
+    s = topics.topic_term_scores(c)
+    return s.select("topic", "term", rnd("logprob").alias("logprob"), rnd("loglift").alias("loglift"))
+
+
+@register("relevant_terms", _TOPIC_BASE_SQL + """,
+lam AS (SELECT i::DOUBLE / 100::DOUBLE AS lam FROM range(0, 101) r(i)),
+rel AS (SELECT topic, term, lam,
+               row_number() OVER (PARTITION BY topic, lam
+                                  ORDER BY round(lam * logprob + (1.0::DOUBLE - lam) * loglift, 9) DESC, term) AS rk
+        FROM sc CROSS JOIN lam)
+SELECT DISTINCT topic, term FROM rel WHERE rk <= 30""")
+def q_relevant_terms(spark, sf):
+    """Terms in the top 30 by relevance for some λ on a 0.01 grid."""
+    c, _ = _counts(spark, sf)
+    return topics.relevant_terms(topics.topic_term_scores(c), 30, 0.01)
+
+
+@register("salient_terms", _TOPIC_BASE_SQL + """,
+sal AS (SELECT cnt.term, max(cnt.total) / (SELECT n_all FROM nall)
+                 * sum(CASE WHEN cnt.freq / cnt.total > 0
+                            THEN cnt.freq / cnt.total * ln((cnt.freq / cnt.total) / ts.proportion) ELSE 0.0 END) AS saliency
+        FROM cnt JOIN ts USING (topic) GROUP BY cnt.term)
+SELECT term, round(saliency, 6) AS saliency, rank FROM (
+  SELECT term, saliency, row_number() OVER (ORDER BY round(saliency, 9) DESC, term) AS rank FROM sal)
+WHERE rank <= 30""")
+def q_salient_terms(spark, sf):
+    """The 30 most salient terms overall."""
+    c, s = _counts(spark, sf)
+    t = topics.salient_terms(c, s, 30)
+    return t.select("term", rnd("saliency").alias("saliency"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("topic_distance", _TOPIC_BASE_SQL + """,
+p AS (SELECT tt.topic, tt.term, tt.weight / ws.wsum AS p FROM tt JOIN ws USING (topic)),
+pr AS (SELECT a.topic AS topic_a, b.topic AS topic_b, a.p AS pa, b.p AS pb
+       FROM p a JOIN p b ON a.term = b.term AND a.topic < b.topic)
+SELECT topic_a, topic_b,
+       round(sum(0.5 * CASE WHEN pa > 0 THEN pa * ln(pa / ((pa + pb) / 2)) ELSE 0.0 END
+               + 0.5 * CASE WHEN pb > 0 THEN pb * ln(pb / ((pa + pb) / 2)) ELSE 0.0 END), 6) AS jsd
+FROM pr GROUP BY topic_a, topic_b""")
+def q_topic_distance(spark, sf):
+    """Jensen–Shannon divergence between every pair of topics."""
+    tt, _, _ = _lang_model(spark, sf)
+    return topics.topic_distance(tt).withColumn("jsd", rnd("jsd"))
+
+
+@register("topic_overlap", _TOPIC_BASE_SQL.replace("WITH ", "WITH ", 1) + """,
+ds AS (SELECT doc_id, source AS topic FROM documents WHERE source IS NOT NULL),
+occ_s AS (SELECT ds.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN ds USING (doc_id) GROUP BY ds.topic, bow.term),
+tt_s AS (SELECT t.topic, v.term, coalesce(o.n, 0) + 0.1::DOUBLE AS weight
+         FROM (SELECT DISTINCT topic FROM occ_s) t CROSS JOIN (SELECT DISTINCT term FROM occ_s) v
+         LEFT JOIN occ_s o ON o.topic = t.topic AND o.term = v.term),
+top_s AS (SELECT * FROM (SELECT topic, term,
+                                row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM tt_s)
+          WHERE rank <= 30),
+A AS (SELECT topic AS topic_a, term FROM top30), B AS (SELECT topic AS topic_b, term FROM top_s),
+sa AS (SELECT topic_a, count(*) AS na FROM A GROUP BY topic_a),
+sb AS (SELECT topic_b, count(*) AS nb FROM B GROUP BY topic_b),
+hits AS (SELECT topic_a, topic_b, count(*) AS inter FROM A JOIN B USING (term) GROUP BY topic_a, topic_b)
+SELECT sa.topic_a, sb.topic_b, coalesce(h.inter, 0) AS inter, na + nb - coalesce(h.inter, 0) AS n_union,
+       round(coalesce(h.inter, 0) / (na + nb - coalesce(h.inter, 0))::DOUBLE, 6) AS jaccard
+FROM sa CROSS JOIN sb LEFT JOIN hits h ON h.topic_a = sa.topic_a AND h.topic_b = sb.topic_b""")
+def q_topic_overlap(spark, sf):
+    """Jaccard overlap of the top-30 word lists of two topic models
+    (language topics vs source topics)."""
+    docs, bow = _bow_vocab(spark, sf)
+    top_a = topics.top_terms(_group_topic_terms(docs, bow, "label"), 30)
+    docs_s = docs.join(load(spark, sf, "documents", ["doc_id", "source"]), "doc_id")
+    top_b = topics.top_terms(_group_topic_terms(docs_s, bow, "source"), 30)
+    return topics.topic_overlap(top_a, top_b).withColumn("jaccard", rnd("jaccard"))
+
+
+@register("pivot_named", _LOG_ODDS_SQL + """,
+r AS (SELECT lang, source, round(log_odds, 6) AS log_odds FROM lo)
+PIVOT r ON source USING first(log_odds) GROUP BY lang""")
+def q_pivot_named(spark, sf):
+    """Language × source log odds as a wide table, columns in
+    numeric order of the source name."""
+    lo = assoc.log_odds(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
+    return topics.pivot_named(lo.withColumn("log_odds", rnd("log_odds")), "lang", "source", "log_odds")
