@@ -758,3 +758,100 @@ def q_pivot_named(spark, sf):
     numeric order of the source name."""
     lo = assoc.log_odds(load(spark, sf, "documents", ["lang", "source"]), "lang", "source")
     return topics.pivot_named(lo.withColumn("log_odds", rnd("log_odds")), "lang", "source", "log_odds")
+
+
+# ------------------------------------------------------------------ encoders
+from labelprism.operators import classify, cluster, coherence, encode  # noqa: E402
+
+
+@register("hashed_tfidf", f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents),
+tf AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 256)::INTEGER AS bucket, count(*) AS tf
+       FROM t GROUP BY 1, 2),
+dfb AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket),
+w AS (SELECT tf.doc_id, tf.bucket,
+             tf.tf * ln(((SELECT count(*)::DOUBLE FROM documents) + 1) / (dfb.df + 1)) AS w
+      FROM tf JOIN dfb USING (bucket)),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id)
+SELECT doc_id, bucket, round(CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END, 6) AS value FROM w JOIN nr USING (doc_id)""")
+def q_hashed_tfidf(spark, sf):
+    """Hashed TF-IDF document vectors (non-zero cells), unit length."""
+    v = encode.hashed_tfidf_long(_doc_tokens(spark, sf), "doc_id", "tokens", 256)
+    return v.withColumn("value", rnd("value"))
+
+
+# ------------------------------------------------------------------ oversampling
+@register("smote", f"""
+WITH {_EMB_SQL},
+sz AS (SELECT label, count(*) AS nc FROM e GROUP BY label),
+mx AS (SELECT max(nc) AS nmax FROM sz),
+r AS (SELECT e.vec_id, e.label, e.v, sz.nc,
+             row_number() OVER (PARTITION BY e.label ORDER BY {_HASH_SQL}, e.vec_id) - 1 AS r
+      FROM e JOIN sz USING (label)),
+c AS (SELECT *, ((SELECT nmax FROM mx) - nc) // nc
+                + CASE WHEN r < ((SELECT nmax FROM mx) - nc) % nc THEN 1 ELSE 0 END AS copies FROM r),
+cp AS (SELECT vec_id, label, v, nc, unnest(generate_series(1, copies)) AS copy FROM c WHERE copies > 0),
+nn AS (SELECT * FROM (
+         SELECT a.vec_id, b.vec_id AS nbr, b.v AS nv,
+                row_number() OVER (PARTITION BY a.vec_id ORDER BY
+                  list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vec_id) AS rank
+         FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 5),
+pk AS (SELECT cp.*,
+              (('0x' || substr(md5('43:' || vec_id::VARCHAR || ':' || copy::VARCHAR), 1, 8))::BIGINT
+                 % greatest(least(5, nc - 1), 1)) + 1 AS pick,
+              ('0x' || substr(md5('44:' || vec_id::VARCHAR || ':' || copy::VARCHAR), 1, 8))::BIGINT
+                 / 4294967296.0::DOUBLE AS gap
+       FROM cp),
+s AS (SELECT pk.vec_id, pk.label, pk.copy,
+             CASE WHEN nn.nv IS NULL THEN pk.v
+                  ELSE list_transform(list_zip(pk.v, nn.nv), lambda z: z[1] + pk.gap * (z[2] - z[1])) END AS nv
+      FROM pk LEFT JOIN nn ON nn.vec_id = pk.vec_id AND nn.rank = pk.pick)
+SELECT vec_id, label, copy, unnest(generate_series(0, len(nv) - 1)) AS pos,
+       unnest(list_transform(nv, lambda x: round(x, 6))) AS value FROM s""")
+def q_smote(spark, sf):
+    """Synthetic minority rows (every class raised to the majority size),
+    element by element."""
+    s = classify.smote(_emb(spark, sf), "label", "embedding", "vec_id", k=5, seed=42)
+    syn = s.where(F.col("copy") > 0)
+    return syn.select("vec_id", "label", "copy", F.posexplode("embedding").alias("pos", "value")) \
+              .select("vec_id", "label", "copy", F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
+
+
+# ------------------------------------------------------------------ fitted models (property checks)
+@register("coherence_cv")
+def q_coherence_cv(spark, sf):
+    """c_v coherence of the language topics' top-30 words over the
+    whitespace tokens of every document (110-token windows)."""
+    tt, _, _ = _lang_model(spark, sf)
+    words = topics.top_terms(tt, 30).select("topic", "term")
+    docs = text.add_ws_tokens(load(spark, sf, "documents", ["doc_id", "text"]), "text")
+    return coherence.coherence_cv(docs, "doc_id", "tokens", words, 110).withColumn("coherence", rnd("coherence"))
+
+
+@register("lda_topics")
+def q_lda_topics(spark, sf):
+    """Fit LDA (k=10) on normalised English-default text and
+    report the label × dominant-topic log odds."""
+    from labelprism.plans import topic_analysis
+    docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
+    res = topic_analysis.run(docs, "doc_id", "text", "lang", k=10)
+    return res["label_topic_log_odds"].withColumn("log_odds", rnd("log_odds"))
+
+
+@register("cluster_profile")
+def q_cluster_profile(spark, sf):
+    """PCA-10 + k-means (10 restarts) on unit vectors;
+    cluster × label deviation table."""
+    from labelprism.plans import cluster_profile
+    res = cluster_profile.run(_emb(spark, sf), "vec_id", "embedding", "label", k=10)
+    d = res["deviation"]
+    return d.select("cluster", "label", "n", rnd("row_pct").alias("row_pct"), rnd("deviation").alias("deviation"))
+
+
+@register("classifier_eval")
+def q_classifier_eval(spark, sf):
+    """Nested 3-fold CV (SMOTE in training parts) of a random forest
+    on the embedding table; mean and std of accuracy and macro F1."""
+    from labelprism.plans import embedding_eval
+    return embedding_eval.run({"embeddings": _emb(spark, sf)}, "label", "embedding", "vec_id",
+                              kind="forest", outer=3, inner=2)
