@@ -16,7 +16,7 @@ from labelprism.operators.ordinal import sorted_ordinal
 
 __all__ = ["add_word_tokens", "add_ws_tokens", "explode_tokens", "normalise_text",
            "dictionary", "bag_of_words", "vocabulary", "count_vectorise",
-           "term_presence", "length_stats", "ALNUM_RUN", "ALPHA_ONLY"]
+           "term_presence", "length_stats", "vocabulary_from_bow", "ALNUM_RUN", "ALPHA_ONLY"]
 
 # A candidate token for normalisation is a maximal run of letters and digits;
 # it is kept only when it is letters only (so "abc123" is dropped whole, as a
@@ -37,10 +37,15 @@ def add_ws_tokens(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
 
 def explode_tokens(df: DataFrame, key: str, tokens: str, term: str = "term",
                    pos: str | None = "pos") -> DataFrame:
-    """One row per token: ``(key, pos, term)`` (``pos`` 0-based)."""
+    """One row per token: ``(key, pos, term)`` (``pos`` 0-based).
+
+    ``explode_outer`` + a null filter instead of ``explode``: with ``explode``
+    the optimizer infers a ``size(tokens) > 0`` filter below the projection
+    and evaluates the tokenising regex twice."""
     if pos:
-        return df.select(key, F.posexplode(tokens).alias(pos, term))
-    return df.select(key, F.explode(tokens).alias(term))
+        return (df.select(key, F.posexplode_outer(tokens).alias(pos, term))
+                  .where(F.col(term).isNotNull()))
+    return df.select(key, F.explode_outer(tokens).alias(term)).where(F.col(term).isNotNull())
 
 
 def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
@@ -55,7 +60,7 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
     lemma dictionary works too.  Rows whose normalised text would be empty
     produce no output row (the caller's blank filter would drop them anyway).
     """
-    toks = (df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ALNUM_RUN), 0))
+    toks = (df.select(key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(ALNUM_RUN), 0))
                       .alias("_pos", "_w"))
               .where(F.col("_w").rlike(ALPHA_ONLY))
               .withColumn("_lw", F.lower("_w")))
@@ -71,7 +76,7 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
 
 def bag_of_words(df: DataFrame, key: str, tokens: str, term: str = "term") -> DataFrame:
     """``(key, term, tf)``.  Partial aggregation combines repeats map-side."""
-    return (df.select(key, F.explode(tokens).alias(term))
+    return (explode_tokens(df, key, tokens, term, pos=None)
               .groupBy(key, term).agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -80,7 +85,8 @@ def term_presence(df: DataFrame, key: str, tokens: str, term: str = "term",
     """One row per (document, distinct term).  ``array_distinct`` works
     inside the row, so no shuffle is needed when ``key`` identifies a row."""
     keep = keep or []
-    return df.select(key, *keep, F.explode(F.array_distinct(tokens)).alias(term))
+    return (df.select(key, *keep, F.explode_outer(F.array_distinct(tokens)).alias(term))
+              .where(F.col(term).isNotNull()))
 
 
 def vocabulary(df: DataFrame, key: str, tokens: str, min_df: float = 7, max_df: float = 0.8,
@@ -101,6 +107,20 @@ def vocabulary(df: DataFrame, key: str, tokens: str, min_df: float = 7, max_df:
     return dfreq.where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
 
 
+def vocabulary_from_bow(bow: DataFrame, n_docs, min_df: float = 7, max_df: float = 0.8,
+                        term: str = "term") -> DataFrame:
+    """T06 from an existing bag of words (one row per document and term), so
+    the text is tokenised once for both; ``n_docs`` is the document total
+    (a number or a scalar column — documents without tokens count too)."""
+    n = n_docs if not isinstance(n_docs, (int, float)) else F.lit(float(n_docs))
+
+    def bound(v):
+        return F.lit(float(v)) * n if isinstance(v, float) else F.lit(float(v))
+
+    dfreq = bow.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
+    return dfreq.where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
+
+
 def count_vectorise(bow: DataFrame, vocab: DataFrame, term: str = "term") -> DataFrame:
     """The bag of words restricted to the vocabulary (left-semi join)."""
     return bow.join(vocab.select(term), term, "left_semi")

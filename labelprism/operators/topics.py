@@ -121,17 +121,19 @@ def topic_share(doc_topics: DataFrame, doc_len: DataFrame, key: str, topic: str
 
 def topic_term_counts(topic_terms: DataFrame, shares: DataFrame, topic: str = "topic",
                       term: str = "term") -> DataFrame:
-    """``(topic, term, phi, freq, total)``: phi = weight / topic weight,
-    freq = phi · topic_freq (expected count of the term in the topic), total =
-    Σ over topics of freq.  Topic sums are a topic-sized broadcast; term sums
-    an aggregate joined back on the term."""
+    """``(topic, term, phi, freq, total, n_all)``: phi = weight / topic
+    weight, freq = phi · topic_freq (expected count of the term in the topic),
+    total = Σ over topics of freq, n_all = Σ of all expected counts (the
+    corpus size, carried as a column so later steps need no extra pass).
+    Topic sums are a topic-sized broadcast; term sums an aggregate joined back
+    on the term."""
     wsum = topic_terms.groupBy(topic).agg(F.sum("weight").alias("_wsum"))
-    tf = shares.select(topic, "topic_freq")
+    tf = shares.select(topic, "topic_freq", F.sum("topic_freq").over(Window.partitionBy()).alias("n_all"))
     ph = (topic_terms.join(F.broadcast(wsum.join(tf, topic)), topic)
                      .withColumn("phi", F.col("weight") / F.col("_wsum"))
                      .withColumn("freq", F.col("phi") * F.col("topic_freq")))
     tot = ph.groupBy(term).agg(F.sum("freq").alias("total"))
-    return ph.join(tot, term).select(topic, term, "phi", "freq", "total")
+    return ph.join(tot, term).select(topic, term, "phi", "freq", "total", "n_all")
 
 
 def token_shares(counts: DataFrame, topic: str = "topic", term: str = "term") -> DataFrame:
@@ -143,9 +145,8 @@ def token_shares(counts: DataFrame, topic: str = "topic", term: str = "term") ->
 
 def topic_term_scores(counts: DataFrame, topic: str = "topic", term: str = "term") -> DataFrame:
     """logprob = ln φ, loglift = ln(φ / p(term)) with p(term) = total / N."""
-    n_all = counts.agg(F.sum("freq")).scalar()
     return counts.select(topic, term, F.ln("phi").alias("logprob"),
-                         F.ln(F.col("phi") / (F.col("total") / n_all)).alias("loglift"))
+                         F.ln(F.col("phi") / (F.col("total") / F.col("n_all"))).alias("loglift"))
 
 
 def relevant_terms(scores: DataFrame, r: int = 30, step: float = 0.01, topic: str = "topic",
@@ -153,15 +154,38 @@ def relevant_terms(scores: DataFrame, r: int = 30, step: float = 0.01, topic: st
     """Every (topic, term) in the top ``r`` by relevance
     λ·logprob + (1−λ)·loglift for some λ on the grid 0, step, …, 1.
 
-    The λ grid is a literal array exploded in a narrow map; the per-(topic, λ)
-    top-r is a partial window limit, so only r rows per task and λ shuffle."""
+    Exact pruning first: the r best terms by logprob and the r best by
+    loglift (two per-topic top-k) form a seed set S; for each λ the r-th best
+    relevance inside S, t(λ), is a lower bound of the true r-th best, so a
+    term can only qualify if its relevance reaches t(λ) for some λ.  That test
+    is one higher-order ``exists`` per term (narrow); only the few survivors
+    are expanded over the grid and ranked."""
     n = int(round(1 / step))
-    lams = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    ex = scores.select(topic, term, "logprob", "loglift", F.explode(lams).alias("lam"))
-    rel = F.col("lam") * F.col("logprob") + (F.lit(1.0) - F.col("lam")) * F.col("loglift")
-    w = Window.partitionBy(topic, "lam").orderBy(F.round(rel, 9).desc(), F.col(term).asc())
-    return (ex.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r)
-              .select(topic, term).distinct())
+    lam_vals = [i / n for i in range(n + 1)]
+    lams = F.array(*[F.lit(v) for v in lam_vals])
+
+    def rel(lam):
+        return lam * F.col("logprob") + (F.lit(1.0) - lam) * F.col("loglift")
+
+    def top_by(col):
+        w = Window.partitionBy(topic).orderBy(F.col(col).desc(), F.col(term).asc())
+        return scores.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= r).drop("_k")
+
+    seed = top_by("logprob").unionByName(top_by("loglift")).dropDuplicates([topic, term])
+    ex = seed.select(topic, F.posexplode(lams).alias("_li", "lam"), rel(F.col("lam")).alias("_rel"))
+    wr = Window.partitionBy(topic, "_li").orderBy(F.col("_rel").desc())
+    thr = (ex.withColumn("_k", F.row_number().over(wr)).where(F.col("_k") == r)
+             .groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("_li", "_rel"))).alias("_t"))
+             .select(topic, F.transform("_t", lambda x: x["_rel"] - F.lit(1e-9)).alias("_thr")))
+    cand = scores.join(F.broadcast(thr), topic, "left")
+    keep = F.col("_thr").isNull() | F.exists(
+        F.arrays_zip(lams.alias("l"), F.col("_thr").alias("t")),
+        lambda z: rel(z["l"]) >= z["t"])
+    cand = cand.where(keep).select(topic, term, "logprob", "loglift")
+    full = cand.select(topic, term, F.explode(lams).alias("lam"), rel(F.col("lam")).alias("_rel"))
+    w = Window.partitionBy(topic, "lam").orderBy(F.round("_rel", 9).desc(), F.col(term).asc())
+    return (full.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r)
+                .select(topic, term).distinct())
 
 
 def salient_terms(counts: DataFrame, shares: DataFrame, r: int = 30, topic: str = "topic",
@@ -169,12 +193,12 @@ def salient_terms(counts: DataFrame, shares: DataFrame, r: int = 30, topic: str
     """saliency(w) = p(w) · Σ_t p(t|w) ln(p(t|w) / p(t)); the ``r`` most
     salient terms with their rank (ties by term)."""
     p_t = shares.select(topic, F.col("proportion").alias("_pt"))
-    n_all = counts.agg(F.sum("freq")).scalar()
     ptw = F.col("freq") / F.col("total")
     part = F.when(ptw > 0, ptw * F.ln(ptw / F.col("_pt"))).otherwise(F.lit(0.0))
     sal = (counts.join(F.broadcast(p_t), topic)
-                 .groupBy(term).agg(F.first("total").alias("_tot"), F.sum(part).alias("_dist"))
-                 .withColumn("saliency", F.col("_tot") / n_all * F.col("_dist")))
+                 .groupBy(term).agg(F.first("total").alias("_tot"), F.first("n_all").alias("_n"),
+                                    F.sum(part).alias("_dist"))
+                 .withColumn("saliency", F.col("_tot") / F.col("_n") * F.col("_dist")))
     # global top-r: a distributed partial top-k (TakeOrderedAndProject), then
     # ranks over the r survivors only
     top = sal.select(term, "saliency").orderBy(F.round("saliency", 9).desc(), F.col(term).asc()).limit(r)
@@ -236,7 +260,8 @@ def topic_coordinates(distances: DataFrame, topics: list) -> pd.DataFrame:
 
 # ------------------------------------------------------------------ overlap and alignment
 def topic_overlap(top_a: DataFrame, top_b: DataFrame, topic_a: str = "topic_a",
-                  topic_b: str = "topic_b", term: str = "term") -> DataFrame:
+                  topic_b: str = "topic_b", term: str = "term",
+                  b_values: list | None = None) -> DataFrame:
     """Jaccard of the word sets of every topic of A with every topic
     of B (0 when both are empty): an equi-join on the word counts the
     intersections; the complete pair grid comes from the small topic domains."""
@@ -245,7 +270,7 @@ def topic_overlap(top_a: DataFrame, top_b: DataFrame, topic_a: str = "topic_a",
     size_a = a.groupBy(topic_a).agg(F.count(F.lit(1)).alias("_na"))
     size_b = b.groupBy(topic_b).agg(F.count(F.lit(1)).alias("_nb"))
     hits = a.join(b, term)
-    b_values = small_domain(size_b, topic_b)
+    b_values = b_values if b_values is not None else small_domain(size_b, topic_b)
     inter = complete_counts(hits, topic_a, topic_b, b_values, row_domain=size_a.select(topic_a), n="inter")
     out = (inter.join(F.broadcast(size_a), topic_a).join(F.broadcast(size_b), topic_b)
                 .withColumn("union", F.col("_na") + F.col("_nb") - F.col("inter")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from labelprism.functions.columns import WORD_PATTERN, rnd
 from labelprism.operators import assoc, text
+from labelprism.sources import tables
 from labelprism.sources.tables import read_table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +64,7 @@ sc AS (SELECT label, term, a, df,
 # ---------------------------------------------------------------- flagship
 def _doc_tokens(spark, sf):
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang"]).withColumnRenamed("lang", "label")
-    return text.add_word_tokens(docs, "text").drop("text")
+    return text.add_word_tokens(tables.spread(docs, "doc_id"), "text").drop("text")
 
 
 @register("label_keywords", _TERM_LOG_ODDS_SQL + """
@@ -567,26 +568,33 @@ def q_baselines(spark, sf):
 # language's topic.  The operators themselves take any (topic, term, weight),
 # (doc, topic, theta) and (doc, n) tables, e.g. those of a fitted LDA.
 from labelprism.operators import topics  # noqa: E402
+from labelprism.operators.domain import small_domain as tables_small_domain  # noqa: E402
 
 PRIOR = 0.1
 
 
 def _bow_vocab(spark, sf):
     docs = _doc_tokens(spark, sf)
-    vocab = text.vocabulary(docs, "doc_id", "tokens", 7, 0.8)
-    bow = text.count_vectorise(text.bag_of_words(docs, "doc_id", "tokens"), vocab)
-    return docs, bow
+    full = text.bag_of_words(docs, "doc_id", "tokens")
+    n_docs = load(spark, sf, "documents", ["doc_id"]).agg(F.count(F.lit(1)).cast("double")).scalar()
+    vocab = text.vocabulary_from_bow(full, n_docs, 7, 0.8)
+    return docs, text.count_vectorise(full, vocab)
 
 
-def _group_topic_terms(docs, bow, group):
+def _group_topic_terms(docs, bow, group, values):
     occ = bow.join(docs.select("doc_id", F.col(group).alias("topic")), "doc_id")
-    grid = assoc.complete_counts(occ, "term", "topic", n="n", weight="tf")
+    grid = assoc.complete_counts(occ, "term", "topic", values, n="n", weight="tf")
     return grid.select("topic", "term", (F.col("n") + F.lit(PRIOR)).alias("weight"))
 
 
+def _topic_domain(spark, sf, col):
+    # the topics of the fixed model: every value of the grouping column
+    return tables_small_domain(load(spark, sf, "documents", [col]), col)
+
+
 def _lang_model(spark, sf):
     docs, bow = _bow_vocab(spark, sf)
-    tt = _group_topic_terms(docs, bow, "label")
+    tt = _group_topic_terms(docs, bow, "label", _topic_domain(spark, sf, "lang"))
     dt = docs.where(F.col("label").isNotNull()).select("doc_id", F.col("label").alias("topic"),
                                                        F.lit(1.0).alias("theta"))
     dl = bow.groupBy("doc_id").agg(F.sum("tf").alias("n"))
@@ -602,7 +610,7 @@ bow AS (SELECT doc_id, term, tf FROM (
 dl AS (SELECT doc_id, lang AS topic FROM documents WHERE lang IS NOT NULL),
 occ AS (SELECT dl.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN dl USING (doc_id) GROUP BY dl.topic, bow.term),
 tt AS (SELECT t.topic, v.term, coalesce(o.n, 0) + {PRIOR}::DOUBLE AS weight
-       FROM (SELECT DISTINCT topic FROM occ) t CROSS JOIN (SELECT DISTINCT term FROM occ) v
+       FROM (SELECT DISTINCT topic FROM dl) t CROSS JOIN (SELECT DISTINCT term FROM occ) v
        LEFT JOIN occ o ON o.topic = t.topic AND o.term = v.term),
 dlen AS (SELECT doc_id, sum(tf) AS n FROM bow GROUP BY doc_id),
 tf0 AS (SELECT dl.topic, sum(1.0::DOUBLE * dlen.n) AS topic_freq FROM dl JOIN dlen USING (doc_id) GROUP BY dl.topic),
@@ -721,14 +729,14 @@ FROM pr GROUP BY topic_a, topic_b""")
 def q_topic_distance(spark, sf):
     """Jensen–Shannon divergence between every pair of topics."""
     tt, _, _ = _lang_model(spark, sf)
-    return topics.topic_distance(tt).withColumn("jsd", rnd("jsd"))
+    return topics.topic_distance(tt, topics=_topic_domain(spark, sf, "lang")).withColumn("jsd", rnd("jsd"))
 
 
 @register("topic_overlap", _TOPIC_BASE_SQL.replace("WITH ", "WITH ", 1) + """,
 ds AS (SELECT doc_id, source AS topic FROM documents WHERE source IS NOT NULL),
 occ_s AS (SELECT ds.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN ds USING (doc_id) GROUP BY ds.topic, bow.term),
 tt_s AS (SELECT t.topic, v.term, coalesce(o.n, 0) + 0.1::DOUBLE AS weight
-         FROM (SELECT DISTINCT topic FROM occ_s) t CROSS JOIN (SELECT DISTINCT term FROM occ_s) v
+         FROM (SELECT DISTINCT topic FROM ds) t CROSS JOIN (SELECT DISTINCT term FROM occ_s) v
          LEFT JOIN occ_s o ON o.topic = t.topic AND o.term = v.term),
 top_s AS (SELECT * FROM (SELECT topic, term,
                                 row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM tt_s)
@@ -744,10 +752,11 @@ def q_topic_overlap(spark, sf):
     """Jaccard overlap of the top-30 word lists of two topic models
     (language topics vs source topics)."""
     docs, bow = _bow_vocab(spark, sf)
-    top_a = topics.top_terms(_group_topic_terms(docs, bow, "label"), 30)
+    top_a = topics.top_terms(_group_topic_terms(docs, bow, "label", _topic_domain(spark, sf, "lang")), 30)
     docs_s = docs.join(load(spark, sf, "documents", ["doc_id", "source"]), "doc_id")
-    top_b = topics.top_terms(_group_topic_terms(docs_s, bow, "source"), 30)
-    return topics.topic_overlap(top_a, top_b).withColumn("jaccard", rnd("jaccard"))
+    sources = _topic_domain(spark, sf, "source")
+    top_b = topics.top_terms(_group_topic_terms(docs_s, bow, "source", sources), 30)
+    return topics.topic_overlap(top_a, top_b, b_values=sources).withColumn("jaccard", rnd("jaccard"))
 
 
 @register("pivot_named", _LOG_ODDS_SQL + """,

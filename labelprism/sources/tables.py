@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 __all__ = [
-    "table_path", "read_table", "union_splits", "rename", "require_columns",
+    "table_path", "read_table", "spread", "union_splits", "rename", "require_columns",
     "require_rows", "debug_head", "profile", "write_table", "save_model", "load_model",
 ]
 
@@ -36,6 +36,23 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return df
 
 
+def spread(df: DataFrame, key: str, min_factor: int = 2) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when the scan gives too few tasks.
+
+    A table stored as a few large row groups scans as a few tasks, and
+    tokenising text is CPU-heavy, so every later narrow step would run on those
+    few cores.  When the scan already has ≥ ``min_factor`` × the cluster's
+    parallelism (the normal case for a large table) nothing changes.  Hashing
+    by the document key keeps one document in one task, so later per-document
+    aggregates (bags of words, normalisation) need no further shuffle.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * min_factor
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(max(want, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def union_splits(dfs: list[DataFrame]) -> DataFrame:
     """Union all splits by column name; duplicates kept, missing columns null."""
     if not dfs:
