@@ -155,7 +155,11 @@ def _block_knn(k: int, key_type: str, exclude_self: bool):
         c = pdf[pdf["_role"] == 1]
         cols = ["_key", "_nbr", "_d"] + (["_part"] if "_part" in pdf.columns else [])
         if q.empty or c.empty:
-            return pd.DataFrame({x: [] for x in cols})
+            empty = {"_key": pdf["_key"].iloc[:0], "_nbr": pdf["_key"].iloc[:0].rename("_nbr"),
+                     "_d": pd.Series([], dtype="float64")}
+            if "_part" in pdf.columns:
+                empty["_part"] = pdf["_part"].iloc[:0]
+            return pd.DataFrame({x: empty[x].reset_index(drop=True) for x in cols})
         qx = np.stack(q["_v"].to_numpy()).astype(np.float64)
         cx = np.stack(c["_v"].to_numpy()).astype(np.float64)
         qk = q["_key"].to_numpy()
@@ -183,7 +187,7 @@ def _block_knn(k: int, key_type: str, exclude_self: bool):
 
 
 def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = None,
-        block_rows: int = 1024, exclude_self: bool = True) -> DataFrame:
+        block_rows: int = 1024, exclude_self: bool = True, query_flag: str | None = None) -> DataFrame:
     """V05 (exact): the ``k`` nearest rows of every row by squared Euclidean
     distance, ``(key, nbr, dist, rank)``, ties by neighbour key.
 
@@ -193,10 +197,12 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     NumPy in an Arrow-batched ``applyInPandas``, and only each query's best k
     per block leave the task.  The final top-k per row is a partial window
     limit.  Work is quadratic in rows (exact search is); memory per task is
-    bounded by ``block_rows``.
+    bounded by ``block_rows``.  With ``query_flag`` only rows where that
+    boolean column is true are searched for (every row is still a candidate).
     """
     pcols = [partition] if partition else []
-    base = df.select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"))
+    flag = [F.col(query_flag).alias("_q")] if query_flag else [F.lit(True).alias("_q")]
+    base = df.select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag)
     sizes = base.groupBy(*pcols).count()
     nb_col = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(block_rows))).cast("int")
     sized = base.join(F.broadcast(sizes.withColumn("_nb", nb_col).drop("count")), pcols) if pcols \
@@ -204,8 +210,8 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     blk = F.pmod(F.xxhash64("_key"), F.col("_nb")).cast("int")
     sized = sized.withColumn("_blk", blk)
     others = F.sequence(F.lit(0), F.col("_nb") - 1)
-    queries = sized.select(*pcols, "_key", "_v", F.col("_blk").alias("_i"), F.explode(others).alias("_j"),
-                           F.lit(0).alias("_role"))
+    queries = sized.where(F.col("_q")).select(*pcols, "_key", "_v", F.col("_blk").alias("_i"),
+                                              F.explode(others).alias("_j"), F.lit(0).alias("_role"))
     cands = sized.select(*pcols, "_key", "_v", F.explode(others).alias("_i"), F.col("_blk").alias("_j"),
                          F.lit(1).alias("_role"))
     both = queries.unionByName(cands)

@@ -43,7 +43,20 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
                   .groupBy(key).agg(F.sum("tf").alias("n"))
     shares = topics.topic_share(topics.doc_topics_long(assigned, key), doc_len, key)
     counts = topics.topic_term_counts(tt, shares)
+    scores_tt = topics.topic_term_scores(counts)
+    # Name fitted topics after the report's size-ordered topics
+    fitted_top = topics.top_terms(tt, top_words)
+    shown = topics.display_topics(scores_tt, shares, top_words).withColumnRenamed("display", "topic")
+    overlap = topics.topic_overlap(shown, fitted_top, b_values=list(range(k)))
+    names = topics.align_topics(overlap, list(range(k)), [f"Topic{i}" for i in range(1, k + 1)])
+    names_df = spark.createDataFrame(names)
+    label_topic = assoc.log_odds(assigned, label, "dominant_topic", list(range(k)))
     return {
+        "topic_names": names_df,
+        "topic_report": topics.topic_report(fitted_top, names_df.select("topic", "name")),
+        "label_topic_wide": topics.pivot_named(label_topic, label, "dominant_topic", "log_odds",
+                                               names=dict(zip(names.topic, names.name)),
+                                               order=list(names.topic)),
         "tokens": toks,
         "vocabulary": vocab,
         "model": model,
@@ -52,8 +65,10 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
         "top_terms": topics.top_terms(tt, top_words),
         "topic_share": shares,
         "topic_term_counts": counts,
-        "topic_term_scores": topics.topic_term_scores(counts),
-        "label_topic_log_odds": assoc.log_odds(assigned, label, "dominant_topic", list(range(k))),
+        "topic_term_scores": scores_tt,
+        "relevant_terms": topics.relevant_terms(scores_tt),
+        "salient_terms": topics.salient_terms(counts, shares),
+        "label_topic_log_odds": label_topic,
         "term_log_odds": (scores := assoc.term_log_odds(toks, key, label, "tokens")),
         "label_keywords": assoc.label_keywords(scores, label, keywords),
     }

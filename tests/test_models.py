@@ -94,3 +94,51 @@ def test_nested_cv_planted_signal(spark, planted):
     assert all(r.accuracy > 0.8 for r in rows)
     s = evaluate.fold_summary(res, ["accuracy", "macro_f1"]).first()
     assert s.accuracy_std >= 0
+
+
+def test_topic_analysis_plan_end_to_end(spark):
+    from labelprism.plans import topic_analysis
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    res = topic_analysis.run(docs, "doc_id", "text", "lang", k=3, min_df=2, max_iter=5)
+    names = res["topic_names"].collect()
+    assert sorted(r.topic for r in names) == [0, 1, 2]
+    wide = res["label_topic_wide"]
+    assert len(wide.columns) == 4 and wide.count() == res["doc_topics"].select("lang").distinct().count()
+    shares = [r.share_pct for r in res["topic_share"].collect()]
+    assert abs(sum(shares) - 100) < 1e-6
+    assert res["topic_report"].where("name IS NULL").count() == 0
+
+
+def test_topic_sweep_and_best_k(spark):
+    from labelprism.operators import coherence, text
+    rows = [(i, (["apple", "pear", "fruit", "juice"] if i % 2 else ["car", "road", "wheel", "tyre"]) * 2)
+            for i in range(30)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    vocab = text.vocabulary(docs, "id", "tokens", 2, 1.0)
+    vecs, words = topics.count_vectors(docs, "tokens", vocab)
+    sweep = coherence.sweep_topics(vecs, words, docs, "id", "tokens", ks=[2, 3], topn=4, window=110,
+                                   max_iter=10)
+    assert sorted(r.k for r in sweep.collect()) == [2, 3]
+    best = coherence.best_k(sweep).first()
+    assert best.best_k in (2, 3)
+
+
+def test_write_table_roundtrip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    tables.write_table(df, str(tmp_path / "t"))
+    back = tables.read_table(spark, str(tmp_path / "t"), schema="id long, s string")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_encoders(spark):
+    from labelprism.operators import encode
+    import numpy as np
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "id long, t array<string>")
+    v = {r.id: r.embedding for r in encode.hashed_tfidf(docs, "id", "t", 16).collect()}
+    assert len(v[1]) == 16 and abs(np.linalg.norm(v[1]) - 1) < 1e-5 and not any(v[3])
+    texts = spark.createDataFrame([(1, "hello"), (2, None)], "id long, text string")
+    out = encode.encode_batches(texts, "text", lambda: (lambda xs: [[float(len(x)), 1.0] for x in xs]), 2, batch=1)
+    got = {r.id: list(r.embedding) for r in out.collect()}
+    assert got == {1: [5.0, 1.0], 2: [0.0, 1.0]}
+    w2v, _ = encode.word2vec_mean(docs, "t", dims=4, min_count=1)
+    assert all(len(r.embedding) == 4 for r in w2v.collect())
