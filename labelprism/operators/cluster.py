@@ -39,21 +39,23 @@ def reduce(df: DataFrame, vec: str, k: int, out: str | None = None,
 
 
 def fit_kmeans(df: DataFrame, vec: str, k: int = 10, seed: int = 42, max_iter: int = 300,
-               n_init: int = 10, tol: float = 1e-4) -> KMeansModel:
+               n_init: int = 10, tol: float = 1e-4, parallelism: int = 4) -> KMeansModel:
     """K-means (k-means|| initialisation) run from ``n_init`` seeds
-    (seed, seed+1, …); the fit with the lowest training cost wins.  The input
-    is persisted once and reused by every restart."""
+    (seed, seed+1, …); the fit with the lowest training cost wins (ties → the
+    earlier seed).  The input is persisted once; restarts are submitted from
+    ``parallelism`` driver threads so their small jobs share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
     data = to_vector(df, vec, "_features").select("_features").persist()
-    best = None
+
+    def fit(s):
+        return KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="_features",
+                      predictionCol="_cluster").fit(data)
     try:
-        for s in range(seed, seed + n_init):
-            m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="_features",
-                       predictionCol="_cluster").fit(data)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            models = list(pool.map(fit, range(seed, seed + n_init)))
     finally:
         data.unpersist()
-    return best
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def cluster(df: DataFrame, vec: str, model: KMeansModel, out: str = "cluster") -> DataFrame:

@@ -264,7 +264,7 @@ WHERE f.lw NOT IN (SELECT form FROM stop)
 GROUP BY doc_id""")
 def q_normalise_text(spark, sf):
     """Alphabetic, non-stop, non-number tokens reduced to lemmas."""
-    docs = load(spark, sf, "documents", ["doc_id", "text"])
+    docs = tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
     return text.normalise_text(docs, "doc_id", "text", stopword_table(spark), lemma_table(spark))
 
 
@@ -833,7 +833,7 @@ def q_coherence_cv(spark, sf):
     whitespace tokens of every document (110-token windows)."""
     tt, _, _ = _lang_model(spark, sf)
     words = topics.top_terms(tt, 30).select("topic", "term")
-    docs = text.add_ws_tokens(load(spark, sf, "documents", ["doc_id", "text"]), "text")
+    docs = text.add_ws_tokens(tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id"), "text")
     return coherence.coherence_cv(docs, "doc_id", "tokens", words, 110).withColumn("coherence", rnd("coherence"))
 
 
@@ -843,7 +843,7 @@ def q_lda_topics(spark, sf):
     report the label × dominant-topic log odds."""
     from labelprism.plans import topic_analysis
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
-    res = topic_analysis.run(docs, "doc_id", "text", "lang", k=10)
+    res = topic_analysis.run(tables.spread(docs, "doc_id"), "doc_id", "text", "lang", k=10, report=False)
     return res["label_topic_log_odds"].withColumn("log_odds", rnd("log_odds"))
 
 

@@ -30,8 +30,9 @@ def prepare_tokens(docs: DataFrame, key: str, text_col: str, label: str,
 
 def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label: str = "Label",
         k: int = 10, min_df: float = 7, max_df: float = 0.8, seed: int = 42, max_iter: int = 10,
-        top_words: int = 30, keywords: int = 100) -> dict:
-    """Fit and report; returns a dict of DataFrames (lazy except the model)."""
+        top_words: int = 30, keywords: int = 100, report: bool = True) -> dict:
+    """Fit and report; returns a dict of DataFrames (lazy except the model).
+    ``report=False`` skips the topic naming (its k × k collect) and report."""
     spark = docs.sparkSession
     toks = prepare_tokens(docs, key, text_col, label).persist()
     vocab = text.vocabulary(toks, key, "tokens", min_df, max_df)
@@ -44,13 +45,17 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
     shares = topics.topic_share(topics.doc_topics_long(assigned, key), doc_len, key)
     counts = topics.topic_term_counts(tt, shares)
     scores_tt = topics.topic_term_scores(counts)
+    label_topic = assoc.log_odds(assigned, label, "dominant_topic", list(range(k)))
+    if not report:
+        return {"tokens": toks, "vocabulary": vocab, "model": model, "topic_terms": tt,
+                "doc_topics": assigned.select(key, label, "theta", "dominant_topic"),
+                "label_topic_log_odds": label_topic}
     # Name fitted topics after the report's size-ordered topics
     fitted_top = topics.top_terms(tt, top_words)
     shown = topics.display_topics(scores_tt, shares, top_words).withColumnRenamed("display", "topic")
     overlap = topics.topic_overlap(shown, fitted_top, b_values=list(range(k)))
     names = topics.align_topics(overlap, list(range(k)), [f"Topic{i}" for i in range(1, k + 1)])
     names_df = spark.createDataFrame(names)
-    label_topic = assoc.log_odds(assigned, label, "dominant_topic", list(range(k)))
     return {
         "topic_names": names_df,
         "topic_report": topics.topic_report(fitted_top, names_df.select("topic", "name")),
