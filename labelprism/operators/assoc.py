@@ -101,19 +101,22 @@ def deviation(df: DataFrame, a: str, b: str, domain: DataFrame | None = None) ->
 def log_odds(df: DataFrame, label: str, cat: str, cat_values: list | None = None) -> DataFrame:
     """Log odds of every label × category cell with +½ in all four cells.
 
-    ``(label, cat, n, log_odds)``.  Row, column and grand totals come from the
-    complete grid (small × small) with windows; categories never observed but
-    listed in ``cat_values`` get a zero column instead of a missing one.
+    ``(label, cat, n, log_odds)``.  Row and column totals are group-bys joined
+    back (the label side is label-sized, so broadcast); the grand total is the
+    sum of the label totals, a scalar subquery over that small table.
+    Categories never observed but listed in ``cat_values`` get a zero column
+    instead of a missing one.
     """
     ct = complete_counts(df, label, cat, cat_values)
+    row_t = ct.groupBy(label).agg(F.sum("n").alias("_rt"))
+    col_t = ct.groupBy(cat).agg(F.sum("n").alias("_ct"))
+    grand = row_t.agg(F.sum("_rt")).scalar()
+    g = ct.join(F.broadcast(row_t), label).join(col_t, cat)
     a = F.col("n")
-    row_t = F.sum("n").over(Window.partitionBy(label))
-    col_t = F.sum("n").over(Window.partitionBy(cat))
-    grand = F.sum("n").over(Window.partitionBy())
-    b = row_t - a
-    c = col_t - a
+    b = F.col("_rt") - a
+    c = F.col("_ct") - a
     d = grand - (a + b + c)
-    return ct.withColumn("log_odds", odds_score(a, b, c, d))
+    return g.select(label, cat, "n", odds_score(a, b, c, d).alias("log_odds"))
 
 
 def term_log_odds(docs: DataFrame, key: str, label: str, tokens: str, term: str = "term") -> DataFrame:

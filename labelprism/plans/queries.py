@@ -864,3 +864,63 @@ def q_classifier_eval(spark, sf):
     from labelprism.plans import embedding_eval
     return embedding_eval.run({"embeddings": _emb(spark, sf)}, "label", "embedding", "vec_id",
                               kind="forest", outer=3, inner=2)
+
+
+# ------------------------------------------------------------------ keywords over lemmatised text
+_NORM_SQL = f"""
+stop(form) AS (VALUES {_values([(w,) for w in _STOP_ALL])}),
+lem(form, lemma) AS (VALUES {_values(LEMMA_PAIRS)}),
+base AS (SELECT doc_id, text, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+r AS (SELECT doc_id, regexp_extract_all(text, '{text.ALNUM_RUN}') AS r FROM base),
+toks AS (SELECT doc_id, unnest(generate_series(1, len(r))) AS pos, unnest(r) AS w FROM r),
+f AS (SELECT doc_id, pos, w, lower(w) AS lw FROM toks WHERE regexp_full_match(w, '\\p{{L}}+')),
+norm AS (SELECT f.doc_id, string_agg(coalesce(lem.lemma, f.w), ' ' ORDER BY pos) AS norm_text
+         FROM f LEFT JOIN lem ON lem.form = f.lw WHERE f.lw NOT IN (SELECT form FROM stop) GROUP BY f.doc_id)"""
+
+_LEMMA_ODDS_SQL = f"""
+WITH {_NORM_SQL},
+docs AS (SELECT b.doc_id, b.lang AS label, regexp_extract_all(lower(n.norm_text), '{_WORD_SQL}', 1) AS toks
+         FROM norm n JOIN base b USING (doc_id)
+         WHERE regexp_matches(n.norm_text, '[^{_WS_SQL[1:-1]}]')),
+pres AS (SELECT DISTINCT doc_id, label, unnest(toks) AS term FROM docs),
+lab AS (SELECT label, count(*) AS nl FROM docs GROUP BY label),
+tot AS (SELECT sum(nl)::BIGINT AS n FROM lab),
+tdf AS (SELECT term, count(*) AS df FROM pres GROUP BY term),
+cell AS (SELECT label, term, count(*) AS a FROM pres GROUP BY label, term),
+grid AS (SELECT l.label, t.term, coalesce(c.a, 0)::BIGINT AS a, t.df, l.nl
+         FROM lab l CROSS JOIN tdf t
+         LEFT JOIN cell c ON c.label = l.label AND c.term = t.term),
+sc AS (SELECT label, term, a, df,
+              ln(((a + 0.5::DOUBLE) / ((nl - a) + 0.5::DOUBLE))
+                 / (((df - a) + 0.5::DOUBLE) / (((SELECT n FROM tot) - nl - (df - a)) + 0.5::DOUBLE))) AS score
+       FROM grid)"""
+
+
+@register("lemma_keywords", _LEMMA_ODDS_SQL + """
+SELECT label, term, round(score, 6) AS score, rank FROM (
+  SELECT label, term, score,
+         row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, term ASC) AS rank
+  FROM sc WHERE score > 0) WHERE rank <= 100""")
+def q_lemma_keywords(spark, sf):
+    """The topic workflow's keyword path — drop null
+    rows, lemmatise, drop blank results, word-tokenise, presence log odds per
+    language, top 100 positive terms per language."""
+    from labelprism.plans import topic_analysis
+    docs = tables.spread(load(spark, sf, "documents", ["doc_id", "text", "lang"]), "doc_id")
+    toks = topic_analysis.prepare_tokens(docs, "doc_id", "text", "lang")
+    scores = assoc.term_log_odds(toks, "doc_id", "lang", "tokens")
+    top = assoc.label_keywords(scores, "lang", 100)
+    return top.select(F.col("lang").alias("label"), "term", rnd("score").alias("score"),
+                      F.col("rank").cast("long").alias("rank"))
+
+
+@register("display_topics", _TOPIC_BASE_SQL + """
+SELECT display, term, rank FROM (
+  SELECT 'Topic' || ts.topic_order::VARCHAR AS display, sc.term,
+         row_number() OVER (PARTITION BY ts.topic_order ORDER BY sc.logprob DESC, sc.term) AS rank
+  FROM sc JOIN ts USING (topic)) WHERE rank <= 30""")
+def q_display_topics(spark, sf):
+    """Topics named by size order with their 30 best words by logprob."""
+    c, s = _counts(spark, sf)
+    d = topics.display_topics(topics.topic_term_scores(c), s, 30)
+    return d.select("display", "term", F.col("rank").cast("long").alias("rank"))
