@@ -45,9 +45,11 @@ def count_vectors(docs: DataFrame, tokens: str, vocab: DataFrame, term: str = "t
 
     The vocabulary list goes to the driver because the LDA model will hold a
     k × V matrix there anyway; its size is checked first."""
-    words = [r[0] for r in vocab.select(term).orderBy(term).limit(MAX_VOCAB + 1).collect()]
-    if len(words) > MAX_VOCAB:
-        raise ValueError(f"vocabulary larger than {MAX_VOCAB}; raise min_df")
+    rows = vocab.select(term).limit(MAX_VOCAB + 1).collect()    # one bounded pass
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"vocabulary larger than {MAX_VOCAB} terms; raise min_df")
+    # code-point order (Python's str order equals Spark's UTF-8 binary order)
+    words = sorted(r[0] for r in rows)
     cv = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol=out)
     return cv.transform(docs), words
 

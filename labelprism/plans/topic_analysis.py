@@ -23,9 +23,8 @@ def prepare_tokens(docs: DataFrame, key: str, text_col: str, label: str,
     spark = docs.sparkSession
     base = clean.drop_null_rows(docs.select(key, text_col, label), [text_col, label])
     norm = text.normalise_text(base, key, text_col, stopwords or stopword_table(spark),
-                               lemmas or lemma_table(spark))
-    kept = clean.drop_blank(norm, "norm_text").join(base.select(key, label), key)
-    return text.add_word_tokens(kept, "norm_text")
+                               lemmas or lemma_table(spark), keep=[label])
+    return text.add_word_tokens(clean.drop_blank(norm, "norm_text"), "norm_text")
 
 
 def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label: str = "Label",

@@ -67,3 +67,11 @@ def test_union_and_rename(spark):
     u = tables.rename(tables.union_splits([a, b]), {"text": "Sentence", "labels": "Label", "zzz": "q"})
     assert sorted(u.columns) == ["Label", "Sentence", "id"]
     assert u.count() == 2
+
+
+def test_normalise_text_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "x", "Went WENT gone said"), (2, "y", "the and of")],
+                               "id long, lab string, text string")
+    got = {(r.id, r.lab): r.norm_text for r in
+           text.normalise_text(df, "id", "text", stopword_table(spark), lemma_table(spark), keep=["lab"]).collect()}
+    assert got == {(1, "x"): "go go go say"}
