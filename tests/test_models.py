@@ -142,3 +142,19 @@ def test_encoders(spark):
     assert got == {1: [5.0, 1.0], 2: [0.0, 1.0]}
     w2v, _ = encode.word2vec_mean(docs, "t", dims=4, min_count=1)
     assert all(len(r.embedding) == 4 for r in w2v.collect())
+
+
+def test_topic_coordinates_reproduce_euclidean_distances(spark):
+    import math
+    # three topics at the corners of a unit equilateral triangle
+    d = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)],
+                              "topic_a string, topic_b string, jsd double")
+    xy = topics.topic_coordinates(d, ["a", "b", "c"]).set_index("topic")
+    for p, q in [("a", "b"), ("a", "c"), ("b", "c")]:
+        dist = math.dist((xy.x[p], xy.y[p]), (xy.x[q], xy.y[q]))
+        assert abs(dist - 1.0) < 1e-9
+
+
+def test_numbered_order(spark):
+    df = spark.createDataFrame([("Topic10",), ("Topic9",), ("Topic1",)], "name string")
+    assert [r.name for r in topics.numbered_order(df, "name").collect()] == ["Topic1", "Topic9", "Topic10"]
