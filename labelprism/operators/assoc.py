@@ -102,8 +102,8 @@ def log_odds(df: DataFrame, label: str, cat: str, cat_values: list | None = None
     """Log odds of every label × category cell with +½ in all four cells.
 
     ``(label, cat, n, log_odds)``.  Row and column totals are group-bys joined
-    back (the label side is label-sized, so broadcast); the grand total is the
-    sum of the label totals, a scalar subquery over that small table.
+    back (AQE broadcasts them when their measured size is small); the grand
+    total is the sum of the label totals, a scalar subquery.
     Categories never observed but listed in ``cat_values`` get a zero column
     instead of a missing one.
     """
@@ -111,7 +111,7 @@ def log_odds(df: DataFrame, label: str, cat: str, cat_values: list | None = None
     row_t = ct.groupBy(label).agg(F.sum("n").alias("_rt"))
     col_t = ct.groupBy(cat).agg(F.sum("n").alias("_ct"))
     grand = row_t.agg(F.sum("_rt")).scalar()
-    g = ct.join(F.broadcast(row_t), label).join(col_t, cat)
+    g = ct.join(row_t, label).join(col_t, cat)
     a = F.col("n")
     b = F.col("_rt") - a
     c = F.col("_ct") - a

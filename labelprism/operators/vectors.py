@@ -203,10 +203,18 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     pcols = [partition] if partition else []
     flag = [F.col(query_flag).alias("_q")] if query_flag else [F.lit(True).alias("_q")]
     base = df.select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag)
-    sizes = base.groupBy(*pcols).count()
-    nb_col = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(block_rows))).cast("int")
-    sized = base.join(F.broadcast(sizes.withColumn("_nb", nb_col).drop("count")), pcols) if pcols \
-        else base.withColumn("_nb", F.lit(max(1, math.ceil(sizes.first()["count"] / block_rows))))
+    if pcols:
+        # per-partition block counts: a bounded collect of the (class-sized)
+        # partition domain, so the broadcast below has a proven size
+        from labelprism.operators.domain import small_counts
+        counts = small_counts(df, partition)
+        ptype = df.schema[partition].dataType.simpleString()
+        nbs = df.sparkSession.createDataFrame(
+            [(v, max(1, math.ceil(c / block_rows))) for v, c in counts], f"{partition} {ptype}, _nb int")
+        sized = base.join(F.broadcast(nbs), pcols)
+    else:
+        n_rows = base.count()
+        sized = base.withColumn("_nb", F.lit(max(1, math.ceil(n_rows / block_rows))))
     blk = F.pmod(F.xxhash64("_key"), F.col("_nb")).cast("int")
     sized = sized.withColumn("_blk", blk)
     others = F.sequence(F.lit(0), F.col("_nb") - 1)
