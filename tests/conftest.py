@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,8 +13,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    ckpt = tempfile.mkdtemp(prefix="lp-test-ckpt-")
+    # spark.checkpoint.dir comes from the session's configuration; get_spark
+    # invents a local folder only when none is configured (local mode only)
     s = get_spark("local[4]", app="labelprism-tests", shuffle_partitions=4,
-                  extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+                  extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
