@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 __all__ = [
-    "table_path", "read_table", "spread", "union_splits", "rename", "require_columns",
+    "table_path", "read_table", "spread", "write_report", "write_by_label", "union_splits", "rename", "require_columns",
     "require_rows", "debug_head", "profile", "write_table", "save_model", "load_model",
 ]
 
@@ -114,6 +114,20 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     writer.parquet(path)
 
 
+def write_report(lines: DataFrame, path: str, order: list[str], line: str = "line") -> None:
+    """S08 sink: a small report (e.g. k topics × 30 ranked words) as one text
+    file in ``order``.  A range-sorted frame coalesced to one partition keeps
+    its order; only use this for report-sized frames."""
+    lines.orderBy(*order).select(line).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_by_label(df: DataFrame, path: str, label: str) -> None:
+    """One output folder per label (the per-label keyword tables behind a word
+    cloud), named by the label's file-safe form (space / \\ : → _)."""
+    from labelprism.functions.columns import safe_key
+    df.withColumn("file_label", safe_key(label)).write.mode("overwrite").partitionBy("file_label").parquet(path)
+
+
 def save_model(model, path: str) -> str:
     """Persist a fitted ``pyspark.ml`` model (or pipeline) with MLWriter."""
     model.write().overwrite().save(path)

@@ -75,3 +75,15 @@ def test_normalise_text_keeps_columns(spark):
     got = {(r.id, r.lab): r.norm_text for r in
            text.normalise_text(df, "id", "text", stopword_table(spark), lemma_table(spark), keep=["lab"]).collect()}
     assert got == {(1, "x"): "go go go say"}
+
+
+def test_report_and_label_sinks(spark, tmp_path):
+    lines = spark.createDataFrame([(0, 2, "  2. b (1.000)"), (0, 1, "  1. a (2.000)"), (1, 1, "  1. c (3.000)")],
+                                  "topic int, rank int, line string")
+    tables.write_report(lines, str(tmp_path / "rep"), ["topic", "rank"])
+    got = [r.value for r in spark.read.text(str(tmp_path / "rep")).collect()]
+    assert got == ["  1. a (2.000)", "  2. b (1.000)", "  1. c (3.000)"]
+    kw = spark.createDataFrame([("a b/c:d", "w", 1.0)], "label string, term string, score double")
+    tables.write_by_label(kw, str(tmp_path / "kw"), "label")
+    import os
+    assert os.listdir(str(tmp_path / "kw")).count("file_label=a_b_c_d") == 1
