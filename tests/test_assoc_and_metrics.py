@@ -74,3 +74,15 @@ def test_grouping_sets_counts(spark):
     got = {(r.level, r.label, r.cluster): r.n for r in assoc.label_cluster_counts(df, "label", "cluster").collect()}
     assert got[("label", "a", None)] == 2 and got[("cluster", None, 1)] == 2
     assert got[("label_cluster", "b", 1)] == 1
+
+
+def test_deviation_reindexes_empty_cluster(spark):
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (None, "a")], "cluster int, label string")
+    dom = spark.range(3).selectExpr("cast(id as int) as cluster")
+    got = {(r.cluster, r.label): r for r in assoc.deviation(df, "cluster", "label", dom).collect()}
+    assert len(got) == 6                                     # clusters 0, 1, 2 × labels a, b
+    assert got[(2, "a")].n == 0 and got[(2, "a")].row_pct == 0.0
+    assert math.isclose(got[(0, "a")].row_pct, 50.0)
+    # global shares count every row with a label (3 of 4 are "a")
+    assert math.isclose(got[(1, "a")].global_pct, 75.0)
+    assert math.isclose(got[(1, "a")].deviation, 25.0)
