@@ -199,10 +199,13 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     limit.  Work is quadratic in rows (exact search is); memory per task is
     bounded by ``block_rows``.  With ``query_flag`` only rows where that
     boolean column is true are searched for (every row is still a candidate).
+    Rows with a null key or a null vector take no part (they cannot be named
+    or placed).
     """
     pcols = [partition] if partition else []
     flag = [F.col(query_flag).alias("_q")] if query_flag else [F.lit(True).alias("_q")]
-    base = df.select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag)
+    base = (df.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
+              .select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag))
     if pcols:
         # per-partition block counts: a bounded collect of the (class-sized)
         # partition domain, so the broadcast below has a proven size

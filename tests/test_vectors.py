@@ -63,3 +63,10 @@ def test_rule_score(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "id long, t array<string>")
     got = {r.id: r.score for r in vectors.rule_score(df, "id", "t", [(["a", "b"], 2.0), (["b"], 0.5)]).collect()}
     assert got == {1: 2.5, 2: 0.5}
+
+
+def test_knn_skips_null_key_and_null_vector(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (None, [0.1]), (3, None), (4, [5.0])],
+                               "id long, v array<double>")
+    got = {(r.id, r.nbr) for r in vectors.knn(df, "id", "v", k=1).collect()}
+    assert got == {(1, 2), (2, 1), (4, 2)}
