@@ -128,15 +128,15 @@ def topic_term_counts(topic_terms: DataFrame, shares: DataFrame, topic: str = "t
     weight, freq = phi · topic_freq (expected count of the term in the topic),
     total = Σ over topics of freq, n_all = Σ of all expected counts (the
     corpus size, carried as a column so later steps need no extra pass).
-    Topic sums are a topic-sized broadcast; term sums an aggregate joined back
-    on the term."""
+    Topic sums are a topic-sized broadcast; the term total is a window over
+    the term's topics (at most k rows per group)."""
     wsum = topic_terms.groupBy(topic).agg(F.sum("weight").alias("_wsum"))
     tf = shares.select(topic, "topic_freq", F.sum("topic_freq").over(Window.partitionBy()).alias("n_all"))
     ph = (topic_terms.join(F.broadcast(wsum.join(tf, topic)), topic)
                      .withColumn("phi", F.col("weight") / F.col("_wsum"))
                      .withColumn("freq", F.col("phi") * F.col("topic_freq")))
-    tot = ph.groupBy(term).agg(F.sum("freq").alias("total"))
-    return ph.join(tot, term).select(topic, term, "phi", "freq", "total", "n_all")
+    total = F.sum("freq").over(Window.partitionBy(term))
+    return ph.withColumn("total", total).select(topic, term, "phi", "freq", "total", "n_all")
 
 
 def token_shares(counts: DataFrame, topic: str = "topic", term: str = "term") -> DataFrame:
