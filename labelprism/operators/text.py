@@ -48,6 +48,14 @@ def explode_tokens(df: DataFrame, key: str, tokens: str, term: str = "term",
     return df.select(key, F.explode_outer(tokens).alias(term)).where(F.col(term).isNotNull())
 
 
+BROADCAST_ROWS = 2_000_000   # word-table rows we agree to broadcast
+
+
+def _bounded_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after a bounded count proves the table small."""
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
 def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
                    lemmas: DataFrame, out: str = "norm_text", keep: list[str] | None = None) -> DataFrame:
     """Keep alphabetic tokens that are not stop/number words, map each to
@@ -58,8 +66,10 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
 
     Plan: posexplode the token runs → left-anti join on the stop table → left
     join on the lemma table → regroup by ``key`` (plus the carried ``keep``
-    columns).  Both tables are joined by broadcast when AQE sees they are
-    small and by shuffle otherwise, so a full lemma dictionary works too.
+    columns).  Each word table is counted with a bound first: up to
+    ``BROADCAST_ROWS`` rows it is broadcast (tables built on the driver carry
+    no size statistics, so neither the planner nor AQE would know in time),
+    beyond that it is a shuffle join, so a full lemma dictionary works too.
     When the input is hash-partitioned by ``key`` the regroup needs no
     shuffle.  (An in-row variant with higher-order functions was measured
     10× slower: those run interpreted, the joins run in generated code.)
@@ -69,8 +79,9 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
                       .alias("_pos", "_w"))
               .where(F.col("_w").rlike(ALPHA_ONLY))
               .withColumn("_lw", F.lower("_w")))
-    stop_df = stopwords.select(F.col("form").alias("_lw")).distinct()
-    lem_df = lemmas.select(F.col("form").alias("_lw"), F.col("lemma").alias("_lemma")).dropDuplicates(["_lw"])
+    stop_df = _bounded_broadcast(stopwords.select(F.col("form").alias("_lw")).distinct())
+    lem_df = _bounded_broadcast(lemmas.select(F.col("form").alias("_lw"), F.col("lemma").alias("_lemma"))
+                                      .dropDuplicates(["_lw"]))
     kept_rows = (toks.join(stop_df, "_lw", "left_anti")
                      .join(lem_df, "_lw", "left")
                      .withColumn("_lemma", F.coalesce("_lemma", "_w")))
