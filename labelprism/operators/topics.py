@@ -16,6 +16,8 @@ driver.  Only the k × k overlap/distance tables are collected (M05, A21).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, LocalLDAModel
@@ -304,7 +306,7 @@ def align_topics(overlap: DataFrame, fitted: list[int], display: list[str], thre
     Returns a pandas frame ``(topic, name, position)``.
     """
     jac = {(r["topic_a"], r["topic_b"]): r["jaccard"] for r in overlap.collect()}
-    order = sorted(display, key=lambda s: int("".join(ch for ch in s if ch.isdigit()) or 0))
+    order = sorted(display, key=lambda s: (_first_number(s), s))
     unmatched = sorted(fitted)
     matched: dict[str, int] = {}
     for name in order:
@@ -340,12 +342,19 @@ def pivot_named(long: DataFrame, row: str, col: str, value: str, names: dict | N
     pivot values are given explicitly, so no extra pass discovers them."""
     values = order if order is not None else small_domain(long, col)
     if order is None:
-        values = sorted(values, key=lambda v: (int("".join(ch for ch in str(v) if ch.isdigit()) or 0), str(v)))
+        values = sorted(values, key=lambda v: (_first_number(str(v)), str(v)))
     names = names or {}
     wide = long.groupBy(row).pivot(col, values).agg(F.first(value))
     return wide.select(row, *[F.col(f"`{v}`").alias(str(names.get(v, v))) for v in values])
 
 
+def _first_number(s: str) -> int:
+    """The first run of digits in a name (``Topic10`` → 10; none → 0), the
+    same rule as the column expression ``number_in_name``."""
+    m = re.search(r"\d+", s)
+    return int(m.group()) if m else 0
+
+
 def numbered_order(df: DataFrame, name: str) -> DataFrame:
     """Sort by the number inside a name (``Topic10`` after ``Topic9``)."""
     return df.orderBy(number_in_name(name), F.col(name))
