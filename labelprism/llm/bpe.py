@@ -19,44 +19,102 @@ first merges words that the tokenizer would lower-case itself; texts that hold
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from labelprism.llm.common import bodies, load_tokenizer, read_text, same_document
+from labelprism.llm.common import Words, add_counts, edges, keyed_bodies, load_tokenizer, lower_ascii, one_array, place_in, read_text, slices, words_of
 
 __all__ = ["bpe_encode", "bpe_decode"]
 
-#: Words of the broadcast part, its longest word in bytes, and what a task may send as candidates for it.
-HOT_WORDS, HOT_BYTES, LOCAL_TOP = 1 << 19, 64, 1 << 17
+#: Words of the broadcast part, its longest word, and what a task may send as candidates for it.
+HOT_WORDS, HOT_CHARS, LOCAL_TOP = 1 << 19, 64, 1 << 17
 #: Distinct words that a task counts before it forgets the rarer half.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
+#: Rows decoded at once.
+DECODED = 512
 
 
-def split_words(body: bytes) -> list[bytes]:
-    return (body if b"<|" in body else body.lower()).split()
+def bpe_words(texts: pa.Array) -> Words:
+    """Words as the encoder tells them apart.
+
+    A-Z are in lower case but in texts that may hold special tokens, and a last
+    mark after a letter or digit is a word of its own: the pre-tokeniser cuts it
+    off too.  Both make words that differ only so one.
+    """
+    special = pc.match_substring(texts, "<|")
+    lower = pc.if_else(special, texts, lower_ascii(texts)) if pc.any(special).as_py() else lower_ascii(texts)
+    return words_of(pc.replace_substring_regex(lower, LAST_MARK, r"\1 \2\3"))
+
+
+#: Characters that stand alone after letters (fixed values); the last character below which letters are looked at here.
+ALONE, LATIN = ".,;:!?", "\u024F"
+LAST_MARK = r"([0-9a-z])([.,;:!?])([\t\n\f\r ]|$)"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers' letter of each byte: itself where printable, else the next free character from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-def encode_words(tok, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian unsigned 32-bit integers."""
+def word_ids(tok, words: list[str]) -> list[list[int]]:
+    """Ids of each word.
+
+    Most words are lower-case Latin letters, perhaps with one punctuation mark
+    after them.  The normaliser leaves those alone and the pre-tokeniser cuts off
+    the mark, so the letters go straight to the library's BPE model, which takes
+    a fifth of the time; all others take the library's whole way.
+    """
+    tokenize, letters = tok.model.tokenize, byte_letters()
+    marks = {m: tok.encode(m, add_special_tokens=False).ids for m in ALONE}
+    out: list = []
+    others = []
+    for w in words:
+        core, mark = (w[:-1], marks[w[-1]]) if w[-1:] in marks else (w, None)
+        if core.isalpha() and core.islower():
+            if core.isascii():
+                ids = [t.id for t in tokenize(core)]
+                out.append(ids + mark if mark else ids)
+                continue
+            if max(core) <= LATIN and is_normalized("NFC", core):
+                ids = [t.id for t in tokenize(core.encode().decode("latin-1").translate(letters))]
+                out.append(ids + mark if mark else ids)
+                continue
+        others.append(len(out))
+        out.append(None)
     run = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    texts = [w.decode("utf-8", "replace") for w in words]
-    return [np.asarray(e.ids, "<u4").tobytes() for e in run(texts, add_special_tokens=False)]
+    for k, e in zip(others, run([words[k] for k in others], add_special_tokens=False)):
+        out[k] = e.ids
+    return out
+
+
+def encode_words(tok, words: list[str]) -> pa.ListArray:
+    return pa.array(word_ids(tok, words), pa.list_(pa.int32()))
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for b in batches:
-        for body in b.column("body").to_pylist():
-            counts.update(split_words(body))
-        if len(counts) > COUNTED:
-            counts = Counter(dict(counts.most_common(COUNTED // 2)))
-    top = [(w, n) for w, n in counts.most_common(LOCAL_TOP) if len(w) <= HOT_BYTES]
-    yield pa.record_batch([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+    counts = None
+    for b in slices(batches):
+        words = bpe_words(b.column("body"))
+        counts = add_counts(counts, words.distinct, n=np.bincount(words.codes, minlength=len(words.distinct)))
+        if counts.num_rows > COUNTED:
+            counts = top(counts, COUNTED // 2)
+    if counts is not None:
+        counts = top(counts, LOCAL_TOP)
+        length = pc.utf8_length(counts["word"])
+        yield from counts.filter(pc.and_(pc.and_(pc.greater(length, 0), pc.less_equal(length, HOT_CHARS)), pc.greater(counts["n"], 1))).to_batches()
+
+
+def top(counts: pa.Table, most: int) -> pa.Table:
+    return counts.take(pc.select_k_unstable(counts, most, [("n", "descending")])) if counts.num_rows > most else counts
 
 
 def to_bytes(ranks: np.ndarray, per_doc: np.ndarray) -> list[bytes]:
@@ -84,6 +142,20 @@ def from_bytes(data: bytes) -> np.ndarray:
     return out
 
 
+def packed(ids: pa.ListArray, width: int) -> pa.Array:
+    """Lists of ids as bytes, ``width`` for each."""
+    flat = np.asarray(ids.flatten()).astype(f"<u{width}")
+    ends = (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * width
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def unpacked(data: pa.Array, width: int) -> pa.ListArray:
+    """What ``packed`` wrote; no nulls."""
+    size = np.asarray(pc.binary_length(data)) // width
+    flat = np.frombuffer(b"".join(data.to_pylist()), f"<u{width}").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges(size), pa.int32()), pa.array(flat))
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, ids array<int>`` of every row of ``docs``, as the tokenizer encodes its whole text.
 
@@ -94,75 +166,80 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
     spark = docs.sparkSession
     sc = spark.sparkContext
     spec = sc.broadcast(read_text(tokenizer_path))
-    source = bodies(docs, tag=True)
+    source = keyed_bodies(docs).withColumn("body", F.col("body").cast("string"))
 
     def encode_rows(batches):
         tok = load_tokenizer(spec.value)
         for b in batches:
-            ids = encode_words(tok, b.column("word").to_pylist())
-            yield pa.record_batch([b.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            yield pa.record_batch([b.column("word"), encode_words(tok, b.column("word").to_pylist())], ["word", "ids"])
 
-    frequent = (source.select("body").mapInArrow(_frequent, "word binary, n long")
+    frequent = (source.select("body").mapInArrow(_frequent, "word string, n long")
                 .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_words))
-    table = frequent.select("word").mapInArrow(encode_rows, "word binary, ids binary").toArrow()
-    hot = sc.broadcast((table["word"].to_pylist(), table["ids"].to_pylist()))
+    table = frequent.select("word").mapInArrow(encode_rows, "word string, ids array<int>").toArrow().combine_chunks()
+    hot = sc.broadcast(one_array(table["word"]))
+    hot_ids = sc.broadcast(one_array(table["ids"]))
+    width = 2 if load_tokenizer(spec.value).get_vocab_size(True) <= 1 << 16 else 4
+
+    def ranks(words: Words) -> np.ndarray:
+        """Rank of every place's word, 0 for a rare one."""
+        return (place_in(words.distinct, hot.value) + 1).astype(np.int64)[words.codes]
 
     def coded(batches):
-        rank = {w: k + 1 for k, w in enumerate(hot.value[0])}
-        for b in batches:
-            words = [split_words(x) for x in b.column("body").to_pylist()]
-            flat = [rank.get(w, 0) for doc in words for w in doc]
-            codes = to_bytes(np.array(flat, np.int64), np.array([len(doc) for doc in words], np.int64))
-            yield pa.record_batch([b.column("doc_id"), b.column("tag"), pa.array(codes, pa.binary())], ["doc_id", "tag", "codes"])
+        for b in slices(batches):
+            words = bpe_words(b.column("body"))
+            codes = to_bytes(ranks(words), words.per_text)
+            yield pa.record_batch([*(b.column(k) for k in ("doc_id", "id", "tag")), pa.array(codes, pa.binary())], ["doc_id", "id", "tag", "codes"])
 
     def gaps(batches):
-        known = frozenset(hot.value[0])
-        for b in batches:
-            rare = [[w for w in split_words(x) if w not in known] for x in b.column("body").to_pylist()]
-            n = np.array([len(r) for r in rare], np.int64)
-            row = np.repeat(np.arange(len(rare)), n)
-            seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.record_batch([b.column("doc_id").take(pa.array(row)), b.column("tag").take(pa.array(row)),
-                                   pa.array(seq, pa.int32()), pa.array([w for r in rare for w in r], pa.binary())], ["doc_id", "tag", "seq", "word"])
+        for b in slices(batches):
+            words = bpe_words(b.column("body"))
+            rare = ranks(words) == 0
+            text = np.repeat(np.arange(b.num_rows), words.per_text)[rare]
+            n = np.bincount(text, minlength=b.num_rows)
+            seq = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+            place = np.asarray(b.column("tag")).astype(np.int64)[text] << 32 | seq
+            yield pa.record_batch([b.column("id").take(pa.array(text)), pa.array(place), words.distinct.take(pa.array(words.codes[rare]))], ["id", "place", "word"])
 
     def encode_once(batches):
         """Equal words follow each other, so a batch's first word may be the one encoded last."""
         tok = load_tokenizer(spec.value)
-        word, ids = None, b""
+        word, ids = None, pa.array([], pa.list_(pa.int32()))
         for b in batches:
             column = b.column("word").dictionary_encode()
             distinct = column.dictionary.to_pylist()
             known = distinct[:1] == [word]
-            got = ([ids] if known else []) + encode_words(tok, distinct[known:])
+            new = encode_words(tok, distinct[known:])
+            got = pa.concat_arrays([ids, new]) if known else new
             if distinct:
-                word, ids = b.column("word")[-1].as_py(), got[column.indices[-1].as_py()]
-            yield pa.record_batch([b.column("doc_id"), b.column("tag"), b.column("seq"),
-                                   pa.array(got, pa.binary()).take(column.indices)], ["doc_id", "tag", "seq", "ids"])
+                last = column.indices[-1].as_py()
+                word, ids = distinct[last], got.slice(last, 1)
+            yield pa.record_batch([b.column("id"), b.column("place"), packed(got.take(column.indices), width)], ["id", "place", "ids"])
 
-    coded_docs = source.mapInArrow(coded, "doc_id long, tag int, codes binary")
-    rest = (source.mapInArrow(gaps, "doc_id long, tag int, seq int, word binary")
+    coded_docs = source.mapInArrow(coded, "doc_id long, id long, tag int, codes binary")
+    rare = (source.mapInArrow(gaps, "id long, place long, word string")
             .repartition("word").sortWithinPartitions("word")
-            .mapInArrow(encode_once, "doc_id long, tag int, seq int, ids binary")
-            .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("seq", "ids")).alias("rest")))
-    joined = coded_docs.join(rest, same_document(coded_docs, rest), "left").select(coded_docs.doc_id, "codes", "rest")
+            .mapInArrow(encode_once, "id long, place long, ids binary"))
+    # dealt out row by row: a task holds few words of a document, so gathering them there first would only add
+    rest = (rare.select("id", F.shiftright("place", 32).cast("int").alias("tag"), "place", "ids").repartition("id", "tag")
+            .groupBy("id", "tag").agg(F.collect_list(F.struct("place", "ids")).alias("rest")))
+    joined = coded_docs.join(rest, ["id", "tag"], "left").select("doc_id", "codes", "rest")
 
     def fill(batches):
-        pieces = [b"", *hot.value[1]]
-        for b in batches:
-            docs_out = []
-            for codes, found in zip(b.column("codes").to_pylist(), b.column("rest")):
-                ranks = from_bytes(codes)
-                parts = [pieces[r] for r in ranks.tolist()]
-                if found.is_valid:
-                    at = np.flatnonzero(ranks == 0)
-                    seq = np.asarray(found.values.field("seq"))
-                    for k, ids in zip(at[seq].tolist(), found.values.field("ids").to_pylist()):
-                        parts[k] = ids
-                docs_out.append(np.frombuffer(b"".join(parts), "<u4"))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in docs_out])))
-            flat = np.concatenate(docs_out) if docs_out else np.zeros(0, np.uint32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-            yield pa.record_batch([b.column("doc_id"), ids], ["doc_id", "ids"])
+        for b in slices(batches, "codes"):
+            numbers = [from_bytes(c) for c in b.column("codes").to_pylist()]
+            per_text = np.array([len(x) for x in numbers], np.int64)
+            rank = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+            rest = b.column("rest")
+            found = rest.flatten()
+            text = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(rest), 0)))
+            # a document's rare words in their order; copies of the document give each one again
+            _, order = np.unique(text << 32 | np.asarray(found.field("place")) & 0xFFFFFFFF, return_index=True)
+            pieces = pa.concat_arrays([hot_ids.value, unpacked(found.field("ids").take(pa.array(order)), width)])
+            at = rank - 1
+            at[rank == 0] = len(hot_ids.value) + np.arange(len(order))
+            words = pieces.take(pa.array(at))
+            ends = np.asarray(words.offsets)[edges(per_text)] - words.offsets[0].as_py()
+            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.flatten())], ["doc_id", "ids"])
 
     return joined.mapInArrow(fill, "doc_id long, ids array<int>")
 
@@ -179,17 +256,21 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     if tok.decoder is not None:
         raise ValueError("only tokenizers without a decoder are supported")
     vocab = tok.get_vocab(with_added_tokens=True)
-    pieces = encoded.sparkSession.sparkContext.broadcast({i: p for p, i in vocab.items()})
+    table = sorted((i, p) for p, i in vocab.items())
+    pieces = encoded.sparkSession.sparkContext.broadcast((pa.array([i for i, _ in table], pa.int32()), pa.array([p for _, p in table], pa.string())))
     schema = [f for f in encoded.schema.fields if f.name != "decoded"]
 
     def look_up(batches):
-        piece = pieces.value
         for b in batches:
-            texts = [None if not x.is_valid else " ".join([piece[i] for i in x.values.to_pylist() if i in piece])
-                     for x in b.column("ids")]
-            keep = [n for n in b.schema.names if n != "decoded"]
-            yield pa.record_batch([*(b.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            for k in range(0, b.num_rows, DECODED):
+                part = b.slice(k, DECODED)
+                ids = part.column("ids")
+                known = np.isin(np.asarray(ids.flatten()), np.asarray(pieces.value[0]))
+                place = np.repeat(np.arange(len(ids)), np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))[known]
+                found = pc.index_in(ids.flatten().filter(pa.array(known)), pieces.value[0])
+                lists = pa.ListArray.from_arrays(pa.array(edges(np.bincount(place, minlength=len(ids))), pa.int32()), pieces.value[1].take(found))
+                texts = pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), None)
+                keep = [n for n in part.schema.names if n != "decoded"]
+                yield pa.record_batch([*(part.column(n) for n in keep), texts], [*keep, "decoded"])
 
     return encoded.mapInArrow(look_up, StructType([*schema, StructField("decoded", StringType())]))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _crc(batches):
     for b in batches:
-        crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in b.column("ids")]
-        n = [len(x.values) for x in b.column("ids")]
+        ids, at = np.asarray(b.column("ids").flatten()).astype("<u4"), np.cumsum(pc.list_value_length(b.column("ids")))
+        n = np.diff(at, prepend=0)
+        crc = [zlib.crc32(ids[end - k: end].tobytes()) for k, end in zip(n.tolist(), at.tolist())]
         yield pa.record_batch([b.column("doc_id"), b.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                               ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -48,7 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as token files, read the files back and digest each document."""
     folder = shared_folder(spark, "token-files")
     files = token_files.write_token_files(read(spark, sf_dir, "documents"), folder, public_path(WORD_BPE), end_id=2)
-    return token_files.read_token_files(spark, folder, files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_files.read_token_files(folder, files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 QUERIES = {

@@ -17,24 +17,27 @@ task that is run again leaves no half file in the result.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelprism.llm.bpe import encode_words, split_words
-from labelprism.llm.common import bodies, load_tokenizer, read_text
+from labelprism.llm.bpe import bpe_words, word_ids
+from labelprism.llm.common import SLICE, bodies, edges, load_tokenizer, read_text, slices
 
 __all__ = ["write_token_files", "read_token_files"]
 
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 1 << 20
 FILES = "path string, part int, file int, n_docs long, n_tokens long"
-_KNOWN: dict[int, dict[bytes, bytes]] = {}
+#: Documents read at once.
+READ = 1024
+_ENCODERS: dict[int, "Encoder"] = {}
 
 
 def file_schema(length: int, width: int) -> pa.Schema:
@@ -44,24 +47,46 @@ def file_schema(length: int, width: int) -> pa.Schema:
                       ("mask", pa.list_(pa.bool_(), length)), ("docs", pa.list_(doc))])
 
 
-def sequences(doc_ids: list, docs: list[np.ndarray], length: int, width: int) -> pa.RecordBatch:
-    """One file's rows."""
-    n = np.array([len(d) for d in docs], np.int64)
+def sequences(doc_ids: pa.Array, n: np.ndarray, stream: np.ndarray, length: int, width: int) -> pa.RecordBatch:
+    """One file's rows: documents of ``n`` ids each, one after the other in ``stream``."""
     start = np.cumsum(n) - n
-    total = int(n.sum())
-    rows = -(-total // length)
+    rows = -(-len(stream) // length)
     ids = np.zeros(rows * length, np.uint16 if width == 2 else np.uint32)
-    ids[:total] = np.concatenate(docs) if docs else 0
+    ids[: len(stream)] = stream
     schema = file_schema(length, width)
     first = np.searchsorted(start, np.arange(rows + 1) * length)
-    starts = pa.StructArray.from_arrays(
-        [pa.array(doc_ids, pa.int64()), pa.array((start % length).astype(np.int32)), pa.array(n)], fields=list(schema.field("docs").type.value_type))
+    starts = pa.StructArray.from_arrays([doc_ids, pa.array((start % length).astype(np.int32)), pa.array(n)], fields=list(schema.field("docs").type.value_type))
     return pa.record_batch([
         pa.FixedSizeListArray.from_arrays(pa.array(ids), length),
-        pa.FixedSizeListArray.from_arrays(pa.array(np.arange(rows * length) < total), length),
+        pa.FixedSizeListArray.from_arrays(pa.array(np.arange(rows * length) < len(stream)), length),
         pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), starts)], schema=schema)
 
 
+class Encoder:
+    """Ids of texts through the ids of their words, remembered up to a bound."""
+
+    def __init__(self, tok):
+        self.tok, self.known = tok, {}
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text, and how many each text has."""
+        words = bpe_words(texts)
+        distinct = words.distinct.to_pylist()
+        if new := [w for w in distinct if w not in self.known]:
+            for k in range(0, len(new), 1 << 14):
+                part = new[k: k + (1 << 14)]
+                for w, ids in zip(part, word_ids(self.tok, part)):
+                    self.known[w] = array("I", ids).tobytes()
+        pieces = [self.known[w] for w in distinct] + [array("I", [end_id]).tobytes()]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        offsets = edges(np.array(list(map(len, pieces)), np.int64) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), np.uint32)))
+        places = np.insert(words.codes, edges(words.per_text)[1:], len(distinct))
+        found = lists.take(pa.array(places))
+        return np.asarray(found.flatten()), np.diff(np.asarray(found.offsets)[edges(words.per_text + 1)]).astype(np.int64)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024,
                       file_tokens: int = 1 << 22) -> DataFrame:
     """Write ``docs`` to ``folder`` and return the files: ``path, part, file, n_docs, n_tokens, start``.
@@ -80,69 +105,64 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     filesystem, root = pa.fs.FileSystem.from_uri(folder)
     filesystem.create_dir(root, recursive=True)
 
-    def flush(part: int, file: int, ids: list, tokens: list) -> pa.RecordBatch:
+    def flush(part: int, file: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, n, stream = (pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2)))
+        batch = sequences(ids, n, stream, length, width)
         fs, at = pa.fs.FileSystem.from_uri(folder)
         path = f"{at}/part-{part:06d}-{file:06d}-{uuid.uuid4().hex}.arrow"
-        batch = sequences(ids, tokens, length, width)
         with fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, batch.schema) as out:
             out.write_batch(batch)
         return pa.record_batch([[path.rsplit("/", 1)[-1]], pa.array([part], pa.int32()), pa.array([file], pa.int32()),
-                                pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, tokens))], pa.int64())],
-                               ["path", "part", "file", "n_docs", "n_tokens"])
+                                pa.array([len(n)], pa.int64()), pa.array([len(stream)], pa.int64())], [x.split()[0] for x in FILES.split(", ")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(spec.value)
-        known = _KNOWN.setdefault(hash(spec.value), {})
-        end = np.array([end_id], "<u4").tobytes()
-        part, file, ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
-        for b in batches:
-            for doc_id, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
-                words = split_words(body)
-                if new := list(set(words).difference(known)):
-                    known.update(zip(new, encode_words(tok, new)))
-                stream = np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4")
-                ids.append(doc_id)
-                tokens.append(stream.astype(np.uint16) if width == 2 else stream)
-                held += len(stream)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if held >= file_tokens:
-                    yield flush(part, file, ids, tokens)
-                    file, ids, tokens, held = file + 1, [], [], 0
-        if ids:
-            yield flush(part, file, ids, tokens)
+        key = hash(spec.value)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(load_tokenizer(spec.value))
+        part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in slices(batches, size=min(SLICE, 4 * file_tokens)):
+            stream, n = _ENCODERS[key].encode(b.column("body"), end_id)
+            held.append((b.column("doc_id"), n, stream.astype(np.uint16) if width == 2 else stream))
+            size += len(stream)
+            if size >= file_tokens:
+                yield flush(part, file, held)
+                file, held, size = file + 1, [], 0
+        if held:
+            yield flush(part, file, held)
 
     # runs once: the rows that the successful tasks send back, one per file, are the list of files
-    ordered = bodies(docs).repartitionByRange("doc_id", "body").sortWithinPartitions("doc_id", "body")
+    source = bodies(docs).withColumn("body", F.col("body").cast("string"))
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
     files = spark.createDataFrame(ordered.mapInArrow(write, FILES).toArrow().to_pandas(), FILES)
     order = Window.orderBy("part", "file")
     return files.withColumn("start", F.sum("n_tokens").over(order) - F.col("n_tokens"))
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """``doc_id, start, ids array<long>`` of every document, from the files alone.
+def read_token_files(folder: str, files: DataFrame) -> DataFrame:
+    """``doc_id, start, ids array<int>`` of every document, from the files alone.
 
-    ``start`` counts all ids of earlier documents.  No files give no rows.
+    A task takes some of the files and maps them one by one; ``start`` counts
+    all ids of earlier documents.  No files give no rows.
     """
 
     def documents(batches):
+        fs, root = pa.fs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                table = pa.ipc.open_file(content.as_buffer()).read_all()
-                flat = np.concatenate([np.asarray(c.flatten()) for c in table["ids"].chunks])
+            for path, before in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
+                with fs.open_input_file(f"{root}/{path}") as source:
+                    table = pa.ipc.open_file(source).get_batch(0)
                 length = table.schema.field("ids").type.list_size
-                starts = table["docs"].combine_chunks()
+                starts = table.column("docs")
                 row = np.repeat(np.arange(len(starts)), np.diff(np.asarray(starts.offsets)))
                 docs = starts.flatten()
-                at = row * length + np.asarray(docs.field("at"))
+                start = row * length + np.asarray(docs.field("at"))
                 n = np.asarray(docs.field("n"))
-                used = flat[: int(n.sum())].astype(np.int64)
-                ends = np.concatenate((at, [len(used)]))
-                yield pa.record_batch([pa.array([path.rsplit("/", 1)[-1]] * len(at)), docs.field("doc_id"), pa.array(at),
-                                       pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(used))], ["path", "doc_id", "at", "ids"])
-
-    if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, ids array<long>")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("path", "content")
-    rows = content.mapInArrow(documents, "path string, doc_id long, at long, ids array<long>")
-    return rows.join(files.select("path", "start"), "path").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "ids")
+                flat = table.column("ids").flatten()
+                for k in range(0, len(n), READ):
+                    lo, hi = int(start[k]), int((start + n)[min(k + READ, len(n)) - 1])
+                    ends = np.concatenate((start[k: k + READ], [hi])) - lo
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.slice(lo, hi - lo).cast(pa.int32()))
+                    yield pa.record_batch([docs.field("doc_id").slice(k, READ), pa.array(before + start[k: k + READ]), ids], ["doc_id", "start", "ids"])
+
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select("path", "start").mapInArrow(documents, "doc_id long, start long, ids array<int>")
