@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelprism.llm import bpe, token_counts, token_files
+from labelprism.llm import bpe, chat, decontaminate, lattice, quality, simhash, substring, token_counts, token_files, toxicity
 from labelprism.llm.common import public_path, read, shared_folder
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -22,13 +23,72 @@ def sha(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that an earlier window of 20 words has, removed."""
+    found = substring.substring_dedup(read(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", sha(F.col("text")).alias("kept_sha256"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 10-word windows of benchmark items, and the items."""
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def _read_back(batches):
+    """Digests of conversations from their formatted text and loss spans alone."""
+    for b in batches:
+        out = [[] for _ in range(6)]
+        for formatted, loss in zip(b.column("formatted").to_pylist(), b.column("loss").to_pylist()):
+            turns = chat.parse_turns(formatted)
+            learnt = "".join(chat.unescape(formatted[s["start"]: s["end"]]) for s in loss)
+            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
+            for column, value in zip(out, (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(formatted))):
+                column.append(value)
+        yield pa.record_batch([b.column("tree"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()),
+                               pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())],
+                              ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, formatted, and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    formatted = chat.format_paths(chat.reply_paths(chat.chains(rows.unionByName(own)), branches=1))
+    return formatted.select("tree", "formatted", "loss").mapInArrow(
+        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, at most 3 differing bits."""
+    found = simhash.simhash_components(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     path = public_path(WORD_BPE)
-    encoded = bpe.bpe_encode(read(spark, sf_dir, "documents"), path)
-    return bpe.bpe_decode(encoded, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return digests(bpe.bpe_decode(bpe.bpe_encode(read(spark, sf_dir, "documents"), path), path))
+
+
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), *more)
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice score of every document."""
+    pieces, logp = lattice.sentencepiece_scores(public_path(PIECE_BPE))
+    return lattice.lm_scores(read(spark, sf_dir, "documents"), pieces, logp)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the plain rules and the verdict of the robust distance."""
+    return quality.quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +97,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a model fitted to labelled rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))
+    held_out = ~F.coalesce(toxicity.training_row(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic")
+
+
 def _crc(batches):
     for b in batches:
         ids, at = np.asarray(b.column("ids").flatten()).astype("<u4"), np.cumsum(pc.list_value_length(b.column("ids")))
@@ -54,8 +122,51 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_chat_format": op3_chat_format,
+    "op4_simhash": op4_simhash,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_lm_scores": op6_lm_scores,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM late),
+word AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {WORDS2} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS2} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, s)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(0, n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE["op3_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(length(regexp_replace(role, '([\\#<:])', 'x\1', 'g')) + length(regexp_replace(text, '([\\#<])', 'x\1', 'g')) + 14)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
