@@ -97,26 +97,28 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = rows.select("name", F.col("node").alias("parent"), F.lit(True).alias("there"))
     jump = (rows.select("name", "node", "parent", "score").join(known, ["name", "parent"], "left")
             .select("name", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")))
-    jumps = []
+    # round k: ``jump`` holds the messages that have an ancestor 2**k above them, ``done`` those that have reached their root
+    jumps, done = [], None
     for _ in range(1 + math.ceil(math.log2(most + 1))):
         jump = cut(jump)
-        jumps.append(jump)
-        if not jump.where("up is not null").limit(1).count():
+        jumps.append(jump.where("up is not null").select("name", "node", "up"))
+        ended = jump.where("up is null").select("name", "node", "steps", "sum")
+        done = ended if done is None else done.unionByName(ended)
+        going = jump.where("up is not null")
+        if going.isEmpty():
             break
-        above = jump.select("name", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        jump = jump.join(above, ["name", "up"], "left").select(
-            "name", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0).cast("long"))).alias("steps"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))
-    # who still points at someone hangs on a cycle; ``steps`` of the others is their depth, ``sum`` their path's score
-    whole = jumps[-1].where("up is null").select("name", "node", F.col("steps").alias("depth"), "sum")
+        above = going.unionByName(done.withColumn("up", F.lit(None).cast(jump.schema["up"].dataType))).select("name", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
+        jump = going.join(above, ["name", "up"]).select(
+            "name", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("sum") + F.col("sum2")).alias("sum"))
+    # who never got there hangs on a cycle; ``steps`` of the others is their depth, ``sum`` their path's score
+    whole = cut(done).select("name", "node", F.col("steps").alias("depth"), "sum")
     answered = rows.select("name", F.col("parent").alias("node")).distinct()
     rank = Window.partitionBy("name").orderBy(F.desc("sum"), "node")
     leaves = whole.join(answered, ["name", "node"], "left_anti").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= branches)
 
     path = leaves.select("name", F.col("node").alias("leaf"), "rank", F.col("sum").alias("score"), "node", "depth")
-    for k in reversed(range(len(jumps) - 1)):
-        step = jumps[k].where("up is not null").select("name", "node", "up")
-        further = path.join(step, ["name", "node"]).select("name", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        further = path.join(jumps[k], ["name", "node"]).select("name", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         path = cut(path.unionByName(further))
     return path.join(rows.select("name", "tree", "node", "role", "text"), ["name", "node"]).select("tree", "name", "leaf", "rank", "score", "depth", "node", "role", "text")
 
