@@ -94,8 +94,9 @@ def safe_key(col) -> Column:
 
 
 def number_in_name(col) -> Column:
-    """The first run of digits in a name as an int (``Topic10`` → 10)."""
-    return F.regexp_extract(_c(col), r"(\d+)", 1).cast("int")
+    """The first run of digits in a name (``Topic10`` → 10), 0 where there is
+    none (``Default``) or the run is no 64-bit number."""
+    return F.coalesce(F.regexp_extract(_c(col), r"(\d+)", 1).try_cast("bigint"), F.lit(0))
 
 
 def rnd(col, places: int = 6) -> Column:

@@ -1,10 +1,9 @@
 """Association statistics between a label and a category or a term.
 
-Complete label × category grids are built without a cross join: the small
-domain (labels) is collected as literals (bounded, see ``domain.py``) and each
-group row carries one conditional count per label — a single shuffle on the
-large key with map-side partial aggregation — then the counts are stacked back
-to long form.  Zero cells therefore exist without ever joining two domains.
+Pairs are counted once, in long form, with partial counts in the map tasks.
+Totals follow from those counts, and the zero cells of a complete grid are added
+last: each row value looks up which column values it lacks.  Domains of labels
+may have any size; nothing of them passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelprism.functions.columns import rnd
-from labelprism.operators.domain import chunks, small_counts, small_domain
 from labelprism.operators.text import term_presence
 
-__all__ = ["label_distribution", "crosstab", "complete_counts", "row_percent", "deviation",
+__all__ = ["label_distribution", "crosstab", "complete_cells", "complete_counts", "row_percent", "deviation",
            "log_odds", "term_log_odds", "label_keywords", "label_cluster_counts", "max_abs",
            "odds_score"]
 
@@ -32,43 +29,49 @@ def odds_score(a: Column, b: Column, c: Column, d: Column) -> Column:
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, pct)`` over non-null labels; pct of the labelled rows."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # one row per label: the global total is a window over a tiny table
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.col("n") * F.lit(100.0) / total)
 
 
+def complete_cells(cells: DataFrame, row: str, col: str, col_values: list | None = None,
+                   row_domain: DataFrame | None = None, n: str = "n",
+                   col_domain: DataFrame | None = None) -> DataFrame:
+    """Counted ``(row, col, n)`` cells and a zero for every other cell of the grid.
+
+    Columns are the given values, else those of ``col_domain`` (one column named
+    ``col``), else those of the cells.  A row looks up
+    which columns it has and gets a zero for each of the others; the counted
+    cells themselves pass through as they are.
+    """
+    kind = cells.schema[col].dataType
+    if col_values is not None:
+        domain = F.array(*[F.lit(v) for v in col_values]).cast(f"array<{kind.simpleString()}>")
+        cells = cells.where(F.array_contains(domain, F.col(col))) if col_values else cells.limit(0)
+    else:
+        domain = (cells if col_domain is None else col_domain).agg(F.collect_set(col)).scalar()
+    have = cells.groupBy(row).agg(F.collect_set(col).alias("_have"))
+    if row_domain is not None:
+        have = have.join(row_domain.select(row).where(F.col(row).isNotNull()).distinct(), row, "full")
+    rest = F.array_except(domain, F.coalesce("_have", F.array().cast(f"array<{kind.simpleString()}>")))
+    zero = have.select(row, F.explode(rest).alias(col), F.lit(0).cast(cells.schema[n].dataType).alias(n))
+    return cells.select(row, col, n).unionByName(zero)
+
+
 def complete_counts(df: DataFrame, row: str, col: str, col_values: list | None = None,
                     row_domain: DataFrame | None = None, n: str = "n",
-                    weight: str | None = None) -> DataFrame:
+                    weight: str | None = None, col_domain: DataFrame | None = None) -> DataFrame:
     """Long ``(row, col, n)`` counts over the complete grid.
 
-    ``col`` must be a small domain (its values become literals; given or
-    collected with a bound).  Rows are every non-null ``row`` value in ``df``,
-    plus the values of ``row_domain`` (one column named ``row``) if given — the
-    re-index-to-``range(k)`` of a cross-tab.  Null ``row``/``col`` values are
-    left out, like a pandas cross-tab.  With ``weight`` the cells sum that
-    column instead of counting rows.
+    Pairs are counted once, in long form; the zero cells come last.  Rows are
+    every ``row`` value of the counted pairs, plus the values of ``row_domain``
+    (one column named ``row``) if given — the re-index-to-``range(k)`` of a
+    cross-tab.  Null ``row``/``col`` values are left out, like a pandas
+    cross-tab: a value that only stands beside a null is no row or column.
+    With ``weight`` the cells sum that column instead of counting rows.
     """
-    if col_values is None:
-        col_values = small_domain(df, col)
     base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    parts = []
-    for chunk in chunks(col_values):
-        if weight is None:
-            aggs = [F.count(F.when(F.col(col) == F.lit(v), 1)).alias(f"_c{i}") for i, v in enumerate(chunk)]
-        else:
-            aggs = [F.sum(F.when(F.col(col) == F.lit(v), F.col(weight))).alias(f"_c{i}") for i, v in enumerate(chunk)]
-        wide = base.groupBy(row).agg(*aggs)
-        if row_domain is not None:
-            wide = wide.join(row_domain.select(row).distinct(), row, "full")
-        stacked = F.explode(F.array(*[
-            F.struct(F.lit(v).alias(col), F.coalesce(F.col(f"_c{i}"), F.lit(0)).alias(n))
-            for i, v in enumerate(chunk)]))
-        parts.append(wide.select(row, stacked.alias("_s")).select(row, "_s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    value = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return complete_cells(base.groupBy(row, col).agg(value.alias(n)), row, col, col_values, row_domain, n, col_domain)
 
 
 def crosstab(df: DataFrame, a: str, b: str, domain: DataFrame | None = None,
@@ -88,12 +91,9 @@ def deviation(df: DataFrame, a: str, b: str, domain: DataFrame | None = None) ->
     """``(a, b, n, row_pct, global_pct, deviation)`` with deviation =
     row % − global % of ``b`` (percentage points).  Global shares count rows
     with a non-null ``b`` (whatever ``a`` is)."""
-    counts = small_counts(df, b)
-    total = float(sum(c for _, c in counts)) or 1.0
-    glob = df.sparkSession.createDataFrame(
-        [(v, c * 100.0 / total) for v, c in counts], f"{b} {df.schema[b].dataType.simpleString()}, global_pct double")
-    ct = row_percent(crosstab(df, a, b, domain, [v for v, _ in counts]), a)
-    return (ct.join(F.broadcast(glob), b, "left")
+    glob = label_distribution(df, b).select(b, F.col("pct").alias("global_pct"))
+    ct = row_percent(crosstab(df, a, b, domain), a)
+    return (ct.join(glob, b, "left")
               .withColumn("global_pct", F.coalesce("global_pct", F.lit(0.0)))
               .withColumn("deviation", F.col("row_pct") - F.col("global_pct")))
 
@@ -126,34 +126,27 @@ def term_log_odds(docs: DataFrame, key: str, label: str, tokens: str, term: str
     l documents, c = non-l documents holding t, d = the rest; every cell +½.
     Every (label, term) pair of the vocabulary is scored, zero cells included.
 
-    Plan: one pass explodes each row's distinct terms, then a single shuffle
-    on ``term`` with one conditional count per label (partial aggregation
-    map-side, so a term present everywhere costs one row per map task).
-    Label sizes and the document total are a bounded collect of the label
-    domain; documents without any token still count in them.
+    Plan: one pass explodes each row's distinct terms and counts (term, label)
+    pairs, with partial counts map-side, so a term present everywhere costs a
+    row per label and map task; term totals and zero cells follow from those
+    counts.  Label sizes are a table that is joined; documents without any token
+    still count in them.
     """
     labelled = docs.where(F.col(label).isNotNull())
-    lab = small_counts(labelled, label)
-    n_all = sum(c for _, c in lab)
+    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_nl"))
+    n_all = sizes.agg(F.sum("_nl")).scalar()
     pres = term_presence(labelled, key, tokens, term, keep=[label])
-    parts = []
-    for chunk in chunks(lab):
-        aggs = [F.count(F.when(F.col(label) == F.lit(v), 1)).alias(f"_a{i}") for i, (v, _) in enumerate(chunk)]
-        dfree = [F.count(F.lit(1)).alias("_df")]
-        wide = pres.groupBy(term).agg(*dfree, *aggs)
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(v).alias(label), F.lit(nl).cast("long").alias("_nl"),
-                     F.col(f"_a{i}").cast("long").alias("a"))
-            for i, (v, nl) in enumerate(chunk)]))
-        parts.append(wide.select(term, F.col("_df").cast("long").alias("df"), cells.alias("_s"))
-                         .select(term, "df", "_s.*"))
-    grid = parts[0]
-    for p in parts[1:]:
-        grid = grid.unionByName(p)
+    cells = pres.groupBy(term, label).agg(F.count(F.lit(1)).alias("a"))
+    # every label of the corpus is a column, also one whose documents hold no token
+    labels = sizes.agg(F.collect_set(label)).scalar()
+    terms = cells.groupBy(term).agg(F.collect_list(F.struct(label, "a")).alias("_cells"), F.sum("a").alias("df"))
+    seen = terms.select(term, "df", F.explode("_cells").alias("_s")).select(term, "df", "_s.*")
+    unseen = terms.select(term, "df", F.explode(F.array_except(labels, F.col(f"_cells.{label}"))).alias(label), F.lit(0).cast("long").alias("a"))
+    grid = seen.unionByName(unseen).join(sizes, label)
     a, nl, dft = F.col("a"), F.col("_nl"), F.col("df")
     b = nl - a
     c = dft - a
-    d = (F.lit(n_all) - nl) - c
+    d = (n_all - nl) - c
     return grid.select(label, term, "a", "df", odds_score(a, b, c, d).alias("score"))
 
 
@@ -186,6 +179,3 @@ def max_abs(df: DataFrame, col: str, out: str = "max_abs") -> DataFrame:
     """A10: largest absolute value (the symmetric colour scale of a heat map)."""
     return df.agg(F.max(F.abs(col)).alias(out))
 
-
-def rounded(df: DataFrame, cols: list[str], places: int = 6) -> DataFrame:
-    return df.withColumns({c: rnd(c, places) for c in cols})

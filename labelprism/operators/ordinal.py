@@ -7,19 +7,21 @@ task.  These helpers number rows with bounded tasks instead:
   partition, sort within partitions, count per partition, add the running
   offset of earlier partitions (a table with one row per partition).
 * :func:`uniform_rank_within` — position inside each group by a uniform key
-  (an md5-derived value): the group is cut into ``buckets`` equal slices of
-  the unit interval, so a hot group is spread over many tasks, and slice
-  offsets come from a (groups × buckets) count table.
+  (an md5-derived value): the group is cut into equal slices of the unit
+  interval, as many as its size asks for, so a hot group is spread over many
+  tasks, and slice offsets come from a (groups × slices) count table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelprism.session import ensure_checkpoint_dir
 
-__all__ = ["sorted_ordinal", "uniform_rank_within"]
+__all__ = ["sorted_ordinal", "join_null_safe", "uniform_rank_within"]
 
 
 def sorted_ordinal(df: DataFrame, order_cols: list[str], out: str = "ordinal",
@@ -51,17 +53,30 @@ def sorted_ordinal(df: DataFrame, order_cols: list[str], out: str = "ordinal",
                  .drop("_pid", "_mid", "_local", "_off"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on equal names in which a null equals a null; the columns of
+    ``left`` and those of ``right`` that are no key."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in cols})
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in cols])
+    return left.join(named, equal).drop(*(f"_right_{c}" for c in cols))
+
+
 def uniform_rank_within(df: DataFrame, group_cols: list[str], u_col: str, tie_col: str,
-                        out: str = "rank0", buckets: int = 64) -> DataFrame:
+                        out: str = "rank0", slice_rows: int = 50_000) -> DataFrame:
     """Add ``out`` = 0-based rank of each row inside its group, ordered by
-    ``(u_col, tie_col)``, where ``u_col`` is uniform on [0, 1)."""
-    b = F.least(F.floor(F.col(u_col) * buckets).cast("int"), F.lit(buckets - 1))
-    with_b = df.withColumn("_b", b)
+    ``(u_col, tie_col)``, where ``u_col`` is uniform on [0, 1).
+
+    A group is cut into as many equal slices of the unit interval as its size
+    needs for about ``slice_rows`` rows in each; a null group is a group.
+    """
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+    slices = F.greatest(F.ceil(F.col("_size") / slice_rows), F.lit(1))
+    sliced = (join_null_safe(df, sizes, group_cols)
+                .withColumn("_b", F.least(F.floor(F.col(u_col) * slices), slices - 1).cast("long")).drop("_size"))
     w_local = Window.partitionBy(*group_cols, "_b").orderBy(u_col, tie_col)
-    ranked = with_b.withColumn("_local", F.row_number().over(w_local) - 1)
-    counts = with_b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = sliced.withColumn("_local", F.row_number().over(w_local) - 1)
+    counts = sliced.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (ranked.join(offsets, [*group_cols, "_b"])
-                  .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-                  .drop("_b", "_local", "_off"))
+    return (join_null_safe(ranked, offsets, [*group_cols, "_b"])
+                  .select(*df.columns, (F.col("_off") + F.col("_local")).cast("long").alias(out)))

@@ -90,10 +90,13 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
         F.array_join(F.transform(ordered, lambda s: s["_lemma"]), " ").alias(out))
 
 
-def bag_of_words(df: DataFrame, key: str, tokens: str, term: str = "term") -> DataFrame:
-    """``(key, term, tf)``.  Partial aggregation combines repeats map-side."""
-    return (explode_tokens(df, key, tokens, term, pos=None)
-              .groupBy(key, term).agg(F.count(F.lit(1)).alias("tf")))
+def bag_of_words(df: DataFrame, key: str, tokens: str, term: str = "term",
+                 keep: list[str] | None = None) -> DataFrame:
+    """``(key, *keep, term, tf)``; ``keep`` are columns that go with the key.
+    Partial aggregation combines repeats map-side."""
+    keep = keep or []
+    return (df.select(key, *keep, F.explode_outer(tokens).alias(term)).where(F.col(term).isNotNull())
+              .groupBy(key, *keep, term).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def term_presence(df: DataFrame, key: str, tokens: str, term: str = "term",

@@ -117,8 +117,9 @@ def topic_share(doc_topics: DataFrame, doc_len: DataFrame, key: str, topic: str
     first, ties by id).  One join on the document key, then a topic-sized table."""
     tf = (doc_topics.join(doc_len, key)
                     .groupBy(topic).agg(F.sum(F.col("theta") * F.col("n")).alias("topic_freq")))
-    whole = Window.partitionBy()
-    return (tf.withColumn("proportion", F.col("topic_freq") / F.sum("topic_freq").over(whole))
+    total = tf.agg(F.sum("topic_freq")).scalar()
+    whole = Window.partitionBy()  # one row per topic
+    return (tf.withColumn("proportion", F.col("topic_freq") / total)
               .withColumn("share_pct", F.col("proportion") * F.lit(100.0))
               .withColumn("topic_order",
                           F.row_number().over(whole.orderBy(F.col("topic_freq").desc(), F.col(topic)))))
@@ -286,9 +287,8 @@ def topic_overlap(top_a: DataFrame, top_b: DataFrame, topic_a: str = "topic_a",
     size_a = a.groupBy(topic_a).agg(F.count(F.lit(1)).alias("_na"))
     size_b = b.groupBy(topic_b).agg(F.count(F.lit(1)).alias("_nb"))
     hits = a.join(b, term)
-    b_values = b_values if b_values is not None else small_domain(size_b, topic_b)
-    inter = complete_counts(hits, topic_a, topic_b, b_values, row_domain=size_a.select(topic_a), n="inter")
-    out = (inter.join(F.broadcast(size_a), topic_a).join(F.broadcast(size_b), topic_b)
+    inter = complete_counts(hits, topic_a, topic_b, b_values, row_domain=size_a.select(topic_a), n="inter", col_domain=size_b)
+    out = (inter.join(size_a, topic_a).join(size_b, topic_b)
                 .withColumn("union", F.col("_na") + F.col("_nb") - F.col("inter")))
     return out.select(topic_a, topic_b, "inter", F.col("union").alias("n_union"),
                       F.coalesce(F.try_divide(F.col("inter").cast("double"), F.col("union")),
@@ -298,41 +298,28 @@ def topic_overlap(top_a: DataFrame, top_b: DataFrame, topic_a: str = "topic_a",
 def align_topics(overlap: DataFrame, fitted: list[int], display: list[str], threshold: float = 0.1):
     """Map display topics (in their numeric order) to fitted topics.
 
-    In display order, take the unmatched fitted topic with the highest Jaccard
-    (ties → lowest id) if it exceeds ``threshold``; then give each unmatched
-    display topic the lowest unmatched fitted id; fitted topics still without
-    a name get ``'Topic <id+1> (Unmapped)'``.  The greedy pass is sequential
-    over ≤ k² numbers, so it runs on the collected overlap table.
+    Pairs above ``threshold`` are taken in the order of the display topics and,
+    for one of them, from the highest Jaccard down (ties → lowest id); a pair
+    counts if neither side has a partner yet.  Display topics and fitted topics
+    that are left over are paired in order, and fitted topics beyond that are
+    called ``'Topic <id+1> (Unmapped)'`` and stand last.  Two topic lists are
+    compared, so the overlap table is collected.
     Returns a pandas frame ``(topic, name, position)``.
     """
-    jac = {(r["topic_a"], r["topic_b"]): r["jaccard"] for r in overlap.collect()}
     order = sorted(display, key=lambda s: (_first_number(s), s))
-    unmatched = sorted(fitted)
-    matched: dict[str, int] = {}
-    for name in order:
-        best, best_s = None, -1.0
-        for t in unmatched:
-            s = jac.get((name, t), 0.0)
-            if s > best_s:
-                best, best_s = t, s
-        if best is not None and best_s > threshold:
-            matched[name] = best
-            unmatched.remove(best)
-    names: dict[int, str] = {v: k for k, v in matched.items()}
-    positions: list[int] = []
-    for name in order:
-        if name in matched:
-            positions.append(matched[name])
-        elif unmatched:
-            t = unmatched.pop(0)
-            names[t] = name
-            positions.append(t)
-    for t in sorted(fitted):
-        if t not in names:
-            names[t] = f"Topic {t + 1} (Unmapped)"
-            positions.append(t)
-    return pd.DataFrame({"topic": positions, "name": [names[t] for t in positions],
-                         "position": list(range(len(positions)))})
+    place = {name: k for k, name in enumerate(order)}
+    pairs = overlap.where(F.col("jaccard") > threshold).select("topic_a", "topic_b", "jaccard").collect()
+    ranked = sorted((place[p.topic_a], -p.jaccard, p.topic_b) for p in pairs if p.topic_a in place and p.topic_b in fitted)
+    partner: dict[int, int] = {}
+    for k, _, topic in ranked:
+        if k not in partner and topic not in partner.values():
+            partner[k] = topic
+    single = sorted(set(fitted) - set(partner.values()))
+    open_places = [k for k in range(len(order)) if k not in partner]
+    partner.update(zip(open_places, single))
+    rows = [(partner[k], order[k]) for k in sorted(partner)]
+    rows += [(t, f"Topic {t + 1} (Unmapped)") for t in single[len(open_places):]]
+    return pd.DataFrame({"topic": [t for t, _ in rows], "name": [n for _, n in rows], "position": range(len(rows))})
 
 
 def pivot_named(long: DataFrame, row: str, col: str, value: str, names: dict | None = None,

@@ -4,9 +4,9 @@ centroids and nearest-centroid assignment.
 
 Vectors live as ``array<float>``/``array<double>`` columns; higher-order
 functions (``transform``, ``zip_with``, ``aggregate``) compute on them inside
-codegen.  Small model inputs (query vectors, centroids: k × d numbers) are
-collected with a bound and inlined as literals, so scoring every row is a
-narrow map — no join, no shuffle.
+codegen.  Model inputs (query vectors, centroids: k × d numbers) are collected
+behind a size check and broadcast; rows are scored batch by batch with matrix
+products, in a narrow map — no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.ml.functions import array_to_vector
 
-from labelprism.functions.columns import argmax, as_double_array, dot, l2_norm, sq_dist
+from labelprism.operators.ordinal import join_null_safe
+from labelprism.functions.columns import argmax, as_double_array, l2_norm
 
-__all__ = ["vector_width", "to_vector", "l2_normalise", "literal_matrix", "collect_matrix",
+__all__ = ["vector_width", "to_vector", "l2_normalise", "collect_matrix", "batch_matrix",
            "semantic_topk", "rule_score", "knn", "dominant", "centroids", "centroids_long",
            "assign_clusters"]
 
-MAX_MODEL_CELLS = 4_000_000   # k × d numbers we agree to inline as a literal
+MAX_MODEL_CELLS = 64_000_000   # k × d numbers (0.5 GB) we agree to broadcast
 
 
 def vector_width(df: DataFrame, col: str) -> int:
@@ -52,22 +56,23 @@ def l2_normalise(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, F.when(norm > 0, F.transform(arr, lambda x: x / norm)).otherwise(arr))
 
 
-def literal_matrix(rows: list[list[float]]) -> Column:
-    """A small matrix as an ``array<array<double>>`` literal."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
+def collect_matrix(df: DataFrame, id_col: str, vec: str) -> tuple[list, np.ndarray]:
+    """A model's vectors (centres, queries) with their ids, sorted by id.
 
+    They are broadcast, so their size is counted first; a table of more than
+    ``MAX_MODEL_CELLS`` numbers is no model."""
+    size = df.agg(F.sum(F.size(vec).cast("long"))).first()[0] or 0
+    if size > MAX_MODEL_CELLS:
+        raise ValueError(f"{size} numbers are too many to broadcast")
+    rows = sorted(df.select(id_col, vec).collect(), key=lambda r: r[0])
+    return [r[0] for r in rows], np.array([list(r[1]) for r in rows], np.float64)
 
-def collect_matrix(df: DataFrame, id_col: str, vec: str, max_rows: int = 100_000) -> tuple[list, list]:
-    """Bounded collect of a small (id, vector) table, sorted by id."""
-    rows = df.select(id_col, vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} model vectors; not a small model input")
-    rows.sort(key=lambda r: r[0])
-    ids = [r[0] for r in rows]
-    mats = [list(map(float, r[1])) for r in rows]
-    if mats and len(mats) * len(mats[0]) > MAX_MODEL_CELLS:
-        raise ValueError("model input too large to inline")
-    return ids, mats
+
+def batch_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``width`` numbers of an Arrow list column, and the rows they stand in."""
+    fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), width), False))
+    flat = column.filter(pa.array(fits)).flatten()
+    return np.asarray(pc.cast(flat, pa.float64())).reshape(-1, width), np.flatnonzero(fits)
 
 
 def semantic_topk(df: DataFrame, key: str, vec: str, queries: DataFrame, qid: str, qvec: str,
@@ -75,23 +80,39 @@ def semantic_topk(df: DataFrame, key: str, vec: str, queries: DataFrame, qid: st
     """For each query vector, the ``k`` rows closest to it, best first.
 
     ``(qid, key, score, rank)``; score is cosine similarity (or raw dot product
-    with ``metric='dot'``); ties by key.  Queries are a small table inlined as
-    a literal; rows are scored in a narrow map and ``row_number() <= k`` is a
-    partial WindowGroupLimit before the only shuffle.
+    with ``metric='dot'``); ties by key; rows without a vector of the queries'
+    width take no part.  The queries are broadcast; each Arrow batch is scored
+    in one matrix product and sends its best ``k`` rows per query, so the only
+    shuffle carries queries × k rows per batch.
     """
-    ids, mats = collect_matrix(queries, qid, qvec)
-    if metric == "cosine":
-        mats = [[x / n for x in m] if (n := math.sqrt(sum(x * x for x in m))) > 0 else m for m in mats]
-    qs = literal_matrix(mats)
-    qids = F.array(*[F.lit(i) for i in ids])
-    v = as_double_array(vec)
-    norm = l2_norm(vec) if metric == "cosine" else F.lit(1.0)
-    scored = F.arrays_zip(qids.alias("q"), F.transform(qs, lambda q: dot(v, q)).alias("s"))
-    ex = df.select(key, norm.alias("_nrm"), F.explode(scored).alias("_z"))
-    ex = ex.select(key, F.col("_z.q").alias(qid),
-                   F.when(F.col("_nrm") > 0, F.col("_z.s") / F.col("_nrm")).otherwise(F.lit(0.0)).alias("score"))
+    ids, matrix = collect_matrix(queries, qid, qvec)
+    if metric == "cosine" and len(ids):
+        length = np.sqrt((matrix ** 2).sum(axis=1, keepdims=True))
+        matrix = np.divide(matrix, length, out=matrix.copy(), where=length > 0)
+    model = df.sparkSession.sparkContext.broadcast(matrix)
+    unit = metric == "cosine"
+
+    def best(batches):
+        for b in batches:
+            b = b.take(pc.sort_indices(b.column("key")))  # so that a stable sort by score breaks ties by key
+            x, rows = batch_matrix(b.column("vec"), model.value.shape[1])
+            score = np.einsum("ij,kj->ki", x, model.value)
+            if unit:
+                length = np.sqrt((x ** 2).sum(axis=1))
+                score = np.divide(score, length, out=np.zeros_like(score), where=length > 0)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            keys = b.column("key").take(pa.array(rows[top.ravel()]))
+            yield pa.record_batch([pa.array(np.repeat(np.arange(len(top)), top.shape[1]), pa.int32()), keys,
+                                   pa.array(np.take_along_axis(score, top, axis=1).ravel())], ["q", "key", "score"])
+
+    kind = df.schema[key].dataType.simpleString()
+    if not ids:
+        return df.sparkSession.createDataFrame([], f"{qid} {queries.schema[qid].dataType.simpleString()}, {key} {kind}, score double, rank int")
+    found = df.select(F.col(key).alias("key"), F.col(vec).alias("vec")).mapInArrow(best, f"q int, key {kind}, score double")
+    names = F.array(*[F.lit(i) for i in ids])
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(key).asc())
-    return ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.select(F.col("key").alias(key), names[F.col("q")].alias(qid), "score")
+                 .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
 def rule_score(df: DataFrame, key: str, tokens: str, rules: list[tuple[list[str], float]],
@@ -139,13 +160,31 @@ def assign_clusters(df: DataFrame, vec: str, centers: DataFrame, cid: str, cvec:
                     out: str = "cluster") -> DataFrame:
     """Nearest centre by squared Euclidean distance, ties → lowest id.
 
-    Centres (k × d) are inlined; each row computes k distances in a narrow map.
+    The centres are broadcast; an Arrow batch is measured against all of them
+    at once, in a narrow map.  Rows without a vector of the centres' width get
+    a null.
     """
-    ids, mats = collect_matrix(centers, cid, cvec)
-    cs = literal_matrix(mats)
-    d = F.transform(cs, lambda c: sq_dist(vec, c))
-    idx = argmax(F.transform(d, lambda x: -x))
-    return df.withColumn(out, F.element_at(F.array(*[F.lit(i) for i in ids]), idx + 1))
+    ids, matrix = collect_matrix(centers, cid, cvec)
+    model = df.sparkSession.sparkContext.broadcast(matrix)
+    kind = centers.schema[cid].dataType
+    names = [c for c in df.columns if c != out]
+    no_centre = not ids
+
+    def nearest(batches):
+        for b in batches:
+            place = np.full(b.num_rows, -1, np.int64)
+            if not no_centre:
+                x, rows = batch_matrix(b.column(vec), model.value.shape[1])
+                step = max(1, 4_000_000 // model.value.size)
+                for s in range(0, len(x), step):
+                    diff = x[s:s + step, None, :] - model.value[None, :, :]
+                    place[rows[s:s + step]] = np.einsum("ijk,ijk->ij", diff, diff).argmin(axis=1)
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(place, mask=place < 0).cast(pa.int32())], [*names, "_place"])
+
+    schema = StructType([*(df.schema[c] for c in names), StructField("_place", IntegerType())])
+    found = df.select(*names).mapInArrow(nearest, schema)
+    label = F.array(*[F.lit(i) for i in ids]).cast(ArrayType(kind))[F.col("_place")] if ids else F.lit(None).cast(kind)
+    return found.select(*names, label.alias(out))
 
 
 # ------------------------------------------------------------------ kNN
@@ -160,26 +199,22 @@ def _block_knn(k: int, key_type: str, exclude_self: bool):
             if "_part" in pdf.columns:
                 empty["_part"] = pdf["_part"].iloc[:0]
             return pd.DataFrame({x: empty[x].reset_index(drop=True) for x in cols})
+        c = c.sort_values("_key", kind="stable")  # so that a stable sort by distance breaks ties by key
         qx = np.stack(q["_v"].to_numpy()).astype(np.float64)
         cx = np.stack(c["_v"].to_numpy()).astype(np.float64)
-        qk = q["_key"].to_numpy()
-        ck = c["_key"].to_numpy()
-        keys, nbrs, ds = [], [], []
+        qk, ck = q["_key"].to_numpy(), c["_key"].to_numpy()
+        kept = []
         step = max(1, 4_000_000 // max(1, cx.size))
         for s in range(0, len(qx), step):
             diff = qx[s:s + step, None, :] - cx[None, :, :]
             d = np.einsum("ijk,ijk->ij", diff, diff)
             if exclude_self:
                 d = np.where(qk[s:s + step, None] == ck[None, :], np.inf, d)
-            kk = min(k, d.shape[1])
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-            for r in range(d.shape[0]):
-                sel = part[r]
-                sel = sel[np.isfinite(d[r, sel])]
-                keys.extend([qk[s + r]] * len(sel))
-                nbrs.extend(ck[sel].tolist())
-                ds.extend(d[r, sel].tolist())
-        outp = pd.DataFrame({"_key": keys, "_nbr": nbrs, "_d": ds})
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({"_key": np.repeat(qk[s:s + step], near.shape[1]), "_nbr": ck[near.ravel()],
+                                  "_d": np.take_along_axis(d, near, axis=1).ravel()})
+            kept.append(found[np.isfinite(found["_d"])])
+        outp = pd.concat(kept, ignore_index=True)
         if "_part" in pdf.columns:
             outp["_part"] = pdf["_part"].iloc[0]
         return outp[cols]
@@ -207,14 +242,9 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     base = (df.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
               .select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag))
     if pcols:
-        # per-partition block counts: a bounded collect of the (class-sized)
-        # partition domain, so the broadcast below has a proven size
-        from labelprism.operators.domain import small_counts
-        counts = small_counts(df, partition)
-        ptype = df.schema[partition].dataType.simpleString()
-        nbs = df.sparkSession.createDataFrame(
-            [(v, max(1, math.ceil(c / block_rows))) for v, c in counts], f"{partition} {ptype}, _nb int")
-        sized = base.join(F.broadcast(nbs), pcols)
+        # blocks per partition, from its size (a null partition is one too)
+        counts = base.groupBy(partition).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb"))
+        sized = join_null_safe(base, counts, [partition])
     else:
         n_rows = base.count()
         sized = base.withColumn("_nb", F.lit(max(1, math.ceil(n_rows / block_rows))))

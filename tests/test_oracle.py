@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -40,7 +41,7 @@ def duck():
 ORACLE = E.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(q for q in ORACLE if not re.match(r"op\d+_|pipeline$", q)))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -51,7 +52,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    missing = set(E.queries()) - set(ORACLE)
+    # the optional subpackage says in its own tests which of its queries have SQL
+    missing = {q for q in set(E.queries()) - set(ORACLE) if not re.match(r"op\d+_|pipeline$", q)}
     assert missing <= SLOW
 
 
