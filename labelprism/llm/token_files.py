@@ -17,7 +17,6 @@ task that is run again leaves no half file in the result.
 from __future__ import annotations
 
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelprism.llm.bpe import bpe_words, word_ids
-from labelprism.llm.common import SLICE, bodies, edges, load_tokenizer, read_text, slices
+from labelprism.llm.bpe import bpe_words, encode_words
+from labelprism.llm.common import bodies, edges, load_tokenizer, place_in, read_text, slices
 
 __all__ = ["write_token_files", "read_token_files"]
 
@@ -63,28 +62,32 @@ def sequences(doc_ids: pa.Array, n: np.ndarray, stream: np.ndarray, length: int,
 
 
 class Encoder:
-    """Ids of texts through the ids of their words, remembered up to a bound."""
+    """Ids of texts through the ids of their words, remembered in two columns up to a bound."""
 
     def __init__(self, tok):
-        self.tok, self.known = tok, {}
+        self.tok = tok
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and how many each text has."""
         words = bpe_words(texts)
-        distinct = words.distinct.to_pylist()
-        if new := [w for w in distinct if w not in self.known]:
-            for k in range(0, len(new), 1 << 14):
-                part = new[k: k + (1 << 14)]
-                for w, ids in zip(part, word_ids(self.tok, part)):
-                    self.known[w] = array("I", ids).tobytes()
-        pieces = [self.known[w] for w in distinct] + [array("I", [end_id]).tobytes()]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        offsets = edges(np.array(list(map(len, pieces)), np.int64) // 4)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), np.uint32)))
-        places = np.insert(words.codes, edges(words.per_text)[1:], len(distinct))
-        found = lists.take(pa.array(places))
-        return np.asarray(found.flatten()), np.diff(np.asarray(found.offsets)[edges(words.per_text + 1)]).astype(np.int64)
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        place = place_in(words.distinct, self.words).astype(np.int64)
+        new = place < 0
+        if new.any():
+            unknown = words.distinct.filter(pa.array(new))
+            place[new] = len(self.words) + np.arange(len(unknown))
+            self.words = pa.concat_arrays([self.words, unknown])
+            self.ids = pa.concat_arrays([self.ids, encode_words(self.tok, unknown.to_pylist())])
+        pieces = pa.concat_arrays([self.ids, pa.array([[end_id]], pa.list_(pa.int32()))])
+        places = np.insert(place[words.codes], edges(words.per_text)[1:], len(self.ids))
+        found = pieces.take(pa.array(places))
+        ends = np.asarray(found.offsets)[edges(words.per_text + 1)]
+        return np.asarray(found.flatten()), np.diff(ends).astype(np.int64)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = 1024,
@@ -120,9 +123,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(load_tokenizer(spec.value))
         part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for b in slices(batches, size=min(SLICE, 4 * file_tokens)):
+        for b in slices(batches, size=4 * file_tokens):
             stream, n = _ENCODERS[key].encode(b.column("body"), end_id)
-            held.append((b.column("doc_id"), n, stream.astype(np.uint16) if width == 2 else stream))
+            held.append((b.column("doc_id"), n, stream.astype(np.uint16 if width == 2 else np.uint32)))
             size += len(stream)
             if size >= file_tokens:
                 yield flush(part, file, held)
