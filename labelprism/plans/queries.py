@@ -917,7 +917,7 @@ def q_classifier_eval(spark, sf):
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
     coded = embedding_eval.embed(tables.spread(docs, "doc_id"), "doc_id", "text", dims=16)
     made = coded.select(F.col("doc_id").alias("vec_id"), "embedding", F.col("lang").alias("label"))
-    space = classify.SEARCH_SPACE | {"n_trees": (1, 3), "max_depth": (2, 3)}
+    space = classify.SEARCH_SPACE | {"n_trees": (1, 2), "max_depth": (2, 3)}
     return embedding_eval.run({"vectors": _emb(spark, sf), "hashed_tfidf": made}, "label", "embedding", "vec_id",
                               kind="gbt", outer=3, inner=2, trials=2, space=space)
 
