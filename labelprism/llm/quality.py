@@ -3,7 +3,8 @@
 Every document gets a few counts.  Documents that pass the plain rules become
 vectors of transformed statistics; per language and source, the centre and
 scatter of the majority are estimated by minimum covariance determinant, and
-documents far from that majority by Mahalanobis distance are rejected.
+documents far from that majority are rejected, by the distance its covariance
+sets: d2 = (x - centre)' covariance^-1 (x - centre).
 
 The estimate starts from the coordinates' medians and takes concentration steps:
 mean and covariance of the ``SUBSET`` share of documents that lie nearest, again
@@ -77,7 +78,7 @@ def triangle() -> list[tuple[int, int]]:
 
 
 def with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to its group's centre."""
+    """``rows`` with ``d2``, the squared distance to its group's centre in its covariance."""
     out = rows.join(groups, "grp")
     for i in range(P):  # forward substitution with the Cholesky factor
         rest = F.col(f"x{i}") - F.col(f"m{i}")
