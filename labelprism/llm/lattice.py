@@ -83,7 +83,7 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces), default=1)
 
     def edges(self, words: np.ndarray):
-        """``start, end, ids, logp`` of each stretch of the words' characters, short ones first at each end; -inf: no piece."""
+        """``start, end, rows, ids, logp``: the words with a piece from ``start`` to ``end``, short ones first at each end."""
         n, length = words.shape
         prefix = PrefixHashes(words)
         for end in range(1, length + 1):
@@ -91,39 +91,41 @@ class Vocabulary:
                 h = prefix.of(start, end)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 known = self.hashes[at] == h
-                ids = np.where(known, self.order[at], -1)
-                logp = np.where(known, self.logp[ids], -np.inf)
                 if end - start == 1:
                     c = words[:, start]
                     size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-                    logp = np.where(known, logp, size * self.byte_logp)
-                    ids = np.where(known, ids, -1 - size)
-                elif not known.any():
-                    continue
-                yield start, end, ids, logp
+                    ids = np.where(known, self.order[at], -1 - size)
+                    yield start, end, np.arange(n), ids, np.where(known, self.logp[ids], size * self.byte_logp)
+                else:
+                    rows = np.flatnonzero(known)
+                    if len(rows):
+                        ids = self.order[at[rows]]
+                        yield start, end, rows, ids, self.logp[ids]
 
     def forward(self, words: np.ndarray, kept: list | None = None) -> np.ndarray:
         """Log probability of every prefix, one column per end; ``kept`` gets the edges."""
-        total = np.full((words.shape[0], words.shape[1] + 1), -np.inf)
-        total[:, 0] = 0
-        for start, end, ids, logp in self.edges(words):
-            np.logaddexp(total[:, end], total[:, start] + logp, out=total[:, end])
+        total = np.full((words.shape[1] + 1, words.shape[0]), -np.inf)  # an end's values side by side
+        total[0] = 0
+        for start, end, rows, ids, logp in self.edges(words):
+            total[end, rows] = np.logaddexp(total[end, rows], total[start, rows] + logp)
             if kept is not None:
-                kept.append((start, end, ids, logp))
-        return total
+                kept.append((start, end, rows, ids, logp))
+        return total.T
 
     def expected(self, words: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
         """Add the expected counts of the pieces, bytes last, over words of one length."""
         kept: list = []
-        up = self.forward(words, kept)
+        up = self.forward(words, kept).T
         down = np.full_like(up, -np.inf)
-        down[:, -1] = 0
-        for start, end, ids, logp in sorted(kept, key=lambda e: -e[1]):
-            np.logaddexp(down[:, start], logp + down[:, end], out=down[:, start])
-        for start, end, ids, logp in kept:
-            share = weight * np.exp(up[:, start] + logp + down[:, end] - up[:, -1])
-            counts[:-1] += np.bincount(ids[ids >= 0], share[ids >= 0], minlength=len(counts) - 1)
-            counts[-1] += (share * np.maximum(-1 - ids, 0))[ids < -1].sum()
+        down[-1] = 0
+        for start, end, rows, ids, logp in sorted(kept, key=lambda e: -e[1]):
+            down[start, rows] = np.logaddexp(down[start, rows], logp + down[end, rows])
+        for start, end, rows, ids, logp in kept:
+            share = weight[rows] * np.exp(up[start, rows] + logp + down[end, rows] - up[-1, rows])
+            piece = ids >= 0
+            np.add.at(counts, ids[piece], share[piece])
+            if not piece.all():
+                counts[-1] += (share * (-1 - ids))[~piece].sum()
 
 
 def points(word: str) -> np.ndarray:
