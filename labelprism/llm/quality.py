@@ -32,9 +32,11 @@ __all__ = ["document_counts", "mcd_distances", "quality_rules"]
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Variation per coordinate that is never held against a document: log words, log word length,
 #: root of symbols per word, share of repeated lines, share of words in repeated three-word windows.
-FLOORS = (0.5, 0.1, 0.05, 0.1, 0.1)
-#: 1 - 1e-6 quantile of chi-square with five degrees of freedom; the 97.5 % quantile; 75 % quantile for consistency.
-CUTOFF, NEAR, MIDDLE = 36.87, 12.83, 6.63
+#: In a group that does not vary, each rejects alone from sqrt(CUTOFF) = 4.53 times its value on: 3.1 times the
+#: length, 1.25 times the word length, 0.051 symbols per word, 45 % repeated lines, 41 % repeated words (50 % fail before).
+FLOORS = (0.25, 0.05, 0.05, 0.1, 0.09)
+#: 99.9 % quantile of chi-square with five degrees of freedom; the 97.5 % quantile; 75 % quantile for consistency.
+CUTOFF, NEAR, MIDDLE = 20.52, 12.83, 6.63
 SUBSET, STEPS, LEAST = 0.75, 5, 100
 #: Bins of the histogram to a natural log unit of the squared distance.
 BINS = 64

@@ -78,3 +78,21 @@ def test_clean_documents_stay_and_symbol_soup_goes(spark):
     kept = [labels[r.doc_id] for r in got if r.kept]
     gone = [labels[r.doc_id] for r in got if not r.kept]
     assert len(gone) > 10 and sum(gone) == 0 and 1 - np.mean(kept) < 0.02
+
+
+def test_each_coordinate_alone_rejects(spark):
+    """One planted document per coordinate among documents that do not vary."""
+    words = [f"w{k:04d}" for k in range(500)]
+    lines = words[:100]
+    planted = {
+        "length": "\n".join(words),
+        "word length": "\n".join(f"{w}xx{w[0]}" if k % 2 else f"{w}xx" for k, w in enumerate(lines)),
+        "symbols": "\n".join(f"{w[:-1]}#" if k < 7 else w for k, w in enumerate(lines)),
+        "repeated lines": "\n".join(lines[:50] + lines[:50:2] + lines[1:50:2]),
+        "repeated words": " ".join(lines[:76] + lines[:24]),
+    }
+    docs = [(k, "\n".join(lines), "en", "s") for k in range(200)] + [(1000 + k, t, "en", "s") for k, t in enumerate(planted.values())]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in range(200))
+    assert not any(got[1000 + k].base_failed for k in range(5))
+    assert [name for k, name in enumerate(planted) if got[1000 + k].kept] == []
