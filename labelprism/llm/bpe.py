@@ -197,8 +197,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
             text = np.repeat(np.arange(b.num_rows), words.per_text)[rare]
             n = np.bincount(text, minlength=b.num_rows)
             seq = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-            place = np.asarray(b.column("tag")).astype(np.int64)[text] << 32 | seq
-            yield pa.record_batch([b.column("id").take(pa.array(text)), pa.array(place), words.distinct.take(pa.array(words.codes[rare]))], ["id", "place", "word"])
+            row = pa.array(text)
+            yield pa.record_batch([b.column("id").take(row), b.column("tag").take(row), pa.array(seq), words.distinct.take(pa.array(words.codes[rare]))],
+                                  ["id", "tag", "place", "word"])
 
     def encode_once(batches):
         """Equal words follow each other, so a batch's first word may be the one encoded last."""
@@ -213,14 +214,14 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
             if distinct:
                 last = column.indices[-1].as_py()
                 word, ids = distinct[last], got.slice(last, 1)
-            yield pa.record_batch([b.column("id"), b.column("place"), packed(got.take(column.indices), width)], ["id", "place", "ids"])
+            yield pa.record_batch([*(b.column(k) for k in ("id", "tag", "place")), packed(got.take(column.indices), width)], ["id", "tag", "place", "ids"])
 
-    coded_docs = source.mapInArrow(coded, "doc_id long, id long, tag int, codes binary")
-    rare = (source.mapInArrow(gaps, "id long, place long, word string")
+    coded_docs = source.mapInArrow(coded, "doc_id long, id long, tag string, codes binary")
+    rare = (source.mapInArrow(gaps, "id long, tag string, place long, word string")
             .repartition("word").sortWithinPartitions("word")
-            .mapInArrow(encode_once, "id long, place long, ids binary"))
+            .mapInArrow(encode_once, "id long, tag string, place long, ids binary"))
     # dealt out row by row: a task holds few words of a document, so gathering them there first would only add
-    rest = (rare.select("id", F.shiftright("place", 32).cast("int").alias("tag"), "place", "ids").repartition("id", "tag")
+    rest = (rare.repartition("id", "tag")
             .groupBy("id", "tag").agg(F.collect_list(F.struct("place", "ids")).alias("rest")))
     joined = coded_docs.join(rest, ["id", "tag"], "left").select("doc_id", "codes", "rest")
 
@@ -233,7 +234,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
             found = rest.flatten()
             text = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(rest), 0)))
             # a document's rare words in their order; copies of the document give each one again
-            _, order = np.unique(text << 32 | np.asarray(found.field("place")) & 0xFFFFFFFF, return_index=True)
+            _, order = np.unique(text << 32 | np.asarray(found.field("place")), return_index=True)
             pieces = pa.concat_arrays([hot_ids.value, unpacked(found.field("ids").take(pa.array(order)), width)])
             at = rank - 1
             at[rank == 0] = len(hot_ids.value) + np.arange(len(order))

@@ -1,8 +1,8 @@
 """Helpers the operators share: text tables, word split, shared folders, tokenizer loading.
 
 Rows of a document table are told apart by ``(id, tag)``, where ``id`` is
-``doc_id`` without nulls and ``tag`` a 32-bit hash of the text: rows with the
-same id and the same text are copies of one document and get equal results,
+``doc_id`` without nulls and ``tag`` 128 bits of the text's SHA-256, in 22
+letters: rows with the same id and the same text are copies of one document and get equal results,
 rows with the same id and other texts stay apart.
 """
 
@@ -44,7 +44,9 @@ def keys() -> dict[str, Column]:
     """``id`` (null ids first) and ``tag`` of a document table's rows."""
     doc_id = F.col("doc_id").cast("long")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return {"id": F.coalesce(doc_id, F.lit(-(1 << 63))), "tag": F.hash(body, doc_id.isNull())}
+    digest = F.sha2(F.concat(F.when(doc_id.isNull(), "0").otherwise("1"), body).cast("binary"), 256)
+    # letters, as numpy's fixed-width bytes lose zeros at the end
+    return {"id": F.coalesce(doc_id, F.lit(-(1 << 63))), "tag": F.substring(F.base64(F.unhex(F.substring(digest, 1, 32))), 1, 22)}
 
 
 def keyed_bodies(docs: DataFrame) -> DataFrame:

@@ -257,7 +257,7 @@ def lm_scores(docs: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
             yield pa.record_batch([b.column("id").take(text), b.column("tag").take(text), words.distinct.take(pa.array(words.codes[rare]))], ["id", "tag", "word"])
 
     whole = source.mapInArrow(frequent_part, PARTS)
-    rare = (source.select("id", "tag", "body").mapInArrow(rare_part, "id long, tag int, word string").join(words, "word")
+    rare = (source.select("id", "tag", "body").mapInArrow(rare_part, "id long, tag string, word string").join(words, "word")
             .select(F.lit(None).cast("long").alias("doc_id"), "id", "tag", F.lit(None).cast("boolean").alias("train"), F.lit(0).cast("long").alias("copies"),
                     F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), F.log10(F.col("c") + F.lit(1.0)).alias("logc"), "lp"))
     # copies of a document add up to as many times its sums, and come out as many times
@@ -272,5 +272,5 @@ def lm_scores(docs: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
                        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
-PARTS = "doc_id long, id long, tag int, train boolean, copies long, n long, known long, logc double, lp double"
+PARTS = "doc_id long, id long, tag string, train boolean, copies long, n long, known long, logc double, lp double"
 NAMES = [x.split()[0] for x in PARTS.split(", ")]

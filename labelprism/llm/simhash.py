@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint(x, shingle) for x in b.column("body").to_pylist()]
             yield pa.record_batch([*(b.column(k) for k in ("doc_id", "id", "tag")), pa.array(fps, pa.int64())], ["doc_id", "id", "tag", "fp"])
 
-    return keyed_bodies(docs).mapInArrow(run, "doc_id long, id long, tag int, fp long")
+    return keyed_bodies(docs).mapInArrow(run, "doc_id long, id long, tag string, fp long")
 
 
 _DECODER: list[np.ndarray] = []

@@ -114,8 +114,10 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int, size: int):
 
 
 #: A found place. ``o`` < 0: a factor, with its source; else a first stretch, to be judged, whose anchor is at ``at + o``.
-PLACE = "key long, ctx long, id long, tag int, at int, n int, o int, ref_id long, ref_at int"
-PLACE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+PLACE = "key long, ctx long, id long, tag string, at int, n int, o int, ref_id long, ref_at int"
+PLACE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+#: A document's tag as numpy holds it.
+TAG = "S22"
 PLACE_NAMES = [x.split()[0] for x in PLACE.split(", ")]
 
 
@@ -138,7 +140,7 @@ def index_blocks(window: int, size: int):
             if not len(s["at"]):
                 continue
             doc = np.searchsorted(ends, s["at"], "right")
-            i, tag = np.array(ids, np.int64)[doc], np.array(tags, np.int32)[doc]
+            i, tag = np.array(ids, np.int64)[doc], np.array(tags, TAG)[doc]
             at = s["at"] - (ends - [len(p) for p in parts])[doc] + np.array(offsets, np.int64)[doc]
             order = np.lexsort((at, tag, i, s["ctx"], s["key"]))
             key, ctx, i, tag, at, n, o = (x[order] for x in (s["key"], s["ctx"], i, tag, at, s["n"], s["o"]))
@@ -160,7 +162,7 @@ def merged_places(i, tag, at, n, ref_id, ref_at) -> pa.RecordBatch:
     order = np.lexsort((at, ref_at - at, ref_id, tag, i))
     i, tag, at, n, ref_id, ref_at = (x[order] for x in (i, tag, at, n, ref_id, ref_at))
     shift = ref_at - at
-    same = (np.diff(i) == 0) & (np.diff(tag) == 0) & (np.diff(ref_id) == 0) & (np.diff(shift) == 0) & (at[1:] <= (at + n)[:-1])
+    same = (np.diff(i) == 0) & (tag[1:] == tag[:-1]) & (np.diff(ref_id) == 0) & (np.diff(shift) == 0) & (at[1:] <= (at + n)[:-1])
     new = np.concatenate(([True], ~same))
     starts = np.flatnonzero(new)
     n = np.maximum.reduceat(at + n, starts) - at[starts]
@@ -180,6 +182,7 @@ def judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent = False  # whether it went on as boundary
     for b in batches:
         cols = [np.asarray(b.column(k)) for k in range(7)]
+        cols[3] = cols[3].astype(TAG)
         ready = cols[6] < 0
         if ready.any():
             yield b.filter(pa.array(ready))
@@ -275,10 +278,10 @@ def boundary_windows(window: int):
                     h = Hashes(words[at: at + n])
                     start = np.arange(n - window + 1)
                     for column, value in zip(out, (np.full(len(start), key), o - start, h.of(start, start + window).view(np.int64),
-                                                   np.full(len(start), i), np.full(len(start), tag), at + start)):
+                                                   np.full(len(start), i), np.full(len(start), tag, TAG), at + start)):
                         column.append(value)
             if out[0]:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
                 yield pa.record_batch([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, types)], ["key", "o", "words", "id", "tag", "at"])
 
     return run
@@ -299,11 +302,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = BLOCK) -> Da
              .repartition("key").sortWithinPartitions("key", "ctx", "id", "tag", "at")
              .mapInArrow(judge_sorted, PLACE)
              .groupBy("id", "tag").agg(F.collect_list(F.struct("at", "n", "o", "key", "ref_id", "ref_at")).alias("found"))
-             .mapInArrow(condensed, "id long, tag int, factors array<long>, boundaries array<long>"))
+             .mapInArrow(condensed, "id long, tag string, factors array<long>, boundaries array<long>"))
     found = cut(found)
 
     open_texts = texts.join(found.where(F.size("boundaries") > 0).select("id", "tag", "boundaries"), ["id", "tag"])
-    windows = open_texts.mapInArrow(boundary_windows(window), "key long, o int, words long, id long, tag int, at int")
+    windows = open_texts.mapInArrow(boundary_windows(window), "key long, o int, words long, id long, tag string, at int")
     same = ["key", "o", "words"]
     first = windows.groupBy(*same).agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     late = (windows.join(first, same).where(F.struct("id", "tag", "at") != F.col("first"))
@@ -329,4 +332,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = BLOCK) -> Da
 
     joined = source.join(found.select("id", "tag", "factors"), ["id", "tag"], "left").join(late, ["id", "tag"], "left")
     return joined.select("doc_id", "id", "tag", "body", "factors", "late").mapInArrow(
-        finish, "doc_id long, id long, tag int, n_words long, n_removed long, text string, factors array<struct<at:long,n:long,ref_id:long,ref_at:long>>")
+        finish, "doc_id long, id long, tag string, n_words long, n_removed long, text string, factors array<struct<at:long,n:long,ref_id:long,ref_at:long>>")
