@@ -2,8 +2,10 @@
 
 Pairs are counted once, in long form, with partial counts in the map tasks.
 Totals follow from those counts, and the zero cells of a complete grid are added
-last: each row value looks up which column values it lacks.  Domains of labels
-may have any size; nothing of them passes through the driver.
+last: each row value looks up which column values it lacks.  Row domains may have
+any size.  The column domain, if its values are not given, is gathered by one
+task into one array and passes through the driver as a scalar: it has to fit
+into one row (2 GB) and the driver's memory.
 """
 
 from __future__ import annotations
