@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelprism.llm import bpe, chat, decontaminate, lattice, quality, simhash, substring, token_counts, token_files, toxicity
-from labelprism.llm.common import public_path, read, shared_folder
+from labelprism.llm import bpe, chat, decontaminate, lattice, quality, runs, simhash, substring, token_counts, token_files, toxicity
+from labelprism.llm.common import WHITE, public_path, read, shared_folder
 
 __all__ = ["QUERIES", "ORACLE"]
 
@@ -121,6 +121,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: of every tenth document (by the checksum of its id; none of a null id), the words from one place on repeat a first part of them."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    got = got.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.array_remove(F.split(F.when(F.col("h") % 10 == 0, F.col("text")), WHITE), "").alias("words"))
+    got = got.withColumn("n", F.when(F.size("words") > 0, F.size("words")))  # null: stays as it is
+    got = got.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    got = got.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    cycle = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return got.select("doc_id", F.coalesce(F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), cycle), " "), F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, after a tenth of them were made periodic, and the texts without repeats."""
+    found = runs.periodic_runs(with_cycles(read(spark, sf_dir, "documents")), least=24, times=3)
+    best = found.withColumn("best", runs.longest_power(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+                       sha(listed).alias("runs_sha256"), sha(F.col("text")).alias("collapsed_sha256"), "n_words")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -132,6 +155,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE: dict[str, str] = {}
 
@@ -170,3 +194,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length(regexp_replace(role, '([\\#<:])', 'x\1', 'g')) + length(regexp_replace(text, '([\\#<])', 'x\1', 'g')) + 14)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit (the reflected polynomial is a fixed value)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, e: {step}), 4294967295)"
+
+
+ORACLE["op12_periodic_runs"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+c AS (SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hot, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM c),
+x AS (SELECT doc_id, n, CASE WHEN hot THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+tok AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS t FROM x),
+eq AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i > a.i WHERE 3 * (b.i - a.i) <= a.n),
+isl AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM eq) GROUP BY doc_id, q, g),
+run AS (SELECT doc_id, s, l, min(q) AS q FROM isl WHERE l >= greatest(24, 3 * q) GROUP BY doc_id, s, l),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+lst AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t FROM tok ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lst.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256, n::BIGINT AS n_words
+FROM x LEFT JOIN best USING (doc_id) LEFT JOIN lst USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
