@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelprism.llm import bpe, chat, decontaminate, lattice, quality, runs, simhash, substring, token_counts, token_files, toxicity
+from labelprism.llm import bpe, chat, decontaminate, lattice, quality, repair, runs, secret_scan, simhash, substring, token_counts, token_files, toxicity
 from labelprism.llm.common import WHITE, public_path, read, shared_folder
 
 __all__ = ["QUERIES", "ORACLE"]
@@ -121,6 +121,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: spans of the plain patterns, and of high entropy."""
+    found = secret_scan.secret_spans(read(spark, sf_dir, "documents"))
+
+    def of(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda x: x["place"] < len(secret_scan.BASE))
+    return found.select("doc_id", *(of(kind).alias(f"n_{kind}") for kind in secret_scan.BASE), sha(secret_scan.span_list(base)).alias("base_sha256"), secret_scan.span_list(F.col("spans")).alias("spans"))
+
+
 def with_cycles(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: of every tenth document (by the checksum of its id; none of a null id), the words from one place on repeat a first part of them."""
     h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
@@ -144,6 +155,27 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha(listed).alias("runs_sha256"), sha(F.col("text")).alias("collapsed_sha256"), "n_words")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults, by the checksum of ``conv_id:turn`` (null: one space): dropped, emptied, without ends, twice, or by the user."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    got = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return got.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("one")).drop("one")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults, and the cheapest repair with its digest."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repairs, repaired = repair.repair_conversations(damaged(rows))
+    key = repair.conversation_key(F.col("conv_id"))
+    every = rows.select("conv_id", key.alias("conv")).distinct()
+    got = every.join(repairs.withColumn("conv", key).drop("conv_id"), "conv", "left").join(repair.conversation_digests(repaired), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha(F.lit(""))).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -155,7 +187,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_secret_scan": op11_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {}
 
@@ -196,6 +230,43 @@ FROM t GROUP BY conv_id
 """
 
 
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def secret_scan_sql() -> str:
+    """Matches placed by the texts between them; entropy counted anew in every window."""
+    classes = secret_scan.CLASSES
+    patterns = [*secret_scan.BASE.items(), *((c.kind, f"{secret_scan.letter_class(c)}{{{c.window},}}") for c in classes)]
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS place, '{kind}' AS kind, regexp_extract_all(t, {sql_text(p)}) AS f, string_split_regex(t, {sql_text(p)}) AS g FROM d"
+                               for k, (kind, p) in enumerate(patterns))
+    kinds = ", ".join(f"('{c.kind}', {c.window}, {secret_scan.weight_limit(c)})" for c in classes)
+    allowed = " OR ".join(f"regexp_matches(s, {sql_text(p)})" for p in secret_scan.ALLOWED)
+    key = sql_text("^" + secret_scan.KEY)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+one AS (SELECT doc_id, place, kind, unnest(range(len(f))) AS i, unnest(f) AS s, unnest(g[1:len(f)]) AS gap FROM found WHERE len(f) > 0),
+placed AS (SELECT doc_id, place, kind, i, s, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, place ORDER BY i) - length(s) AS a FROM one),
+base AS (SELECT doc_id, place, kind, a AS s, a + length(s) AS e FROM placed WHERE place IN (1, 2) OR (place = 0 AND length(regexp_replace(s, {key}, '')) >= {secret_scan.LEAST_VALUE})),
+class(kind, w, most) AS (VALUES {kinds}),
+win AS (SELECT doc_id, place, kind, w, most, a + j AS a, substr(s, j + 1, w) AS x
+        FROM (SELECT *, unnest(range(length(s) - w + 1)) AS j FROM placed JOIN class USING (kind) WHERE NOT ({allowed}))),
+cnt AS (SELECT doc_id, place, kind, w, most, a, c, count(*) AS n FROM (SELECT doc_id, place, kind, w, most, a, unnest(string_split(x, '')) AS c FROM win) GROUP BY ALL),
+hot AS (SELECT doc_id, place, kind, w, a FROM cnt GROUP BY doc_id, place, kind, w, most, a HAVING sum({secret_scan.WEIGHTS}[n + 1]) <= most),
+grp AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, place ORDER BY a) AS g
+        FROM (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id, place ORDER BY a) + w THEN 0 ELSE 1 END AS new FROM hot)),
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, place, kind, min(a), max(a) + any_value(w) FROM grp GROUP BY doc_id, place, kind, g)
+SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access, count(*) FILTER (WHERE place = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place) FILTER (WHERE place < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place), '') AS spans
+FROM d LEFT JOIN every USING (doc_id) GROUP BY doc_id
+"""
+
+
+ORACLE["op11_secret_scan"] = secret_scan_sql()
+
+
 def crc32_sql(text: str) -> str:
     """Unsigned CRC-32 of an ASCII text, bit by bit (the reflected polynomial is a fixed value)."""
     steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
@@ -221,3 +292,37 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIG
        sha256(coalesce(lst.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256, n::BIGINT AS n_words
 FROM x LEFT JOIN best USING (doc_id) LEFT JOIN lst USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE src AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+dam AS (SELECT k, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE kind <> 0),
+ord AS (SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS short FROM dam),
+f AS (SELECT k, turn, role, text, x, i, blank, again AND NOT blank AS dup, short AND NOT again AND NOT blank AS trunc, lag(x) OVER (PARTITION BY k ORDER BY i) AS before FROM ord),
+stat AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, count_if(trunc) AS truncated,
+         count_if(i > 1 AND before || '>' || x NOT IN ('s>u', 'u>a', 'a>u')) AS illegal, count(*) AS n FROM f GROUP BY k),
+nxt(q, r, z) AS (VALUES ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+ins AS (SELECT q, q AS r, 0 AS c, '' AS l FROM nxt UNION ALL SELECT q, r, 5, 'I' FROM nxt UNION ALL SELECT a.q, b.r, 10, 'II' FROM nxt a JOIN nxt b ON a.r = b.q),
+walk AS (SELECT k, 0::BIGINT AS i, '0' AS q, {{'c': 0, 'l': ''}} AS w FROM stat
+  UNION ALL
+  SELECT k, i, q, min(w) AS w FROM (
+    SELECT w.k, f.i, e.q, {{'c': w.w.c + ins.c + e.c, 'l': w.w.l || ins.l || e.l}} AS w
+    FROM walk w JOIN ins ON ins.q = w.q JOIN f ON f.k = w.k AND f.i = w.i + 1 JOIN nxt ON nxt.q = ins.r,
+    LATERAL (SELECT ins.r AS q, 2 AS c, 'D' AS l
+             UNION ALL SELECT nxt.r, 1 + CASE WHEN f.trunc THEN 5 ELSE 0 END, 'R' WHERE NOT f.blank AND NOT f.dup
+             UNION ALL SELECT f.x, CASE WHEN f.trunc THEN 5 ELSE 0 END, 'K' WHERE NOT f.blank AND NOT f.dup AND (f.x = nxt.z OR (f.x = 's' AND ins.r = '0'))) e)
+  GROUP BY k, i, q),
+best AS (SELECT k, min({{'c': w.c + ins.c, 'l': w.l || ins.l}}) AS w FROM walk JOIN stat USING (k) JOIN ins ON ins.q = walk.q WHERE i = n AND ins.r IN ('0', 'a') GROUP BY k),
+let AS (SELECT k, unnest(range(1, length(w.l) + 1)) AS j, unnest(string_split(w.l, '')) AS l, (length(w.l) - length(replace(w.l, 'D', ''))) % 2 AS odd FROM best WHERE w.l <> ''),
+num AS (SELECT *, count_if(l <> 'I') OVER (PARTITION BY k ORDER BY j) AS i, count_if(l <> 'D') OVER (PARTITION BY k ORDER BY j) - 1 AS o,
+        count_if(l <> 'D') OVER (PARTITION BY k) % 2 AS s FROM let),
+lines AS (SELECT num.k, j, CASE WHEN l = 'K' THEN f.role WHEN (o - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE f.text END AS t
+          FROM num LEFT JOIN f ON f.k = num.k AND f.i = num.i WHERE l <> 'D'),
+rep AS (SELECT k, string_agg(t, chr(10) ORDER BY j) AS t FROM lines GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.w.c, 0)::BIGINT AS cost, coalesce(best.w.l, '') AS audit, sha256(coalesce(rep.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k FROM conversations) LEFT JOIN stat USING (k) LEFT JOIN best USING (k) LEFT JOIN rep USING (k)
+"""
