@@ -18,13 +18,19 @@ through sparse anchors:
   anchor that differ somewhere (ends of a shared passage, edits) may still have
   windows in common: these *boundaries* are checked window by window, which
   needs the words of those places alone.
+  A task remembers what its earlier blocks sent and makes factors of it at once,
+  so that an anchor of a third of all documents is sent about once per task.
 * A document's touching factors with one source and one shift are merged into
-  the longest ones, and the parse takes the longest factor at each place.
+  the longest ones.  The parse goes from left to right: at a place that factors
+  cover, the one that reaches furthest is the next phrase, elsewhere a word stands
+  for itself.  The phrases' words are the duplicates.
 
 Stretches and windows are compared by two independent 64-bit hashes (of the
 anchor and of the whole words).  Earlier means: smaller ``doc_id`` (null first),
 then the smaller hash of the text for rows that share an id, then the earlier
-place.  Rows with equal id and equal text are one document.
+place.  Rows with equal id and equal text are one document.  The places carry a
+64-bit ``mark`` of the text, whose seed is one under which no two texts of one id
+have the same mark (checked over all rows).
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelprism.llm.common import cut, keyed_bodies, slices
+from labelprism.llm.common import cut, keys, slices
 from labelprism.llm.hashing import U, mix, powers
 
 __all__ = ["substring_dedup"]
@@ -44,6 +50,8 @@ __all__ = ["substring_dedup"]
 ANCHOR = 8
 #: Words of a reference block, and how far into a long document a task looks at once.
 BLOCK = 1 << 19
+#: Stretches of earlier blocks that a task remembers.
+KNOWN = 1 << 19
 
 
 class Hashes:
@@ -97,14 +105,14 @@ def stretches(words: list[bytes], ends: np.ndarray, window: int) -> dict[str, np
 
 
 def blocks(batches: Iterator[pa.RecordBatch], window: int, size: int):
-    """Documents in blocks of about ``size`` words: lists of ``(id, tag, offset, words)``; long ones in overlapping parts."""
+    """Documents in blocks of about ``size`` words: lists of ``(id, mark, offset, words)``; long ones in overlapping parts."""
     block, held = [], 0
     for b in slices(batches):
-        for i, tag, body in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("body").to_pylist()):
+        for i, mark, body in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("body").to_pylist()):
             words = body.split()
             for at in range(0, max(len(words) - window + 1, 0), size):
                 part = words[at: at + size + window - 1]
-                block.append((i, tag, at, part))
+                block.append((i, mark, at, part))
                 held += len(part)
                 if held >= size:
                     yield block
@@ -114,10 +122,8 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int, size: int):
 
 
 #: A found place. ``o`` < 0: a factor, with its source; else a first stretch, to be judged, whose anchor is at ``at + o``.
-PLACE = "key long, ctx long, id long, tag string, at int, n int, o int, ref_id long, ref_at int"
-PLACE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-#: A document's tag as numpy holds it.
-TAG = "S22"
+PLACE = "key long, ctx long, id long, mark long, at int, n int, o int, ref_id long, ref_at int"
+PLACE_TYPES = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64(), pa.int32()]
 PLACE_NAMES = [x.split()[0] for x in PLACE.split(", ")]
 
 
@@ -129,44 +135,83 @@ def place_batch(*columns) -> pa.RecordBatch:
     return pa.record_batch(arrays, PLACE_NAMES)
 
 
-def index_blocks(window: int, size: int):
-    """Map tasks' part: index each block, factor it against itself, send on what is first in it."""
+class Known:
+    """What earlier blocks of a task sent: of each class of stretches the earliest place, the most useful ones kept."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.rows = np.zeros((0, 6), np.int64)  # key, ctx, id, mark, at, last use
+        self.hashes = np.zeros(0, U)
+        self.block = 0
+
+    def sources(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows ``key, ctx, id, mark, at`` of different classes: which have an earlier place, and what it is."""
+        self.block += 1
+        h = mix(first[:, 0].view(U) ^ mix(first[:, 1].view(U)))
+        near = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        have = np.zeros(len(h), bool) if not len(self.hashes) else (self.rows[near, :2] == first[:, :2]).all(axis=1)
+        known = self.rows[near[have]]
+        later = np.zeros(len(h), bool)
+        later[have] = [tuple(a) > tuple(b) for a, b in zip(first[have, 2:].tolist(), known[:, 2:5].tolist())]
+        self.rows[near[have], 5] = self.block
+        sources = self.rows[near[later]][:, 2:5]
+        renewed = have & ~later
+        self.rows[near[renewed], 2:5] = first[renewed, 2:]
+        self.add(first[~have], h[~have])
+        return later, sources
+
+    def add(self, first: np.ndarray, h: np.ndarray) -> None:
+        rows = np.concatenate((self.rows, np.column_stack((first, np.full(len(first), self.block - 1)))))
+        hashes = np.concatenate((self.hashes, h))
+        if len(rows) > self.most:  # the latest used stay
+            keep = np.argsort(-rows[:, 5], kind="stable")[: self.most]
+            rows, hashes = rows[keep], hashes[keep]
+        order = np.argsort(hashes, kind="stable")
+        self.rows, self.hashes = rows[order], hashes[order]
+
+
+def index_blocks(window: int, size: int, most: int = KNOWN):
+    """Map tasks' part: index each block, factor it against itself and what is known, send on what is first."""
 
     def run(batches):
+        known = Known(most)
         for block in blocks(batches, window, size):
-            ids, tags, offsets, parts = zip(*block)
+            ids, marks, offsets, parts = zip(*block)
             ends = np.cumsum([len(p) for p in parts])
             s = stretches([w for p in parts for w in p], ends, window)
             if not len(s["at"]):
                 continue
             doc = np.searchsorted(ends, s["at"], "right")
-            i, tag = np.array(ids, np.int64)[doc], np.array(tags, TAG)[doc]
+            i, mark = np.array(ids, np.int64)[doc], np.array(marks, np.int64)[doc]
             at = s["at"] - (ends - [len(p) for p in parts])[doc] + np.array(offsets, np.int64)[doc]
-            order = np.lexsort((at, tag, i, s["ctx"], s["key"]))
-            key, ctx, i, tag, at, n, o = (x[order] for x in (s["key"], s["ctx"], i, tag, at, s["n"], s["o"]))
+            order = np.lexsort((at, mark, i, s["ctx"], s["key"]))
+            key, ctx, i, mark, at, n, o = (x[order] for x in (s["key"], s["ctx"], i, mark, at, s["n"], s["o"]))
             new = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(ctx) != 0)))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = (i == i[first]) & (tag == tag[first]) & (at == at[first])  # a copy of the row itself
-            factor = ~again
-            none = np.full(int(new.sum()), -1)
-            yield place_batch(key[new], ctx[new], i[new], tag[new], at[new], n[new], o[new], none, none)
-            if factor.any():
-                f = factor.nonzero()[0]
-                yield merged_places(i[f], tag[f], at[f], n[f], i[first[f]], at[first[f]])
+            starts = np.flatnonzero(new)
+            head = np.column_stack((key.view(np.int64), ctx.view(np.int64), i, mark, at))[starts]
+            later, sources = known.sources(head)
+            head[later, 2:] = sources
+            send = starts[~later]
+            none = np.full(len(send), -1)
+            yield place_batch(key[send], ctx[send], i[send], mark[send], at[send], n[send], o[send], none, none)
+            source = head[np.cumsum(new) - 1, 2:]
+            f = np.flatnonzero((i != source[:, 0]) | (mark != source[:, 1]) | (at != source[:, 2]))  # others are the place itself, or copies of the row
+            if len(f):
+                yield merged_places(i[f], mark[f], at[f], n[f], source[f, 0], source[f, 2])
 
     return run
 
 
-def merged_places(i, tag, at, n, ref_id, ref_at) -> pa.RecordBatch:
+def merged_places(i, mark, at, n, ref_id, ref_at) -> pa.RecordBatch:
     """Factors with overlaps of one source and one shift merged; keyed by document, so that they pass the anchors' exchange evenly."""
-    order = np.lexsort((at, ref_at - at, ref_id, tag, i))
-    i, tag, at, n, ref_id, ref_at = (x[order] for x in (i, tag, at, n, ref_id, ref_at))
+    order = np.lexsort((at, ref_at - at, ref_id, mark, i))
+    i, mark, at, n, ref_id, ref_at = (x[order] for x in (i, mark, at, n, ref_id, ref_at))
     shift = ref_at - at
-    same = (np.diff(i) == 0) & (tag[1:] == tag[:-1]) & (np.diff(ref_id) == 0) & (np.diff(shift) == 0) & (at[1:] <= (at + n)[:-1])
+    same = (np.diff(i) == 0) & (mark[1:] == mark[:-1]) & (np.diff(ref_id) == 0) & (np.diff(shift) == 0) & (at[1:] <= (at + n)[:-1])
     new = np.concatenate(([True], ~same))
     starts = np.flatnonzero(new)
     n = np.maximum.reduceat(at + n, starts) - at[starts]
-    keep = [x[starts] for x in (i, tag, at)]
+    keep = [x[starts] for x in (i, mark, at)]
     minus = np.full(len(starts), -1)
     return place_batch(mix(keep[0].astype(U) ^ U(0x5851F42D4C957F2D)), np.zeros(len(starts), np.int64), *keep, n, minus, ref_id[starts], ref_at[starts])
 
@@ -178,11 +223,10 @@ def judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of a class passes on as boundary (``o`` >= 0) if its anchor has other
     classes.  Factors that came ready pass through.
     """
-    head = None  # the last class: key, ctx, id, tag, at, n, o of its first row
+    head = None  # the last class: key, ctx, id, mark, at, n, o of its first row
     sent = False  # whether it went on as boundary
     for b in batches:
         cols = [np.asarray(b.column(k)) for k in range(7)]
-        cols[3] = cols[3].astype(TAG)
         ready = cols[6] < 0
         if ready.any():
             yield b.filter(pa.array(ready))
@@ -191,7 +235,7 @@ def judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if head is not None:
             cols = [np.concatenate(([v], c)).astype(c.dtype) for v, c in zip(head, cols)]
-        key, ctx, i, tag, at, n, o = cols
+        key, ctx, i, mark, at, n, o = cols
         new_key = np.concatenate(([True], np.diff(key) != 0))
         new = new_key | np.concatenate(([True], np.diff(ctx) != 0))
         row = np.arange(len(key))
@@ -204,13 +248,13 @@ def judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if head is not None and sent:
             boundary = boundary[boundary > 0]
         last_sent = not alone_left[-1] or (sent and starts[-1] == 0)
-        factor = np.flatnonzero((i != i[first]) | (tag != tag[first]) | (at != at[first]))
+        factor = np.flatnonzero((i != i[first]) | (mark != mark[first]) | (at != at[first]))
         if len(boundary):
             none = np.full(len(boundary), -1)
             yield place_batch(*(c[boundary] for c in cols), none, none)
         if len(factor):
             f = first[factor]
-            yield merged_places(i[factor], tag[factor], at[factor], n[factor], i[f], at[f])
+            yield merged_places(i[factor], mark[factor], at[factor], n[factor], i[f], at[f])
         head = [c[starts[-1]] for c in cols]
         sent = bool(last_sent)
 
@@ -229,8 +273,8 @@ def condensed(batches):
             factors.append(merge_factors(at[ready], n[ready], ref_id[ready], ref_at[ready]))
             judged = np.unique(np.column_stack((at, n, o, key))[~ready].astype(np.int64), axis=0)
             open_places.append(judged.ravel().tolist())
-        yield pa.record_batch([b.column("id"), b.column("tag"), pa.array(factors, pa.list_(pa.int64())), pa.array(open_places, pa.list_(pa.int64()))],
-                              ["id", "tag", "factors", "boundaries"])
+        yield pa.record_batch([b.column("id"), b.column("mark"), pa.array(factors, pa.list_(pa.int64())), pa.array(open_places, pa.list_(pa.int64()))],
+                              ["id", "mark", "factors", "boundaries"])
 
 
 def merge_factors(at, n, ref_id, ref_at) -> list[int]:
@@ -251,18 +295,28 @@ def merge_factors(at, n, ref_id, ref_at) -> list[int]:
 
 
 def parse(factors: list[int], n_words: int) -> tuple[list[dict], np.ndarray]:
-    """Greedy parse: from the left, the longest factor at each place; and which words any factor covers."""
-    rows = sorted((factors[k: k + 4] for k in range(0, len(factors), 4)), key=lambda f: (f[0], -f[1], f[2], f[3]))
-    covered = np.zeros(n_words + 1, np.int64)
-    for at, n, _, _ in rows:
-        covered[at] += 1
-        covered[at + n] -= 1
-    chosen, reach = [], 0
-    for at, n, ref_id, ref_at in rows:
-        if at + n > reach:
-            chosen.append({"at": at, "n": n, "ref_id": ref_id, "ref_at": ref_at})
-            reach = at + n
-    return chosen, np.cumsum(covered)[:n_words] > 0
+    """Greedy parse of flat ``at, n, ref_id, ref_at``: the phrases that are copies, from left to right, and which words they have.
+
+    At each place the phrase is what is left of the factor that reaches furthest
+    from there (of equal ones the first by source).
+    """
+    rows = sorted((factors[k: k + 4] for k in range(0, len(factors), 4)), key=lambda f: (f[0], f[2], f[3]))
+    phrases, gone = [], np.zeros(n_words, bool)
+    place, k, end, shift, ref = 0, 0, 0, 0, 0
+    while True:
+        while k < len(rows) and rows[k][0] <= place:
+            at, n, ref_id, ref_at = rows[k]
+            if at + n > end:
+                end, shift, ref = at + n, ref_at - at, ref_id
+            k += 1
+        if end > place:
+            phrases.append({"at": place, "n": end - place, "ref_id": ref, "ref_at": place + shift})
+            gone[place: end] = True
+            place = end
+        elif k < len(rows):
+            place = rows[k][0]
+        else:
+            return phrases, gone
 
 
 def boundary_windows(window: int):
@@ -271,46 +325,64 @@ def boundary_windows(window: int):
     def run(batches):
         for b in slices(batches):
             out = [[] for _ in range(6)]
-            for i, tag, body, places in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "body", "boundaries"))):
+            for i, mark, body, places in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "body", "boundaries"))):
                 words = body.split()
                 for k in range(0, len(places), 4):
                     at, n, o, key = places[k: k + 4]
                     h = Hashes(words[at: at + n])
                     start = np.arange(n - window + 1)
                     for column, value in zip(out, (np.full(len(start), key), o - start, h.of(start, start + window).view(np.int64),
-                                                   np.full(len(start), i), np.full(len(start), tag, TAG), at + start)):
+                                                   np.full(len(start), i), np.full(len(start), mark), at + start)):
                         column.append(value)
             if out[0]:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
-                yield pa.record_batch([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, types)], ["key", "o", "words", "id", "tag", "at"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.record_batch([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, types)], ["key", "o", "words", "id", "mark", "at"])
 
     return run
 
 
+def marked_bodies(docs: DataFrame) -> DataFrame:
+    """``doc_id, id, tag, mark, body``: ``mark`` tells the texts of one id apart in 64 bits.
+
+    The first seed is taken under which no two texts of an id have one mark.
+    None of the join columns is nullable, so that all joins share one exchange.
+    """
+    key = keys()
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    seed = 0
+    while True:
+        mark = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), body)
+        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key["id"].alias("id"), key["tag"].alias("tag"), mark.alias("mark"), body.alias("body"))
+        marks = got.groupBy("id", "mark", "tag").agg(F.lit(1).alias("one")).groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n"))
+        if marks.where("n > 1").isEmpty():
+            return got
+        seed += 1
+
+
 def substring_dedup(docs: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
     """``doc_id, id, tag, n_words, n_removed, text, factors`` of every row: its text without words that were seen before.
 
-    ``text`` has the kept words joined by one space; ``factors`` is the greedy
-    parse, ``array<struct<at, n, ref_id, ref_at>>`` in words.  Texts that are
+    ``text`` has the kept words joined by one space; ``factors`` are the
+    phrases of the greedy parse, ``array<struct<at, n, ref_id, ref_at>>`` in words.  Texts that are
     null, empty or shorter than ``window`` lose nothing (null gives an empty
     text).  Repeated rows with one id are one document and keep their words
     alike; other columns are ignored; an empty table gives an empty result.
     """
-    source = keyed_bodies(docs)
-    texts = source.select("id", "tag", "body")
-    found = (texts.mapInArrow(index_blocks(window, block), PLACE)
-             .repartition("key").sortWithinPartitions("key", "ctx", "id", "tag", "at")
+    source = marked_bodies(docs)
+    found = (source.select("id", "mark", "body").mapInArrow(index_blocks(window, block), PLACE)
+             .repartition("key").sortWithinPartitions("key", "ctx", "id", "mark", "at")
              .mapInArrow(judge_sorted, PLACE)
-             .groupBy("id", "tag").agg(F.collect_list(F.struct("at", "n", "o", "key", "ref_id", "ref_at")).alias("found"))
-             .mapInArrow(condensed, "id long, tag string, factors array<long>, boundaries array<long>"))
+             .groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n", "o", "key", "ref_id", "ref_at")).alias("found"))
+             .mapInArrow(condensed, "id long, mark long, factors array<long>, boundaries array<long>"))
     found = cut(found)
 
-    open_texts = texts.join(found.where(F.size("boundaries") > 0).select("id", "tag", "boundaries"), ["id", "tag"])
-    windows = open_texts.mapInArrow(boundary_windows(window), "key long, o int, words long, id long, tag string, at int")
+    # the texts meet their factors and boundaries in one exchange, which both uses of the join share
+    joined = source.join(found, ["id", "mark"], "left")
+    windows = joined.where(F.size("boundaries") > 0).mapInArrow(boundary_windows(window), "key long, o int, words long, id long, mark long, at int")
     same = ["key", "o", "words"]
-    first = windows.groupBy(*same).agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    late = (windows.join(first, same).where(F.struct("id", "tag", "at") != F.col("first"))
-            .groupBy("id", "tag").agg(F.collect_list(F.struct("at", F.col("first.id").alias("ref_id"), F.col("first.at").alias("ref_at"))).alias("late")))
+    first = windows.groupBy(*same).agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    late = (windows.join(first, same).where(F.struct("id", "mark", "at") != F.col("first"))
+            .groupBy("id", "mark").agg(F.collect_list(F.struct("at", F.col("first.id").alias("ref_id"), F.col("first.at").alias("ref_at"))).alias("late")))
 
     def finish(batches):
         for b in slices(batches):
@@ -330,6 +402,6 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = BLOCK) -> Da
                                    pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.list_(factor))],
                                   ["doc_id", "id", "tag", "n_words", "n_removed", "text", "factors"])
 
-    joined = source.join(found.select("id", "tag", "factors"), ["id", "tag"], "left").join(late, ["id", "tag"], "left")
-    return joined.select("doc_id", "id", "tag", "body", "factors", "late").mapInArrow(
+    ready = joined.join(late, ["id", "mark"], "left")
+    return ready.select("doc_id", "id", "tag", "body", "factors", "late").mapInArrow(
         finish, "doc_id long, id long, tag string, n_words long, n_removed long, text string, factors array<struct<at:long,n:long,ref_id:long,ref_at:long>>")

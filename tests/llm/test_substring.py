@@ -1,8 +1,10 @@
 """Substring dedup against brute force over all windows."""
 
+import functools
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import PASSAGE, TEXTS, empty, odd, rows
 
@@ -80,3 +82,43 @@ def test_op1_on_whole_table(spark):
         want.append((i, n, n - len(kept.split()), hashlib.sha256(kept.encode()).hexdigest()))
     got = rows(queries.op1_substring_dedup(spark, SF_SMALL), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(want, key=repr) and sum(x[2] for x in want) > 0
+
+
+@pytest.mark.parametrize("known", [1, 50, 1 << 19])
+def test_blocks_that_share_a_passage(spark, monkeypatch, known):
+    """One passage in a third of 100 blocks; what a task remembers of its blocks changes nothing."""
+    monkeypatch.setattr(substring, "index_blocks", functools.partial(substring.index_blocks, most=known))
+    rng = np.random.default_rng(9)
+    texts = [(int(i), " ".join(rng.choice([f"v{k}" for k in range(400)], 60)) + (f" {PASSAGE} " if i % 3 == 0 else " ") + f"end{i}") for i in rng.permutation(100)]
+    assert rows(run(spark, texts, block=64, parts=2), "doc_id", "n_words", "text") == brute(texts, 20)
+
+
+def test_remembered_stretches_leave_a_task_once():
+    """Of the stretches of a passage that every block has, a task sends on the first block's alone."""
+    passage = [f"p{k}" for k in range(60)]
+    batch = pa.record_batch([pa.array(range(40)), pa.array([0] * 40), pa.array([" ".join([*passage, f"x{k}"]).encode() for k in range(40)])], ["id", "mark", "body"])
+    got = pa.Table.from_batches(substring.index_blocks(20, 64)(iter([batch]))).to_pydict()
+    sent = [(i, o) for i, o in zip(got["id"], got["o"]) if o >= 0]
+    assert sum(i > 0 for i, _ in sent) <= 39 * 2 < sum(o < 0 for o in got["o"]) * 3
+    assert {i for i, o in zip(got["id"], got["o"]) if o < 0} == set(range(1, 40))
+
+
+def test_parse_takes_what_reaches_furthest():
+    factors = [0, 10, 1, 100, 4, 20, 2, 50, 6, 8, 3, 0, 30, 5, 1, 7]
+    phrases, gone = substring.parse(factors, 40)
+    assert [tuple(p.values()) for p in phrases] == [(0, 10, 1, 100), (10, 14, 2, 56), (30, 5, 1, 7)]
+    assert gone.tolist() == [k < 24 or 30 <= k < 35 for k in range(40)]
+
+
+def test_texts_of_one_id_get_marks_of_their_own(spark, monkeypatch):
+    """A seed under which two texts of an id have one mark is passed over."""
+    real, seeds = substring.F.xxhash64, []
+
+    def weak(*columns):
+        seeds.append(len(seeds))
+        return real(*columns) if len(seeds) > 2 else real(columns[0])
+
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(5)] + [(1, "one")], "doc_id long, text string")
+    monkeypatch.setattr(substring.F, "xxhash64", weak)
+    got = substring.marked_bodies(docs)
+    assert len(seeds) == 3 and got.select("id", "mark").distinct().count() == 6
