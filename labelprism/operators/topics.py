@@ -11,7 +11,7 @@ explicit vocabulary.  Everything after the fit works on three long tables:
 so any topic model (or a fixed one, as the oracle tests use) can feed them.
 Topic-level tables have one row per topic (small); term-level ones one row
 per (topic, term) and are aggregated with joins and group-bys, never on the
-driver.  Only the k × k overlap/distance tables are collected (M05, A21).
+driver.  Only the k × k distance table is collected (A21).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from labelprism.functions.columns import argmax, number_in_name
 from labelprism.operators.assoc import complete_counts
 from labelprism.operators.domain import small_domain
+from labelprism.operators.ordinal import sorted_ordinal
+from labelprism.session import ensure_checkpoint_dir
 
 __all__ = ["count_vectors", "fit_topics", "assign_topics", "model_topic_terms", "top_terms",
            "topic_report", "topic_share", "topic_term_counts", "token_shares", "topic_term_scores",
@@ -295,31 +297,42 @@ def topic_overlap(top_a: DataFrame, top_b: DataFrame, topic_a: str = "topic_a",
                                  F.lit(0.0)).alias("jaccard"))
 
 
-def align_topics(overlap: DataFrame, fitted: list[int], display: list[str], threshold: float = 0.1):
-    """Map display topics (in their numeric order) to fitted topics.
+def align_topics(overlap: DataFrame, fitted: DataFrame, display: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """``(topic, name, position)``, fitted topics by the names of display topics.
 
-    Pairs above ``threshold`` are taken in the order of the display topics and,
-    for one of them, from the highest Jaccard down (ties → lowest id); a pair
-    counts if neither side has a partner yet.  Display topics and fitted topics
-    that are left over are paired in order, and fitted topics beyond that are
-    called ``'Topic <id+1> (Unmapped)'`` and stand last.  Two topic lists are
-    compared, so the overlap table is collected.
-    Returns a pandas frame ``(topic, name, position)``.
+    ``overlap`` has ``topic_a`` (display name), ``topic_b`` (fitted id) and
+    ``jaccard``; ``fitted`` has ``topic``, ``display`` has ``name``.  Pairs above
+    ``threshold`` are settled in rounds: every display topic proposes to the most
+    similar fitted topic that has not turned it down (ties: lowest id), and a
+    fitted topic keeps the first of its proposers in the display order (by the
+    number in the name) and turns the others down for good.  When nobody is turned
+    down, display and fitted topics without a partner are paired in order; fitted
+    topics beyond that are called ``'Topic <id+1> (Unmapped)'`` and stand last,
+    display topics beyond that are left out.  Everything is a table of topics; the
+    driver learns only whether a round turned anybody down.
     """
-    order = sorted(display, key=lambda s: (_first_number(s), s))
-    place = {name: k for k, name in enumerate(order)}
-    pairs = overlap.where(F.col("jaccard") > threshold).select("topic_a", "topic_b", "jaccard").collect()
-    ranked = sorted((place[p.topic_a], -p.jaccard, p.topic_b) for p in pairs if p.topic_a in place and p.topic_b in fitted)
-    partner: dict[int, int] = {}
-    for k, _, topic in ranked:
-        if k not in partner and topic not in partner.values():
-            partner[k] = topic
-    single = sorted(set(fitted) - set(partner.values()))
-    open_places = [k for k in range(len(order)) if k not in partner]
-    partner.update(zip(open_places, single))
-    rows = [(partner[k], order[k]) for k in sorted(partner)]
-    rows += [(t, f"Topic {t + 1} (Unmapped)") for t in single[len(open_places):]]
-    return pd.DataFrame({"topic": [t for t, _ in rows], "name": [n for _, n in rows], "position": range(len(rows))})
+    ensure_checkpoint_dir(overlap.sparkSession)
+    names = display.select("name").where("name is not null").distinct().withColumn("_n", number_in_name("name"))
+    order = sorted_ordinal(names, ["_n", "name"], "place").select("name", "place")
+    topics_ = fitted.select("topic").where("topic is not null").distinct()
+    pairs = (overlap.where(F.col("jaccard") > threshold).join(order, F.col("topic_a") == F.col("name"))
+             .join(topics_, F.col("topic_b") == F.col("topic"), "left_semi").groupBy("place", F.col("topic_b").alias("topic")).agg(F.max("jaccard").alias("jaccard")).checkpoint(eager=True))
+    while True:
+        nth = F.row_number().over(Window.partitionBy("place").orderBy(F.col("jaccard").desc(), "topic"))
+        proposed = pairs.withColumn("nth", nth).where("nth = 1").select("place", "topic")
+        kept = proposed.groupBy("topic").agg(F.min("place").alias("kept"))
+        turned_down = proposed.join(kept, "topic").where("place <> kept").select("place", "topic").checkpoint(eager=True)
+        if turned_down.isEmpty():
+            break
+        pairs = pairs.join(turned_down, ["place", "topic"], "left_anti").checkpoint(eager=True)
+    partners = proposed.checkpoint(eager=True)
+    open_places = sorted_ordinal(order.join(partners, "place", "left_anti").select("place"), ["place"], "k")
+    single = sorted_ordinal(topics_.join(partners, "topic", "left_anti"), ["topic"], "k")
+    zipped = single.join(open_places, "k", "left").select("topic", "place")
+    named = partners.select("topic", "place").unionByName(zipped).join(order, "place", "left")
+    unmapped = F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string"), F.lit(" (Unmapped)"))
+    rows = named.select("topic", F.coalesce("name", unmapped).alias("name"), F.col("place").isNull().alias("_last"), F.coalesce("place", F.lit(0)).alias("_place"))
+    return sorted_ordinal(rows, ["_last", "_place", "topic"], "position").select("topic", "name", "position")
 
 
 def pivot_named(long: DataFrame, row: str, col: str, value: str, names: dict | None = None,

@@ -13,10 +13,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelprism.functions.columns import WORD_PATTERN, rnd
+from labelprism.functions.columns import WORD_PATTERN, number_in_name, rnd
 from labelprism.operators import assoc, text
 from labelprism.session import ensure_checkpoint_dir
 from labelprism.sources import tables
@@ -575,14 +575,25 @@ from labelprism.operators.domain import small_domain as tables_small_domain  # n
 PRIOR = 0.1
 
 
-_FIXED: dict[tuple[str, str], str] = {}
+_FIXED: dict[tuple, str] = {}
+
+
+def _files(spark, sf, name) -> tuple:
+    """Names, sizes and times of a table's files: what a copy of it is good for."""
+    out = []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in sorted(load(spark, sf, name).inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+        state = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, state.getLen(), state.getModificationTime()))
+    return tuple(out)
 
 
 def _fixed_bow(spark, sf):
     """``(doc_id, label, source, term, tf)`` inside the vocabulary: what the fixed
     models are made of.  Written to the shared folder once per application and
-    read by every query of the topic report."""
-    key = (spark.sparkContext.applicationId, sf)
+    state of the table's files, and read by every query of the topic report."""
+    key = (spark.sparkContext.applicationId, sf, _files(spark, sf, "documents"))
     if key not in _FIXED:
         docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("lang", "label")
         docs = text.add_word_tokens(tables.spread(docs, "doc_id"), "text").drop("text")
@@ -769,6 +780,40 @@ def q_topic_overlap(spark, sf):
     return topics.topic_overlap(top_a, top_b).withColumn("jaccard", rnd("jaccard"))
 
 
+_ALIGN_SQL = _TOPIC_BASE_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+ds AS (SELECT doc_id, source AS topic FROM documents WHERE source IS NOT NULL),
+occ_s AS (SELECT ds.topic, bow.term, sum(bow.tf) AS n FROM bow JOIN ds USING (doc_id) GROUP BY ds.topic, bow.term),
+top_s AS (SELECT * FROM (SELECT t.topic, v.term, row_number() OVER (PARTITION BY t.topic ORDER BY coalesce(o.n, 0) DESC, v.term) AS rank
+                         FROM (SELECT DISTINCT topic FROM ds) t CROSS JOIN (SELECT DISTINCT term FROM occ_s) v
+                         LEFT JOIN occ_s o ON o.topic = t.topic AND o.term = v.term) WHERE rank <= 30),
+A AS (SELECT ts.topic_order AS o, top30.term FROM top30 JOIN ts USING (topic)),
+B AS (SELECT regexp_extract(topic, '[0-9]+')::INTEGER AS t, term FROM top_s),
+ok AS (SELECT * FROM (SELECT o, t, count(*) / (60.0::DOUBLE - count(*)) AS j FROM A JOIN B USING (term) GROUP BY o, t) WHERE j > 0.1),
+m(o, used, t) AS (SELECT 0::BIGINT, []::INTEGER[], NULL::INTEGER
+  UNION ALL SELECT o, CASE WHEN t IS NULL THEN used ELSE list_append(used, t) END, t
+  FROM (SELECT m.o + 1 AS o, m.used, ok.t, row_number() OVER (ORDER BY j DESC NULLS LAST, ok.t) AS r
+        FROM m LEFT JOIN ok ON ok.o = m.o + 1 AND NOT list_contains(m.used, ok.t) WHERE m.o < (SELECT count(*) FROM ts)) WHERE r = 1),
+hole AS (SELECT o, row_number() OVER (ORDER BY o) AS k FROM m WHERE o > 0 AND t IS NULL),
+free AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM B) WHERE t NOT IN (SELECT t FROM m WHERE t IS NOT NULL)),
+every AS (SELECT t, o FROM m WHERE t IS NOT NULL UNION ALL SELECT free.t, hole.o FROM free LEFT JOIN hole USING (k))
+SELECT t AS topic, CASE WHEN o IS NULL THEN 'Topic ' || (t + 1) || ' (Unmapped)' ELSE 'Topic' || o END AS name,
+       row_number() OVER (ORDER BY o NULLS LAST, t) - 1 AS position FROM every"""
+
+
+@register("topic_alignment", _ALIGN_SQL)
+def q_topic_alignment(spark, sf):
+    """The source topics named after the language topics of the report
+    (by size), by the overlap of their 30 heaviest words."""
+    tt, shares = _shares(spark, sf)
+    shown = topics.top_terms(tt, 30).join(shares.select("topic", "topic_order"), "topic")
+    shown = shown.select(F.concat(F.lit("Topic"), F.col("topic_order").cast("string")).alias("topic"), "term")
+    other = topics.top_terms(_group_topic_terms(spark, sf, "source", "source"), 30)
+    other = other.select(number_in_name("topic").cast("int").alias("topic"), "term").checkpoint(eager=True)
+    overlap = topics.topic_overlap(shown, other)
+    got = topics.align_topics(overlap, other.select("topic"), shown.select(F.col("topic").alias("name")))
+    return got.select("topic", "name", F.col("position").cast("long").alias("position"))
+
+
 # a wide table needs its columns by name: the sources of the test tables
 _SOURCES = [f"src{k}" for k in range(20)]
 
@@ -809,17 +854,29 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE length(coalesce(text, '')) >
 t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM d),
 tf AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS tf FROM t GROUP BY 1, 2),
 dfb AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket),
-w AS (SELECT tf.doc_id, tf.bucket, tf.tf * ln(((SELECT count(*)::DOUBLE FROM d) + 1) / (dfb.df + 1)) AS w FROM tf JOIN dfb USING (bucket))
-SELECT d.doc_id, 64 AS width, count(*) FILTER (WHERE w.w <> 0) AS n_nonzero, coalesce(round(sum(w.w * w.w) / nullif(sum(w.w * w.w), 0), 3), 0.0) AS squared_length
-FROM d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
+w AS (SELECT tf.doc_id, tf.bucket, tf.tf * ln(((SELECT count(*)::DOUBLE FROM d) + 1) / (dfb.df + 1)) AS w FROM tf JOIN dfb USING (bucket)),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id),
+grid AS (SELECT doc_id, unnest(range(64))::INTEGER AS pos FROM d)
+SELECT grid.doc_id, grid.pos, round(coalesce(CASE WHEN nrm > 0 THEN w.w / nrm END, 0.0)::FLOAT::DOUBLE, 5) AS value
+FROM grid LEFT JOIN w ON w.doc_id = grid.doc_id AND w.bucket = grid.pos LEFT JOIN nr ON nr.doc_id = grid.doc_id""")
 def q_embed_documents(spark, sf):
-    """Null texts filled, empty ones dropped, one dense vector per document."""
+    """Null texts filled, empty ones dropped, one dense vector per document, element by element."""
     from labelprism.plans import embedding_eval
     docs = tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
     v = embedding_eval.embed(docs, "doc_id", "text", dims=64)
-    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return v.select("doc_id", F.size("embedding").alias("width"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_nonzero"),
-                    F.round(length, 3).alias("squared_length"))
+    return v.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@register("knn_approximate", """
+SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS n_rows, 5 * count(*) FILTER (WHERE vec_id % 100 = 0) AS n_links, 5 * count(*) AS n_found, true AS recalled FROM embeddings""")
+def q_knn_approximate(spark, sf):
+    """Five approximate neighbours of every vector; of every hundredth one, at least 0.9 of the exact ones."""
+    from labelprism.operators import neighbours, vectors
+    e = _emb(spark, sf)
+    found = neighbours.knn_approximate(e, "vec_id", "embedding", k=5).checkpoint(eager=True)
+    exact = vectors.knn(e.withColumn("asked", F.col("vec_id") % 100 == 0), "vec_id", "embedding", k=5, query_flag="asked")
+    n_found = found.count()
+    return neighbours.knn_recall(found, exact, "vec_id").select("n_rows", "n_links", F.lit(n_found).cast("long").alias("n_found"), (F.col("recall") >= 0.9).alias("recalled"))
 
 
 # ------------------------------------------------------------------ oversampling
@@ -860,7 +917,37 @@ def q_smote(spark, sf):
 
 
 # ------------------------------------------------------------------ fitted models (property checks)
-@register("coherence_cv")
+def _cv_sql(window: int = 110) -> str:
+    """c_v of the topics of ``tw`` (topic, term): intervals of window starts merged into islands,
+    joint counts from overlapping islands, all pairs of a topic's words in one table."""
+    return f"""
+wd AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_WS_SQL}+'), lambda x: x <> '') AS w FROM documents),
+tk AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS p, lower(unnest(w)) AS term FROM wd),
+rel AS (SELECT * FROM tk WHERE term IN (SELECT term FROM tw)),
+nw AS (SELECT sum(greatest(1, n - {window - 1}))::DOUBLE AS n FROM (SELECT DISTINCT doc_id, n FROM rel)),
+iv AS (SELECT doc_id, term, greatest(0, p - {window - 1}) AS lo, least(p, greatest(0, n - {window})) AS hi, p FROM rel),
+st AS (SELECT *, CASE WHEN lo <= lag(hi) OVER (PARTITION BY doc_id, term ORDER BY p) + 1 THEN 0 ELSE 1 END AS new FROM iv),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, term ORDER BY p) AS g FROM st),
+isl AS (SELECT doc_id, term, min(lo) AS lo, max(hi) AS hi FROM gr GROUP BY doc_id, term, g),
+pw AS (SELECT term, sum(hi - lo + 1) / (SELECT n FROM nw) AS p FROM isl GROUP BY term),
+it AS (SELECT isl.*, topic FROM isl JOIN tw USING (term)),
+pj AS (SELECT a.topic, a.term AS a, b.term AS b, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) / (SELECT n FROM nw) AS p
+       FROM it a JOIN it b ON a.topic = b.topic AND a.doc_id = b.doc_id AND a.term <> b.term AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL),
+npmi AS (SELECT x.topic, x.term AS a, y.term AS b,
+                CASE WHEN coalesce(px.p, 0) > 0 AND coalesce(py.p, 0) > 0
+                     THEN ln((CASE WHEN x.term = y.term THEN px.p ELSE coalesce(pj.p, 0) END + 1e-12::DOUBLE) / (px.p * py.p))
+                          / -ln(CASE WHEN x.term = y.term THEN px.p ELSE coalesce(pj.p, 0) END + 1e-12::DOUBLE) ELSE 0.0 END AS v
+         FROM tw x JOIN tw y ON x.topic = y.topic LEFT JOIN pw px ON px.term = x.term LEFT JOIN pw py ON py.term = y.term
+         LEFT JOIN pj ON pj.topic = x.topic AND pj.a = x.term AND pj.b = y.term),
+cvt AS (SELECT topic, b, sum(v) AS s FROM npmi GROUP BY topic, b),
+tn AS (SELECT topic, sqrt(sum(s * s)) AS norm FROM cvt GROUP BY topic),
+cs AS (SELECT topic, a, CASE WHEN sqrt(sum(v * v)) > 0 AND any_value(norm) > 0 THEN sum(v * s) / (sqrt(sum(v * v)) * any_value(norm)) ELSE 0.0 END AS c
+       FROM npmi JOIN cvt USING (topic, b) JOIN tn USING (topic) GROUP BY topic, a),
+cv AS (SELECT topic, avg(c) AS coherence FROM cs GROUP BY topic)"""
+
+
+@register("coherence_cv", _TOPIC_BASE_SQL + ",\ntw AS (SELECT DISTINCT topic, lower(term) AS term FROM top30)," + _cv_sql() + """
+SELECT topic, round(coherence, 6) AS coherence FROM cv""")
 def q_coherence_cv(spark, sf):
     """c_v coherence of the language topics' top-30 words over the
     whitespace tokens of every document (110-token windows)."""
@@ -870,6 +957,50 @@ def q_coherence_cv(spark, sf):
     return coherence.coherence_cv(docs, "doc_id", "tokens", words, 110).withColumn("coherence", rnd("coherence"))
 
 
+_KS = range(2, 21)
+
+# models of every topic count that need no fit: topic t of model k is the documents with doc_id mod k = t,
+# its words are the ten most frequent ones
+_FIXED_SWEEP_SQL = f"""
+WITH {_VOCAB_SQL},
+occ AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents) WHERE term IN (SELECT term FROM vocab) GROUP BY doc_id, term),
+ks AS (SELECT unnest(range({_KS.start}, {_KS.stop})) AS k),
+wt AS (SELECT k, doc_id % k AS t, term, sum(tf) AS n FROM occ CROSS JOIN ks GROUP BY ALL),
+tw AS (SELECT k || '/' || t AS topic, term FROM wt QUALIFY row_number() OVER (PARTITION BY k, t ORDER BY n DESC, term) <= 10),""" + _cv_sql() + """,
+score AS (SELECT split_part(topic, '/', 1)::INTEGER AS k, avg(coherence) AS coherence FROM cv GROUP BY 1)"""
+
+
+def _fixed_sweep(spark, sf):
+    bow = _fixed_bow(spark, sf).where("doc_id is not null")
+    each = bow.withColumn("k", F.explode(F.sequence(F.lit(_KS.start), F.lit(_KS.stop - 1))))
+    weights = each.groupBy("k", F.pmod("doc_id", "k").alias("topic"), "term").agg(F.sum("tf").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("k", "topic").orderBy(F.col("n").desc(), "term"))
+    words = weights.withColumn("rank", nth).where("rank <= 10").select("k", "topic", "term").checkpoint(eager=True)
+    docs = text.add_ws_tokens(tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id"), "text")
+    return coherence.model_coherence(docs, "doc_id", "tokens", words, 110)
+
+
+@register("topic_count_scores", _FIXED_SWEEP_SQL + " SELECT k, round(coherence, 6) AS coherence FROM score")
+def q_topic_count_scores(spark, sf):
+    """M04's scores: the c_v of a model of every topic count 2 to 20, all counted in one pass over the windows."""
+    return _fixed_sweep(spark, sf).withColumn("coherence", rnd("coherence"))
+
+
+@register("best_topic_count", _FIXED_SWEEP_SQL + """
+SELECT k AS best_k, round(coherence, 6) AS coherence FROM score ORDER BY score.coherence DESC, k LIMIT 1""")
+def q_best_topic_count(spark, sf):
+    """The topic count with the highest coherence of these models."""
+    return coherence.best_k(_fixed_sweep(spark, sf)).withColumn("coherence", rnd("coherence"))
+
+
+@register("topic_sweep")
+def q_topic_sweep(spark, sf):
+    """LDA of every topic count 2 to 20, fitted in shared passes, with its c_v (30 words a topic)."""
+    bow = _fixed_bow(spark, sf).select("doc_id", "term", "tf")
+    docs = text.add_ws_tokens(tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id"), "text")
+    return coherence.sweep_topics(bow, docs, "doc_id", "tokens", _KS)
+
+
 @register("lda_topics")
 def q_lda_topics(spark, sf):
     """Fit LDA (k=10) on normalised English-default text and
@@ -890,21 +1021,18 @@ def q_cluster_profile(spark, sf):
     return d.select("cluster", "label", "n", rnd("row_pct").alias("row_pct"), rnd("deviation").alias("deviation"))
 
 
-_TRAIN_SQL = """
+@register("training_part", """
 WITH e AS (SELECT vec_id, label, ('0x' || substr(md5('49:' || vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS is_val FROM embeddings),
-n AS (SELECT label, count(*) FILTER (WHERE NOT is_val) AS fit, count(*) FILTER (WHERE is_val) AS held FROM e GROUP BY label),
-m AS (SELECT max(fit) AS most FROM n)
-"""
-
-
-@register("training_part", _TRAIN_SQL + """
-SELECT label, fit AS n_original, (SELECT most FROM m) - fit AS n_synthetic, held AS n_validation, 0::BIGINT AS n_synthetic_validation FROM n WHERE fit > 0""")
+fit AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n,
+               row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT, vec_id) - 1 AS r
+        FROM e WHERE NOT is_val),
+need AS (SELECT *, (SELECT max(n) FROM fit) - n AS m FROM fit),
+made AS (SELECT vec_id, label, unnest(range(1, m // n + CASE WHEN r < m % n THEN 1 ELSE 0 END + 1)) AS copy FROM need)
+SELECT vec_id, label, 0::BIGINT AS copy, is_val FROM e UNION ALL SELECT vec_id, label, copy, false FROM made""")
 def q_training_part(spark, sf):
-    """The rows a model is fitted on: 20 % held out first, the rest oversampled."""
+    """The rows a model is fitted on, row by row: 20 % held out first, the rest oversampled."""
     part = classify.training_part(_emb(spark, sf), "label", "embedding", "vec_id", seed=42)
-    made = F.col("copy") > 0
-    return part.groupBy("label").agg(F.count_if(~F.col("is_val") & ~made).alias("n_original"), F.count_if(~F.col("is_val") & made).alias("n_synthetic"),
-                                     F.count_if("is_val").alias("n_validation"), F.count_if(F.col("is_val") & made).alias("n_synthetic_validation"))
+    return part.select("vec_id", "label", "copy", "is_val")
 
 
 @register("classifier_eval")

@@ -31,7 +31,7 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
         k: int = 10, min_df: float = 7, max_df: float = 0.8, seed: int = 42, max_iter: int = 10,
         top_words: int = 30, keywords: int = 100, report: bool = True) -> dict:
     """Fit and report; returns a dict of DataFrames (lazy except the model).
-    ``report=False`` skips the topic naming (its k × k collect) and report."""
+    ``report=False`` skips the topic naming and report."""
     spark = docs.sparkSession
     toks = prepare_tokens(docs, key, text_col, label).persist()
     vocab = text.vocabulary(toks, key, "tokens", min_df, max_df)
@@ -53,14 +53,15 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
     fitted_top = topics.top_terms(tt, top_words)
     shown = topics.display_topics(scores_tt, shares, top_words).withColumnRenamed("display", "topic")
     overlap = topics.topic_overlap(shown, fitted_top, b_values=list(range(k)))
-    names = topics.align_topics(overlap, list(range(k)), [f"Topic{i}" for i in range(1, k + 1)])
-    names_df = spark.createDataFrame(names)
+    fitted = spark.range(k).select(F.col("id").cast("int").alias("topic"))
+    names_df = topics.align_topics(overlap, fitted, fitted.select(F.concat(F.lit("Topic"), (F.col("topic") + 1).cast("string")).alias("name")))
+    names = names_df.orderBy("position").collect()   # a row per topic: the columns of the wide table
     return {
         "topic_names": names_df,
         "topic_report": topics.topic_report(fitted_top, names_df.select("topic", "name")),
         "label_topic_wide": topics.pivot_named(label_topic, label, "dominant_topic", "log_odds",
-                                               names=dict(zip(names.topic, names.name)),
-                                               order=list(names.topic)),
+                                               names={r["topic"]: r["name"] for r in names},
+                                               order=[r["topic"] for r in names]),
         "tokens": toks,
         "vocabulary": vocab,
         "model": model,

@@ -77,12 +77,48 @@ def test_lda_distributions_sum_to_one(spark):
     assert tt.count() == 12
 
 
-def test_align_topics_greedy(spark):
-    ov = spark.createDataFrame([("Topic1", 1, 0.5), ("Topic1", 0, 0.5), ("Topic2", 0, 0.05), ("Topic2", 1, 0.9)],
-                               "topic_a string, topic_b int, jaccard double")
-    got = topics.align_topics(ov, [0, 1, 2], ["Topic2", "Topic1"])
-    assert list(got.topic) == [0, 1, 2]          # Topic1 -> 0 (tie, lowest id), Topic2 -> 1
-    assert list(got.name) == ["Topic1", "Topic2", "Topic 3 (Unmapped)"]
+def aligned(spark, pairs, fitted, display, threshold=0.1):
+    ov = spark.createDataFrame(pairs, "topic_a string, topic_b int, jaccard double")
+    got = topics.align_topics(ov, spark.createDataFrame([(t,) for t in fitted], "topic int"), spark.createDataFrame([(n,) for n in display], "name string"), threshold)
+    return [(r.topic, r.name) for r in got.orderBy("position").collect()]
+
+
+def plain_alignment(pairs, fitted, display, threshold=0.1):
+    """Display topic by display topic, each the best that is left."""
+    import re
+    order = sorted(set(display), key=lambda n: (int((re.findall(r"\d+", n) or [0])[0]), n))
+    left, partner = set(fitted), {}
+    for name in order:
+        best = min(((-j, t) for a, t, j in pairs if a == name and j > threshold and t in left), default=None)
+        if best:
+            partner[name] = best[1]
+            left.discard(best[1])
+    single = sorted(left)
+    for name in order:
+        if name not in partner and single:
+            partner[name] = single.pop(0)
+    return [(partner[n], n) for n in order if n in partner] + [(t, f"Topic {t + 1} (Unmapped)") for t in single]
+
+
+def test_align_topics(spark):
+    pairs = [("Topic1", 1, 0.5), ("Topic1", 0, 0.5), ("Topic2", 0, 0.05), ("Topic2", 1, 0.9)]
+    # Topic1 -> 0 (tie, lowest id), Topic2 -> 1
+    assert aligned(spark, pairs, [0, 1, 2], ["Topic2", "Topic1"]) == [(0, "Topic1"), (1, "Topic2"), (2, "Topic 3 (Unmapped)")]
+    # a display topic that is turned down goes on to its next choice and may turn down another there
+    chain = [("T1", 0, 0.9), ("T2", 0, 0.9), ("T2", 1, 0.4), ("T3", 1, 0.8), ("T3", 2, 0.2), ("T10", 2, 0.9), ("T10", 3, 0.2)]
+    assert aligned(spark, chain, range(5), ["T10", "T1", "T2", "T3"]) == [(0, "T1"), (1, "T2"), (2, "T3"), (3, "T10"), (4, "Topic 5 (Unmapped)")]
+    # no pair at all; more names than topics
+    assert aligned(spark, [], [3, 1], ["B2", "A1", "C3"]) == [(1, "A1"), (3, "B2")]
+    assert aligned(spark, [], [], ["A1"]) == []
+
+
+def test_align_topics_against_serial_choice(spark):
+    import random
+    rng = random.Random(4)
+    for n, m in ((12, 9), (7, 13)):
+        display, fitted = [f"Topic{k}" for k in range(n)], list(range(m))
+        pairs = [(a, t, rng.choice([0.05, 0.2, 0.3, 0.5, 0.5])) for a in display for t in fitted if rng.random() < 0.6]
+        assert aligned(spark, pairs, fitted, display) == plain_alignment(pairs, fitted, display)
 
 
 def test_nested_cv_planted_signal(spark, planted):
@@ -114,10 +150,7 @@ def test_topic_sweep_and_best_k(spark):
     rows = [(i, (["apple", "pear", "fruit", "juice"] if i % 2 else ["car", "road", "wheel", "tyre"]) * 2)
             for i in range(30)]
     docs = spark.createDataFrame(rows, "id long, tokens array<string>")
-    vocab = text.vocabulary(docs, "id", "tokens", 2, 1.0)
-    vecs, words = topics.count_vectors(docs, "tokens", vocab)
-    sweep = coherence.sweep_topics(vecs, words, docs, "id", "tokens", ks=[2, 3], topn=4, window=110,
-                                   max_iter=10)
+    sweep = coherence.sweep_topics(text.bag_of_words(docs, "id", "tokens"), docs, "id", "tokens", ks=[2, 3], topn=4, window=110, max_iter=10)
     assert sorted(r.k for r in sweep.collect()) == [2, 3]
     best = coherence.best_k(sweep).first()
     assert best.best_k in (2, 3)
