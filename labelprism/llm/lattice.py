@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelprism.llm.common import add_counts, edges, keyed_bodies, lower_ascii, one_array, place_in, shared_folder, slices, words_of
-from labelprism.llm.hashing import PrefixHashes
+from labelprism.llm.hashing import U, PrefixHashes, mix
 
 __all__ = ["Vocabulary", "sentencepiece_scores", "lm_scores", "training_row"]
 
 START = "▁"
-#: Words whose scores are broadcast, and the longest of them.
-HOT_WORDS, HOT_CHARS = 1 << 18, 64
+#: Words whose scores are broadcast: how many, their bytes together, and the longest of them (others meet in a join that is split where skewed).
+HOT_WORDS, HOT_BYTES, LONGEST_HOT = 1 << 18, 32 << 20, 4 << 20
+#: Characters from which a word is walked by itself.
+LONG = 256
 #: Distinct words a task counts before it sends what it has.
 COUNTED = 1 << 19
 ROUNDS = 2
@@ -112,6 +114,46 @@ class Vocabulary:
                 kept.append((start, end, rows, ids, logp))
         return total.T
 
+    def long_edges(self, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``start, end, id, logp`` of one word, by end: all places at once for each length of a piece."""
+        n = len(word)
+        prefix = PrefixHashes(word[None, :])
+        sums, down = prefix.sums[:, 0], prefix.down
+        out = []
+        for size in range(1, min(self.longest, n) + 1):
+            start = np.arange(n - size + 1)
+            h = mix((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1] + U(size))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            if size == 1:
+                width = 1 + (word >= 0x80) + (word >= 0x800) + (word >= 0x10000)
+                ids = np.where(known, self.order[at], -1 - width)
+                out.append((start, start + 1, ids, np.where(known, self.logp[ids], width * self.byte_logp)))
+            else:
+                start, ids = start[known], self.order[at[known]]
+                out.append((start, start + size, ids, self.logp[ids]))
+        start, end, ids, logp = (np.concatenate(c) for c in zip(*out))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], ids[order], logp[order]
+
+    def long_forward(self, word: np.ndarray) -> float:
+        """Log probability of one long word: the recursion over its places, in plain numbers."""
+        start, end, _, logp = self.long_edges(word)
+        return walked(start.tolist(), end.tolist(), logp.tolist(), len(word))[-1]
+
+    def long_expected(self, word: np.ndarray, weight: float, counts: np.ndarray) -> None:
+        """Add the expected counts of the pieces of one long word, bytes last."""
+        n = len(word)
+        start, end, ids, logp = self.long_edges(word)
+        up = np.array(walked(start.tolist(), end.tolist(), logp.tolist(), n))
+        # the same walk from the other side
+        order = np.argsort(-start, kind="stable")
+        down = np.array(walked((n - end[order]).tolist(), (n - start[order]).tolist(), logp[order].tolist(), n))[::-1]
+        share = weight * np.exp(up[start] + logp + down[end] - up[-1])
+        piece = ids >= 0
+        np.add.at(counts, ids[piece], share[piece])
+        counts[-1] += (share * (-1 - ids))[~piece].sum()
+
     def expected(self, words: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
         """Add the expected counts of the pieces, bytes last, over words of one length."""
         kept: list = []
@@ -128,6 +170,27 @@ class Vocabulary:
                 counts[-1] += (share * (-1 - ids))[~piece].sum()
 
 
+def walked(start: list, end: list, logp: list, n: int) -> list:
+    """Log sums over all ways from 0 to each place along edges sorted by end; every place has an edge to the next."""
+    total = [0.0] + [-math.inf] * n
+    k, edges_ = 0, len(start)
+    exp, log = math.exp, math.log
+    while k < edges_:
+        e = end[k]
+        best = total[start[k]] + logp[k]
+        k += 1
+        if k == edges_ or end[k] != e:
+            total[e] = best
+            continue
+        ways = [best]
+        while k < edges_ and end[k] == e:
+            ways.append(total[start[k]] + logp[k])
+            k += 1
+        best = max(ways)
+        total[e] = best + log(sum([exp(x - best) for x in ways]))
+    return total
+
+
 def points(word: str) -> np.ndarray:
     return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
@@ -162,7 +225,10 @@ def word_counts(source: DataFrame) -> DataFrame:
         if seen is not None:
             yield from seen.to_batches()
 
-    return source.select("body", "train").mapInArrow(count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    # as many parts as the session deals, so that the words' work is spread whatever their bytes
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = source.select("body", "train").mapInArrow(count, "word string, c long, n long").repartition(parts, "word")
+    return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def fitted(vocabulary: Vocabulary, words: DataFrame, ends: int, rounds: int) -> tuple[Vocabulary, float]:
@@ -178,7 +244,11 @@ def fitted(vocabulary: Vocabulary, words: DataFrame, ends: int, rounds: int) ->
             for b in batches:
                 c = np.asarray(b.column("c")).astype(float)
                 for places, text in by_length(b.column("word").to_pylist()):
-                    shared.value.expected(text, c[places], counts)
+                    if text.shape[1] < LONG:
+                        shared.value.expected(text, c[places], counts)
+                    else:
+                        for place, word in zip(places, text):
+                            shared.value.long_expected(word, c[place], counts)
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array(at), pa.array(counts[at])], ["piece", "x"])
 
@@ -221,13 +291,16 @@ def lm_scores(docs: DataFrame, pieces: list[str], logp: np.ndarray, rounds: int
         for b in batches:
             out = np.zeros(b.num_rows)
             for places, text in by_length(b.column("word").to_pylist()):
-                out[places] = model.value.forward(text)[:, -1]
+                out[places] = model.value.forward(text)[:, -1] if text.shape[1] < LONG else [model.value.long_forward(word) for word in text]
             yield pa.record_batch([*b.columns, pa.array(out)], [*b.schema.names, "lp"])
 
     counts.mapInArrow(score_words, "word string, c long, n long, lp double").write.parquet(f"{folder}/scores")
     words = spark.read.schema("word string, c long, n long, lp double").parquet(f"{folder}/scores")
 
-    frequent = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "c", "lp").toArrow()
+    by_use = words.where(F.octet_length("word") <= LONGEST_HOT).orderBy(F.desc("n"), "word")
+    sizes = by_use.limit(hot_words).select(F.octet_length("word").alias("size")).toArrow()["size"]  # a number per hot word
+    fitting = int((np.cumsum(np.asarray(sizes), dtype=np.int64) <= HOT_BYTES).sum())
+    frequent = by_use.limit(fitting).select("word", "c", "lp").toArrow()
     hot = sc.broadcast((one_array(frequent["word"]), np.asarray(frequent["c"]), np.asarray(frequent["lp"])))
 
     def of_slice(b):

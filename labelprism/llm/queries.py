@@ -102,7 +102,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))
     held_out = ~F.coalesce(toxicity.training_row(), F.lit(False))
-    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic",
+                        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("offsets"))
 
 
 def _crc(batches):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelprism.llm.common import bodies
+from labelprism.llm.common import bodies, slices
 
 __all__ = ["LongestMatch", "token_counts"]
 
@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, vocabulary: list[str], byte_pieces: bool = Tru
             _AUTOMATA.clear()
             _AUTOMATA[key] = LongestMatch(*shared.value), {}
         match, known = _AUTOMATA[key]
-        for b in batches:
+        for b in slices(batches):
             n_words, n_pieces = [], []
             for body in b.column("body").to_pylist():
                 words = body.split()

@@ -8,8 +8,9 @@ sequences of ``length`` ids.  One row of a file is one sequence::
     mask  fixed_size_list<bool>[length]               true where ids are real
     docs  list<struct<doc_id, at, n>>                 documents that start here
 
-The two fixed-size lists lie uncompressed in the file, so a memory map gives any
-sequence or mask without copying.  Files are written under a name of their own
+The two fixed-size lists lie uncompressed in the file, in record batches of
+``BATCH_ROWS`` sequences: a memory map gives any sequence or mask without copying,
+and over a remote store one sequence costs one batch.  Files are written under a name of their own
 for each attempt and count only if the task that wrote them reports them, so a
 task that is run again leaves no half file in the result.
 """
@@ -21,21 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelprism.llm.bpe import bpe_words, encode_words
-from labelprism.llm.common import bodies, edges, load_tokenizer, place_in, read_text, slices
+from labelprism.llm.common import bodies, edges, load_tokenizer, one_array, place_in, read_text, slices
 
-__all__ = ["write_token_files", "read_token_files"]
+__all__ = ["write_token_files", "read_token_files", "read_sequence"]
 
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 1 << 20
 FILES = "path string, part int, file int, n_docs long, n_tokens long"
-#: Documents read at once.
-READ = 1024
+#: Documents read at once; sequences of a record batch.
+READ, BATCH_ROWS = 1024, 256
+#: Characters of a text that the dealing of rows with one id looks at.
+BEGINNING = 64
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
@@ -98,7 +102,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     that pyarrow's file systems reach will do.  ``start`` is the number of ids
     in all earlier files.  A null or empty text is its end id alone.  Rows with
     the same ``doc_id`` stay apart, in the order of their text; null ids come
-    first.  An empty table gives no file.  Other columns are ignored.
+    first.  Very many rows of one id are dealt over tasks by the beginnings of
+    their texts.  An empty table gives no file.  Other columns are ignored.  The driver sees a row per
+    file, one for ``file_tokens`` ids, and numbers the files.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -114,7 +120,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         fs, at = pa.fs.FileSystem.from_uri(folder)
         path = f"{at}/part-{part:06d}-{file:06d}-{uuid.uuid4().hex}.arrow"
         with fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, batch.schema) as out:
-            out.write_batch(batch)
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                out.write_batch(batch.slice(k, BATCH_ROWS))
         return pa.record_batch([[path.rsplit("/", 1)[-1]], pa.array([part], pa.int32()), pa.array([file], pa.int32()),
                                 pa.array([len(n)], pa.int64()), pa.array([len(stream)], pa.int64())], [x.split()[0] for x in FILES.split(", ")])
 
@@ -135,37 +142,50 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     # runs once: the rows that the successful tasks send back, one per file, are the list of files
     source = bodies(docs).withColumn("body", F.col("body").cast("string"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+    ordered = source.repartitionByRange("doc_id", F.substring("body", 1, BEGINNING)).sortWithinPartitions("doc_id", "body")
     files = spark.createDataFrame(ordered.mapInArrow(write, FILES).toArrow().to_pandas(), FILES)
     order = Window.orderBy("part", "file")
     return files.withColumn("start", F.sum("n_tokens").over(order) - F.col("n_tokens"))
 
 
+def opened(fs: pa.fs.FileSystem, path: str):
+    """A file to read from: mapped where the store is a local one."""
+    return pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
+
+
+def read_sequence(folder: str, path: str, k: int) -> tuple[pa.Array, pa.Array]:
+    """Ids and mask of the file's sequence ``k``, as views of its record batch."""
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    batch = pa.ipc.open_file(opened(fs, f"{root}/{path}")).get_batch(k // BATCH_ROWS)
+    return tuple(batch.column(c).slice(k % BATCH_ROWS, 1).flatten() for c in ("ids", "mask"))
+
+
 def read_token_files(folder: str, files: DataFrame) -> DataFrame:
     """``doc_id, start, ids array<int>`` of every document, from the files alone.
 
-    A task takes some of the files and maps them one by one; ``start`` counts
-    all ids of earlier documents.  No files give no rows.
+    A task takes some of the files, maps them one by one (on a local store; reads
+    them elsewhere) and goes through their record batches; ``start`` counts all
+    ids of earlier documents.  No files give no rows.
     """
 
     def documents(batches):
         fs, root = pa.fs.FileSystem.from_uri(folder)
         for b in batches:
             for path, before in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
-                with fs.open_input_file(f"{root}/{path}") as source:
-                    table = pa.ipc.open_file(source).get_batch(0)
-                length = table.schema.field("ids").type.list_size
-                starts = table.column("docs")
-                row = np.repeat(np.arange(len(starts)), np.diff(np.asarray(starts.offsets)))
-                docs = starts.flatten()
-                start = row * length + np.asarray(docs.field("at"))
-                n = np.asarray(docs.field("n"))
-                flat = table.column("ids").flatten()
-                for k in range(0, len(n), READ):
-                    lo, hi = int(start[k]), int((start + n)[min(k + READ, len(n)) - 1])
-                    ends = np.concatenate((start[k: k + READ], [hi])) - lo
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.slice(lo, hi - lo).cast(pa.int32()))
-                    yield pa.record_batch([docs.field("doc_id").slice(k, READ), pa.array(before + start[k: k + READ]), ids], ["doc_id", "start", "ids"])
+                with opened(fs, f"{root}/{path}") as source:
+                    table = pa.ipc.open_file(source).read_all()
+                    length = table.schema.field("ids").type.list_size
+                    flat = pa.chunked_array([c.flatten() for c in table["ids"].chunks], table.schema.field("ids").type.value_type)
+                    lists = one_array(table["docs"])
+                    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+                    docs = lists.flatten()
+                    start = row * length + np.asarray(docs.field("at"))
+                    n = np.asarray(docs.field("n"))
+                    for k in range(0, len(n), READ):
+                        lo, hi = int(start[k]), int((start + n)[min(k + READ, len(n)) - 1])
+                        ends = np.concatenate((start[k: k + READ], [hi])) - lo
+                        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one_array(flat.slice(lo, hi - lo).cast(pa.int32())))
+                        yield pa.record_batch([docs.field("doc_id").slice(k, READ), pa.array(before + start[k: k + READ]), ids], ["doc_id", "start", "ids"])
 
     spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return spread.select("path", "start").mapInArrow(documents, "doc_id long, start long, ids array<int>")

@@ -8,6 +8,8 @@ import pyarrow.parquet  # noqa: F401
 import pytest
 from odd import TEXTS, empty, odd, rows
 
+from pyspark.sql import functions as F
+
 from labelprism.llm import bpe, queries, token_counts, token_files
 from labelprism.llm.common import public_path, shared_folder
 from tests.conftest import SF_ORACLE, SF_SMALL
@@ -99,6 +101,38 @@ def test_token_file_gives_sequences_without_copying(spark, tmp_path):
     assert batch.column("docs").to_pylist()[1] == [{"doc_id": 2, "at": 1, "n": 6}]
 
 
+def test_sequences_of_written_files_one_by_one(spark, library, monkeypatch):
+    folder = shared_folder(spark, "test-tokens")
+    docs = spark.createDataFrame([(k, "one two three four five six seven") for k in range(3000)], "doc_id long, text string")
+    files = token_files.write_token_files(docs.coalesce(1), folder, PATH, length=16).collect()
+    whole = np.concatenate([np.append(library.encode("one two three four five six seven", add_special_tokens=False).ids, 2)] * 3000)
+    rows_ = -(-len(whole) // 16)
+    assert sum(f.n_tokens for f in files) == len(whole) and rows_ > 3 * token_files.BATCH_ROWS
+    first = files[0]
+    for k in (0, 255, 256, 700):
+        ids, mask = token_files.read_sequence(folder, first.path, k)
+        assert ids.to_numpy(zero_copy_only=True).tolist() == whole[first.start + 16 * k: first.start + 16 * k + 16].tolist() and all(mask.to_pylist())
+
+
+def test_rows_without_id_are_dealt_over_tasks(spark, library):
+    """A third of the rows have no id: their ids still make one stream, written by several tasks."""
+    texts = [(None if k % 3 == 0 else k, f"text number {k} " * (1 + k % 5)) for k in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    folder = shared_folder(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins parts as small as these
+    try:
+        files = token_files.write_token_files(docs, folder, PATH, length=16, file_tokens=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = rows(token_files.read_token_files(folder, files), "doc_id", "start", "ids")
+    none = sorted((r[1], r[2]) for r in got if r[0] is None)
+    assert len(none) == 300 and [s for s, _ in none] == [0, *np.cumsum([len(i) for _, i in none])[:-1].tolist()]
+    assert sorted(i for _, i in none) == sorted([*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts if i is None)
+    starts = sorted(r[1] for r in got)
+    parts = {r.part for r in files.where(F.col("start") < none[-1][0]).collect()}
+    assert len(parts) > 1 and starts == sorted(set(starts))
+
+
 def test_token_files_empty_table(spark):
     folder = shared_folder(spark, "test-tokens")
     files = token_files.write_token_files(empty(spark), folder, PATH)

@@ -1,6 +1,7 @@
 """Marginals against enumeration, scores on documents that were held out."""
 
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -82,3 +83,38 @@ def test_op9_on_whole_table(spark):
     assert sorted(got) == sorted(d.doc_id for d in docs)
     for i, r in got.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+
+
+def plain_score(text, model):
+    """Score and spans of one text: forward and backward sums place by place, in plain numbers."""
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    u, change = [(0.0, model.word(w)) for w, _, _ in words], np.asarray(model.change, float)
+    n = len(words)
+    up, down = np.zeros((n, 2)), np.zeros((n, 2))
+    for k in range(n):
+        for y in (0, 1):
+            up[k, y] = u[k][y] + (np.logaddexp(up[k - 1, 0] + change[0, y], up[k - 1, 1] + change[1, y]) if k else 0)
+    for k in range(n - 2, -1, -1):
+        for y in (0, 1):
+            down[k, y] = np.logaddexp(change[y, 0] + u[k + 1][0] + down[k + 1, 0], change[y, 1] + u[k + 1][1] + down[k + 1, 1])
+    p = np.array([1 / (1 + np.exp(up[k, 0] + down[k, 0] - up[k, 1] - down[k, 1])) for k in range(n)])
+    x = toxicity.of_document(p, np.array([n]))[0]
+    spans, last = [], -2
+    for k in np.flatnonzero(p >= 0.5).tolist():
+        if last == k - 1:
+            spans[-1][1] = words[k][2]
+        else:
+            spans.append([words[k][1], words[k][2]])
+        last = k
+    return 1 / (1 + np.exp(-(model.document[0] + x @ model.document[1:]))), int((p >= 0.5).sum()), ",".join(f"{a}:{b}" for a, b in spans)
+
+
+def test_whole_query_against_plain_version(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF_SMALL}/labels.parquet"))
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    got = queries.op9_toxicity(spark, SF_SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        score, n, offsets = plain_score(texts[r.doc_id], model)
+        assert r.score == pytest.approx(score, abs=1e-6) and (r.n_toxic, r.offsets) == (n, offsets)
