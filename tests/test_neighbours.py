@@ -1,0 +1,80 @@
+"""Approximate neighbours: recall against the exact search, crowds, equal vectors, partitions, odd rows."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from labelprism.operators import classify, neighbours, vectors
+from tests.conftest import SF_ORACLE
+
+
+def recall(found, exact, key="id"):
+    return neighbours.knn_recall(found, exact, key).head()
+
+
+def frame(spark, x, labels=None):
+    rows = [(k, [float(v) for v in r], None if labels is None else labels[k]) for k, r in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, v array<double>, label string")
+
+
+def test_recall_on_embeddings(spark):
+    e = spark.read.parquet(f"{SF_ORACLE}/embeddings.parquet")
+    found = neighbours.knn_approximate(e, "vec_id", "embedding", k=5).checkpoint()
+    r = recall(found, vectors.knn(e, "vec_id", "embedding", k=5), "vec_id")
+    assert (r.n_rows, r.n_links) == (500, 2500) and r.recall >= 0.9
+    assert found.groupBy("vec_id").count().where("count <> 5").isEmpty()
+
+
+def test_recall_in_a_crowd_and_among_equal_vectors(spark):
+    """Most rows in one dense cluster, a third of them equal; groups far smaller than the cluster."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate((np.zeros((700, 8)) + 1, rng.normal(1, 0.01, (1000, 8)), rng.normal(0, 3, (300, 8))))
+    df = frame(spark, x)
+    found = neighbours.knn_approximate(df, "id", "v", k=5, group_rows=300, leaf=64).checkpoint()
+    exact = vectors.knn(df.withColumn("q", F.col("id") % 10 == 0), "id", "v", k=5, query_flag="q")
+    assert recall(found, exact).recall >= 0.9
+    assert found.where("nbr = id").isEmpty() and found.count() == 5 * 2000
+    d = {(r.id, r.nbr): r.dist for r in found.limit(200).collect()}
+    assert all(abs(((x[a] - x[b]) ** 2).sum() - v) < 1e-9 for (a, b), v in d.items())
+
+
+def test_groups_are_bounded_whatever_the_data(spark):
+    x = np.concatenate((np.ones((3000, 4)), np.random.default_rng(1).normal(0, 1, (1000, 4))))
+    base = frame(spark, x).select(F.lit(0).alias("part"), F.col("id").alias("key"), "v")
+    groups = neighbours.forest_groups(base, trees=2, seed=1, group_rows=200)
+    sizes = [r["count"] for r in groups.groupBy("tree", "group").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 200
+    assert groups.select("tree", "key").distinct().count() == 8000
+
+
+def test_crowded_neighbour_is_met_in_several_places(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CROWD", 10)
+    df = frame(spark, np.random.default_rng(2).normal(0, 1, (400, 3)))
+    found = neighbours.knn_approximate(df, "id", "v", k=4, trees=2, leaf=20, rounds=2)
+    assert recall(found, vectors.knn(df, "id", "v", k=4)).recall >= 0.95
+
+
+def test_partitions_and_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i}", [float(v) for v in rng.normal(0, 1, 3)], ["a", "b", None][i % 3]) for i in range(90)]
+    rows += [(None, [0.0, 0.0, 0.0], "a"), ("nv", None, "a"), ("alone", [1.0, 1.0, 1.0], "solo")]
+    df = spark.createDataFrame(rows, "id string, v array<double>, label string")
+    found = neighbours.knn_approximate(df, "id", "v", k=3, partition="label").collect()
+    label = {r[0]: r[2] for r in rows}
+    assert all(label[r.nbr] == label[r.id] == r.label for r in found) and len(found) == 270
+    x = {r[0]: np.array(r[1]) for r in rows if r[1]}
+    for r in found:  # small partitions are exact
+        d = sorted((((x[r.id] - x[o]) ** 2).sum(), o) for o in x if o is not None and o != r.id and label[o] == label[r.id])
+        assert d[r["rank"] - 1][1] == r.nbr
+    empty = df.limit(0)
+    assert neighbours.knn_approximate(empty, "id", "v").collect() == []
+
+
+@pytest.mark.parametrize("within", [None, "fold"])
+def test_smote_with_approximate_neighbours(spark, within):
+    """In small classes the forest is exact: the same rows as with the exact search."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 3)], "big" if i % 4 else "small", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string, fold int")
+    a, b = (sorted(map(str, classify.smote(df, "label", "v", "id", k=3, within=within, approximate=x).collect())) for x in (False, True))
+    assert a == b and len(a) > 80
