@@ -25,7 +25,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -33,8 +33,10 @@ from labelprism.llm.common import Words, add_counts, edges, keyed_bodies, load_t
 
 __all__ = ["bpe_encode", "bpe_decode"]
 
-#: Words of the broadcast part, its longest word, and what a task may send as candidates for it.
-HOT_WORDS, HOT_CHARS, LOCAL_TOP = 1 << 19, 64, 1 << 17
+#: Words of the broadcast part and their bytes together, and what a task may send as candidates for it (with as many bytes).
+HOT_WORDS, HOT_BYTES, LOCAL_TOP = 1 << 19, 32 << 20, 1 << 17
+#: Bytes from which a word that is not hot is dealt over ``SALTS`` tasks, each of which encodes it once.
+LONG_WORD, SALTS = 1 << 12, 16
 #: Distinct words that a task counts before it forgets the rarer half.
 COUNTED = 1 << 18
 #: Rows decoded at once.
@@ -109,8 +111,14 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = top(counts, COUNTED // 2)
     if counts is not None:
         counts = top(counts, LOCAL_TOP)
-        length = pc.utf8_length(counts["word"])
-        yield from counts.filter(pc.and_(pc.and_(pc.greater(length, 0), pc.less_equal(length, HOT_CHARS)), pc.greater(counts["n"], 1))).to_batches()
+        size = pc.binary_length(counts["word"])
+        counts = counts.filter(pc.and_(pc.greater(counts["n"], 1), pc.and_(pc.greater(size, 0), pc.less_equal(size, HOT_BYTES // 16)))).sort_by([("n", "descending")])
+        yield from counts.slice(0, within(counts["word"])).to_batches()
+
+
+def within(words: pa.ChunkedArray) -> int:
+    """How many of the first words have ``HOT_BYTES`` together."""
+    return int((np.cumsum(np.asarray(pc.binary_length(words)), dtype=np.int64) <= HOT_BYTES).sum())
 
 
 def top(counts: pa.Table, most: int) -> pa.Table:
@@ -175,6 +183,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
 
     frequent = (source.select("body").mapInArrow(_frequent, "word string, n long")
                 .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_words))
+    # as many of the most frequent as have HOT_BYTES together; a window over ``hot_words`` rows at most
+    so_far = Window.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frequent = frequent.withColumn("size", F.sum(F.octet_length("word")).over(so_far)).where(F.col("size") <= HOT_BYTES)
     table = frequent.select("word").mapInArrow(encode_rows, "word string, ids array<int>").toArrow().combine_chunks()
     hot = sc.broadcast(one_array(table["word"]))
     hot_ids = sc.broadcast(one_array(table["ids"]))
@@ -218,7 +229,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
 
     coded_docs = source.mapInArrow(coded, "doc_id long, id long, tag string, codes binary")
     rare = (source.mapInArrow(gaps, "id long, tag string, place long, word string")
-            .repartition("word").sortWithinPartitions("word")
+            .repartition("word", F.when(F.octet_length("word") >= LONG_WORD, F.pmod(F.xxhash64("id", "tag"), F.lit(SALTS))).otherwise(0)).sortWithinPartitions("word")
             .mapInArrow(encode_once, "id long, tag string, place long, ids binary"))
     # dealt out row by row: a task holds few words of a document, so gathering them there first would only add
     rest = (rare.repartition("id", "tag")

@@ -18,7 +18,9 @@ So fingerprints at most three bits apart meet in a bucket, with key space 2**33
 and 2**36.  Equal fingerprints are one class from the start: buckets hold
 distinct fingerprints only, 8 bytes each.  A bucket is searched breadth first:
 each fingerprint is compared with those not reached yet, and only the links of a
-spanning forest go on, so a large bucket gives no more links than members.
+spanning forest go on, so a large bucket gives no more links than members.  A
+bucket of more than ``SPLIT`` members is cut into blocks by a hash, and every pair
+of blocks is searched in a task of its own.
 Components join buckets by alternating large-star and small-star rounds.
 """
 
@@ -41,6 +43,8 @@ GENERATOR = 0b110001110101
 SEED = 42
 #: Shingles hashed at once, which bounds memory in long texts.
 PART = 1 << 16
+#: Members of a bucket that one task searches; a larger one goes block by block.
+SPLIT = 1 << 12
 
 
 def fingerprint(body: bytes, shingle: int) -> int:
@@ -165,7 +169,7 @@ def forest(members: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def golay_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+def golay_links(distinct: DataFrame, max_bits: int = 3, split: int = SPLIT) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``fp`` that hold together all within ``max_bits`` (3 at most)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find up to 3 differing bits")
@@ -179,17 +183,51 @@ def golay_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
                 yield pa.record_batch([pa.array(keys), pa.array(part[places])], ["bucket", "fp"])
 
     def search(batches):
+        """Links of small buckets; members of large ones go on (``a`` the bucket, ``b`` the member, ``large``)."""
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        large = None  # a bucket some of whose members have gone on
         for b in batches:
             keys = np.concatenate((held[0], np.asarray(b.column("bucket"))))
             fps = np.concatenate((held[1], np.asarray(b.column("fp"))))
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            held = keys[last:], fps[last:]
-            yield links_of(keys[:last], fps[:last])
+            on = np.zeros(len(keys), bool)
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            size = np.diff(np.append(starts, len(keys)))
+            on[np.repeat((size > split) | (keys[starts] == large), size)] = True
+            yield members(keys[on], fps[on])
+            large = keys[-1] if on[-1] else None
+            rest = ~on
+            rest[last:] = False
+            yield links_of(keys[rest], fps[rest])
+            held = (keys[last:], fps[last:]) if not on[-1] else (keys[:0], fps[:0])
         yield links_of(*held)
 
+    def members(keys, fps):
+        return pa.record_batch([pa.array(keys), pa.array(fps), pa.array(np.ones(len(keys), bool))], ["a", "b", "large"])
+
+    def search_blocks(batches):
+        """Links within a pair of blocks of a large bucket."""
+        held, name = [], None
+        for b in batches:
+            names = list(zip(*(b.column(c).to_pylist() for c in ("bucket", "low", "high"))))
+            fps = np.asarray(b.column("fp"))
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e > s:
+                    if names[s] != name and held:
+                        yield forest_links(np.concatenate(held))
+                        held = []
+                    name = names[s]
+                    held.append(fps[s:e])
+        if held:
+            yield forest_links(np.concatenate(held))
+
+    def forest_links(fps):
+        got = np.array(forest(fps, max_bits), np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(np.minimum(got[:, 0], got[:, 1])), pa.array(np.maximum(got[:, 0], got[:, 1]))], ["a", "b"])
+
     def links_of(keys, fps):
         starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
         size = np.diff(starts)
@@ -203,10 +241,23 @@ def golay_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
                 b.append(more[:, 1])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0).reshape(-1, 2)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return (distinct.mapInArrow(spread, "bucket long, fp long").repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(search, "a long, b long").distinct())
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "large"])
+
+    # fingerprints are small rows that give some sixty keys each: spread over tasks first
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(distinct.repartition(parts, "fp").mapInArrow(spread, "bucket long, fp long").repartition("bucket").sortWithinPartitions("bucket")
+                .mapInArrow(search, "a long, b long, large boolean").distinct())
+    links = found.where(~F.col("large")).select("a", "b")
+    crowded = found.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
+    if crowded.isEmpty():
+        return links
+    # a large bucket in blocks: each pair of blocks is a group of its own, of two blocks' members at most
+    blocks = crowded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    paired = crowded.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    paired = paired.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+    more = paired.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(search_blocks, "a long, b long")
+    return links.unionByName(more).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

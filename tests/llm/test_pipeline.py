@@ -68,3 +68,13 @@ def test_odd_and_empty_documents(spark, tmp_path):
             docs = spark.read.parquet(path)
         left = [r.doc_id for r in docs.collect()]
         assert len(left) == len(set(left)) and (not left or 50 in left)
+
+
+def test_columns_that_cannot_be_sorted_by(spark):
+    """Maps and arrays of them beside the text: one row of each document stays."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "one two three four", {"a": 1}), (1, "one two three four", {"b": 2}), (2, "other words are here", None)], "doc_id long, text string, extra map<string,int>")
+    docs = docs.withColumn("more", F.array("extra"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 2]

@@ -86,6 +86,44 @@ def test_components_of_near_fingerprints(spark, seed):
     assert {v: got.get(v, v) for v in values} == {v: min(g) for g in groups.values() for v in g}
 
 
+def test_one_bucket_of_many_unlinked_fingerprints(spark):
+    """20,000 fingerprints of one bucket, four bits and more apart but for a few: block pairs, even tasks, every link found."""
+    rng = np.random.default_rng(6)
+    # the first segment and the second's key are equal: words of the code in the third segment lie seven bits apart
+    index = rng.choice(1 << 12, 2500, replace=False)
+    code = np.zeros(len(index), np.int64)
+    for k in range(12):
+        code ^= np.where(index >> k & 1, simhash.GENERATOR << k, 0)
+    low = np.int64(0b1011)
+    third = np.unique(code & (1 << 21) - 1)
+    second = np.array([0, 0b1111, 0b11110000, 0b111100000000, 0b1111000011110000, 0b11111111, 0b111111110000, 0b1111000000001111], np.int64) << 22
+    fps = np.unique((third[:, None] << 43 | second[None, :] | low).ravel())
+    near = fps[:50] ^ 1 << 60
+    members = np.unique(np.concatenate((fps, near)))
+    assert len(members) > 15_000
+    links = simhash.golay_links(spark.createDataFrame([(int(v),) for v in members], "fp long"), split=1000)
+    got = {v: r for v, r in rows(simhash.components(links), "node", "root")}
+    u = members.view(np.uint64)
+    for v in near.tolist():
+        linked = members[np.bitwise_count(u ^ np.array([v]).view(np.uint64)) <= 3]
+        assert len({got.get(int(x), int(x)) for x in linked}) == 1 and len(linked) > 1
+
+
+@pytest.mark.parametrize("split", [2, 5])
+def test_buckets_in_blocks_give_the_same_components(spark, split):
+    rng = np.random.default_rng(7)
+    centre = 0x123456789ABCDEF
+    values = {centre}
+    for _ in range(150):
+        at = rng.choice(list(values))
+        for bit in rng.choice(62, rng.integers(1, 6), replace=False):
+            at = int(at) ^ 1 << int(bit)
+        values.add(int(at))
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    a, b = (sorted(rows(simhash.components(simhash.golay_links(df, split=s)), "node", "root")) for s in (simhash.SPLIT, split))
+    assert a == b and len(a) > 50
+
+
 def test_odd_documents_and_empty_table(spark):
     got = queries_like(simhash.simhash_components(odd(spark)))
     assert got == brute(TEXTS)

@@ -133,6 +133,19 @@ def test_rows_without_id_are_dealt_over_tasks(spark, library):
     assert len(parts) > 1 and starts == sorted(set(starts))
 
 
+def test_common_long_words_are_hot_and_bytes_are_bounded(spark, library, monkeypatch):
+    """A word of 80 letters in a third of the documents is encoded once; with few bytes for hot words the result is the same."""
+    rule = "=" * 80
+    texts = [(k, f"{rule if k % 3 == 0 else ''} {'x' * 5000 if k % 4 == 0 else ''} word{k % 11}") for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    counted = bpe._frequent(iter([pa.record_batch([pa.array([t for _, t in texts])], ["body"])]))
+    assert rule in [w for b in counted for w in b.column("word").to_pylist()]
+    want = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in texts)
+    assert sorted((r.doc_id, list(r.ids)) for r in bpe.bpe_encode(docs, PATH).collect()) == want
+    monkeypatch.setattr(bpe, "HOT_BYTES", 60)
+    assert sorted((r.doc_id, list(r.ids)) for r in bpe.bpe_encode(docs, PATH).collect()) == want
+
+
 def test_token_files_empty_table(spark):
     folder = shared_folder(spark, "test-tokens")
     files = token_files.write_token_files(empty(spark), folder, PATH)
