@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from labelprism.llm import bpe, decontaminate, quality, simhash, substring
 from labelprism.llm.common import keys, only, public_path, read, shared_folder
@@ -21,6 +22,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return only(docs, quality.quality_rules(docs).where("kept"))
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether Spark sorts by columns of this type; maps and variants are sorted by their JSON instead."""
+    if isinstance(kind, ArrayType):
+        return orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near fingerprints: the one with the smallest id.
 
@@ -28,7 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     first = simhash.one_of_each(simhash.simhash_components(docs, shingle=3, max_bits=3))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(f"row.`{f.name}`") if orderable(f.dataType) else F.to_json(F.struct(F.col(f"row.`{f.name}`").alias("x")))
+              for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     nth = F.row_number().over(Window.partitionBy("id", "tag").orderBy("tag", *others))
     named = docs.select(row, *(c.alias(k) for k, c in keys().items())).join(first, ["id", "tag"], "left_semi")
     return named.withColumn("nth", nth).where("nth = 1").select("row.*")
