@@ -1,23 +1,29 @@
-"""Dimension reduction and clustering of vector columns (spark.ml).
+"""Dimension reduction and clustering of vector columns.
 
-The reference reduces with a manifold method before k-means; here the
-reduction is PCA, a linear projection, which keeps the pipeline distributed
-(the d × d covariance is the only driver-side object).  That is weaker at
-separating curved structure; the explained variance is reported so users can
-judge it.
+:func:`reduce` is PCA (spark.ml), a linear projection, with the d × d covariance as
+the only driver-side object.  :func:`eigenmaps` is the non-linear one: the lowest
+eigenvectors of the neighbour graph's Laplacian, by orthogonal iteration on a table
+of rows.  :func:`kmeans_restarts` runs all restarts of k-means in the same scans.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelprism.operators.vectors import to_vector
+from labelprism.functions.columns import as_double_array, hash_hex, hash_uniform
+from labelprism.operators.neighbours import knn_approximate
+from labelprism.operators.vectors import batch_matrix, to_vector
+from labelprism.session import ensure_checkpoint_dir
 
-__all__ = ["fit_reducer", "reduce", "fit_kmeans", "cluster"]
+__all__ = ["fit_reducer", "reduce", "eigenmaps", "graph_edges", "fit_kmeans", "cluster", "kmeans_restarts", "Restarts"]
 
 
 def fit_reducer(df: DataFrame, vec: str, k: int) -> PCAModel:
@@ -62,3 +68,253 @@ def cluster(df: DataFrame, vec: str, model: KMeansModel, out: str = "cluster") -
     """Assign each row to the fitted model's nearest centre (narrow map)."""
     data = to_vector(df, vec, "_features", check=False)
     return model.transform(data).withColumn(out, F.col("_cluster").cast("int")).drop("_features", "_cluster")
+
+
+# ------------------------------------------------------------------ k-means, all restarts together
+class Restarts(NamedTuple):
+    """Centres ``[restart, centre, dimension]``, the cost and the steps of each restart, scans of the data, and the best restart."""
+
+    centres: np.ndarray
+    costs: np.ndarray
+    steps: np.ndarray
+    scans: int
+
+    @property
+    def best(self) -> int:
+        return int(self.costs.argmin())
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centre of each row and its squared distance."""
+    d = np.maximum((x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1)[None], 0)
+    at = d.argmin(axis=1)
+    diff = x - centres[at]
+    return at, (diff ** 2).sum(axis=1)
+
+
+def scan(data: DataFrame, width: int, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """One pass for all restarts: per restart the sums and counts of its centres' rows, and its cost."""
+    model = data.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        total = {r: np.zeros((len(c), width + 2)) for r, c in model.value.items()}
+        for b in batches:
+            x, _ = batch_matrix(b.column("_v"), width)
+            for r, c in model.value.items():
+                at, d = nearest(x, c)
+                np.add.at(total[r], at, np.column_stack((x, np.ones(len(x)), d)))
+        for r, t in total.items():
+            i, j = np.nonzero(t)
+            yield pa.record_batch([pa.array(np.full(len(i), r), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(t[i, j])], ["restart", "centre", "pos", "s"])
+
+    got = data.select("_v").mapInArrow(run, "restart int, centre int, pos int, s double").groupBy("restart", "centre", "pos").agg(F.sum("s").alias("s")).collect()
+    out = {r: np.zeros((len(c), width + 2)) for r, c in centres.items()}
+    for row in got:
+        out[row["restart"]][row["centre"], row["pos"]] = row["s"]
+    return {r: (t[:, :width], t[:, width], float(t[:, width + 1].sum())) for r, t in out.items()}
+
+
+def drawn(data: DataFrame, width: int, centres: dict[int, np.ndarray], costs: dict[int, float], share: float, seed: int, turn: int) -> dict[int, np.ndarray]:
+    """Rows drawn as new candidates, for all restarts in one pass: with probability ``share * distance / cost``."""
+    model = data.sparkSession.sparkContext.broadcast((centres, costs))
+
+    def run(batches):
+        for b in batches:
+            x, rows = batch_matrix(b.column("_v"), width)
+            u = np.asarray(b.column("_u"))[rows]
+            cells, whose = [], []
+            for r, c in model.value[0].items():
+                _, d = nearest(x, c)
+                # another uniform number per restart and turn, from the row's own
+                mine = (u + (1 + r) * 0.6180339887498949 + turn * 0.7548776662466927) % 1.0
+                hit = mine < share * d / max(model.value[1][r], 1e-300)
+                cells += x[hit].tolist()
+                whose += [r] * int(hit.sum())
+            yield pa.record_batch([pa.array(whose, pa.int32()), pa.array(cells, pa.list_(pa.float64()))], ["restart", "x"])
+
+    out: dict[int, list] = {r: [] for r in centres}
+    for row in data.select("_v", "_u").mapInArrow(run, "restart int, x array<double>").collect():  # about ``share`` rows per restart
+        out[row["restart"]].append(row["x"])
+    return {r: np.array(sorted(x)).reshape(-1, width) for r, x in out.items()}
+
+
+def weighted_start(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of the candidates by k-means++ on their weights, moved by a few weighted steps."""
+    rng = np.random.default_rng(seed)
+    order = np.lexsort(candidates.T[::-1])
+    x, w = candidates[order], np.maximum(weights[order], 1e-12)
+    centres = [x[rng.choice(len(x), p=w / w.sum())]]
+    while len(centres) < k:
+        _, d = nearest(x, np.array(centres))
+        p = w * d
+        if p.sum() <= 0:
+            break
+        centres.append(x[rng.choice(len(x), p=p / p.sum())])
+    centres = np.array(centres)
+    for _ in range(30):
+        at, _ = nearest(x, centres)
+        n = np.bincount(at, w, len(centres))
+        moved = np.array([np.bincount(at, w * x[:, j], len(centres)) for j in range(x.shape[1])]).T
+        centres = np.where(n[:, None] > 0, moved / np.maximum(n, 1e-300)[:, None], centres)
+    return centres
+
+
+def kmeans_restarts(df: DataFrame, key: str, vec: str, k: int = 10, seed: int = 42, max_iter: int = 300, n_init: int = 10, tol: float = 1e-4, rounds: int = 2) -> Restarts:
+    """K-means from ``n_init`` starts (k-means||), all of them in the same scans.
+
+    Every scan broadcasts the centres of the restarts that still move and adds up
+    sums by (restart, centre); a restart drops out when no centre moves further
+    than ``tol``.  Draws are hashes of seed and key.  Rows without a vector of the
+    common width take no part; with fewer different rows than ``k`` there are fewer
+    centres.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    data = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("_k"), as_double_array(vec).alias("_v"), hash_uniform(key, seed).alias("_u")).persist()
+    try:
+        width = data.agg(F.max(F.size("_v"))).head()[0]
+        if width is None:
+            raise ValueError(f"no vectors in column {vec!r}")
+        first = data.where(F.size("_v") == width).agg(*(F.min_by("_v", hash_hex("_k", seed + 1000 + r)).alias(f"r{r}") for r in range(n_init))).head()
+        candidates = {r: np.array([first[r]], np.float64) for r in range(n_init)}
+        scans = 1
+        for turn in range(rounds):
+            costs = {r: found[2] for r, found in scan(data, width, candidates).items()}
+            new = drawn(data, width, candidates, costs, 2.0 * k, seed, turn)
+            candidates = {r: np.unique(np.concatenate((c, new[r])), axis=0) for r, c in candidates.items()}
+            scans += 2
+        weights = {r: found[1] for r, found in scan(data, width, candidates).items()}
+        scans += 1
+        centres = {r: weighted_start(candidates[r], weights[r], k, seed + r) for r in range(n_init)}
+        costs, steps, moving = np.zeros(n_init), np.zeros(n_init, int), set(range(n_init))
+        for _ in range(max_iter):
+            found = scan(data, width, {r: centres[r] for r in moving})
+            scans += 1
+            for r in sorted(moving):
+                sums, n, cost = found[r]
+                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[r])
+                far = float(((new - centres[r]) ** 2).sum(axis=1).max())
+                centres[r], costs[r], steps[r] = new, cost, steps[r] + 1
+                if far <= tol ** 2:
+                    moving.discard(r)
+            if not moving:
+                break
+        # the cost of the centres as they are now
+        for r, (_, _, cost) in scan(data, width, centres).items():
+            costs[r] = cost
+        scans += 1
+    finally:
+        data.unpersist()
+    most = max(len(c) for c in centres.values())
+    out = np.full((n_init, most, width), np.nan)
+    for r, c in centres.items():
+        out[r, : len(c)] = c
+    return Restarts(out, costs, steps, scans)
+
+
+def centres_table(spark, found: Restarts) -> DataFrame:
+    """``cluster, centre`` of the best restart, clusters in the order of their centres."""
+    best = found.centres[found.best]
+    best = best[~np.isnan(best).any(axis=1)]
+    best = best[np.lexsort(best.T[::-1])]
+    return spark.createDataFrame([(int(i), [float(v) for v in c]) for i, c in enumerate(best)], "cluster int, centre array<double>")
+
+
+# ------------------------------------------------------------------ Laplacian eigenmaps
+def graph_edges(df: DataFrame, key: str, vec: str, k: int = 15, seed: int = 42, exact: bool = False) -> DataFrame:
+    """``src, dst, w`` of the symmetric neighbour graph: a link if either row has the other among its ``k`` nearest.
+
+    ``w`` is ``1 / sqrt(degree(src) * degree(dst))``, so the largest eigenvalue of the matrix is 1.
+    """
+    from labelprism.operators.vectors import knn
+    links = knn(df, key, vec, k=k) if exact else knn_approximate(df, key, vec, k=k, seed=seed)
+    one = links.select(F.col(key).alias("src"), F.col("nbr").alias("dst"))
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    ends = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
+    return ends.select("src", "dst", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w"))
+
+
+def gram(rows: DataFrame, column: str, width: int) -> np.ndarray:
+    """The column's transpose times itself: partial products of each task, added up."""
+    def run(batches):
+        total = np.zeros((width, width))
+        for b in batches:
+            x, _ = batch_matrix(b.column(column), width)
+            total += x.T @ x
+        i, j = np.nonzero(total)
+        yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
+
+    out = np.zeros((width, width))
+    for r in rows.select(column).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        out[r["i"], r["j"]] = r["s"]
+    return out
+
+
+def combined(rows: DataFrame, column: str, by: np.ndarray, out: str) -> DataFrame:
+    """``src, out``: the column's rows times a small matrix, in a narrow map."""
+    model = rows.sparkSession.sparkContext.broadcast(by)
+    kind = rows.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            x, _ = batch_matrix(b.column(column), len(model.value))
+            yield pa.record_batch([b.column("src"), pa.array(list(x @ model.value), pa.list_(pa.float64()))], ["src", out])
+
+    return rows.select("src", column).mapInArrow(run, f"src {kind}, {out} array<double>")
+
+
+def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, seed: int = 42, max_rounds: int = 12, steps: int = 8, tol: float = 1e-4,
+              exact: bool = False, out: str = "map") -> tuple[DataFrame, np.ndarray, float]:
+    """M06 (non-linear): ``key, out array<double>[dims]`` from the neighbour graph, the eigenvalues, and the largest residual.
+
+    The coordinates are the eigenvectors of the normalised Laplacian after the
+    constant one.  A round takes ``dims + 4`` columns, multiplies them ``steps + 1``
+    times by the graph's matrix in Chebyshev polynomials (a join and an aggregate of
+    a thin table each) and keeps the best combinations of all columns that arose
+    (Rayleigh-Ritz); only products of columns come to the driver.  Coordinates are
+    divided by the square root of the degree; of each, the row with the largest
+    entry is positive.  Rows without a neighbour are left out.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    edges = graph_edges(df, key, vec, k, seed, exact).checkpoint(eager=True)
+    m = dims + 4
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    y = degree.select("src", F.array(*(hash_uniform("src", seed + j) - 0.5 for j in range(m))).alias("t"))
+    whole = m * (steps + 2)
+    # the matrix times all columns but the last block, in terms of the columns: A T0 = T1, A Tj = (Tj+1 + Tj-1) / 2
+    shift = np.zeros((whole, whole - m))
+    for j in range(steps + 1):
+        for c in range(m):
+            if j == 0:
+                shift[m + c, c] = 1
+            else:
+                shift[m * (j + 1) + c, m * j + c] = shift[m * (j - 1) + c, m * j + c] = 0.5
+    values, residual = np.zeros(m), np.inf
+    for _ in range(max_rounds):
+        table = y.checkpoint(eager=True)
+        for j in range(steps + 1):
+            last = [F.col("t")[m * j + c].alias(f"y{c}") for c in range(m)]
+            sums = edges.join(table.select(F.col("src").alias("dst"), *last), "dst").groupBy("src").agg(*(F.sum(F.col("w") * F.col(f"y{c}")).alias(f"y{c}") for c in range(m)))
+            new = F.array(*(F.col(f"y{c}") if j == 0 else 2 * F.col(f"y{c}") - F.col("t")[m * (j - 1) + c] for c in range(m)))
+            table = table.join(sums, "src").select("src", F.concat("t", new).alias("t")).checkpoint(eager=True)
+        g = gram(table, "t", whole)
+        inner = whole - m
+        basis, vectors = np.linalg.eigh(g[:inner, :inner])
+        good = basis > basis.max() * 1e-12
+        to = vectors[:, good] / np.sqrt(basis[good])
+        b = to.T @ (g[:inner] @ shift) @ to
+        found, mix = np.linalg.eigh((b + b.T) / 2)
+        order = np.argsort(-found)[:m]
+        values, by = found[order], to @ mix[:, order]
+        # squared length of A y - value * y
+        ay = shift @ by
+        square = np.einsum("ij,ik,kj->j", ay, g, ay) - values ** 2
+        residual = float(np.sqrt(np.maximum(square[: dims + 1], 0)).max())
+        y = combined(table, "t", np.vstack((by, np.zeros((m, by.shape[1])))), "t").checkpoint(eager=True)
+        if residual < tol:
+            break
+    kept = [F.col("t")[j + 1] for j in range(dims)]
+    signs = y.agg(*(F.max_by(F.signum(c), F.struct(F.round(F.abs(c), 9), hash_hex("src", seed))) for c in kept)).head()
+    scaled = y.join(degree, "src").select(F.col("src").alias(key), F.array(*(c * float(s or 1.0) / F.sqrt("n") for c, s in zip(kept, signs))).alias(out))
+    return scaled, values[: dims + 1], residual

@@ -1021,6 +1021,15 @@ def q_cluster_profile(spark, sf):
     return d.select("cluster", "label", "n", rnd("row_pct").alias("row_pct"), rnd("deviation").alias("deviation"))
 
 
+@register("cluster_map")
+def q_cluster_map(spark, sf):
+    """Non-linear 10-D coordinates, their clusters, and each label's centroid and rows on the 2-D map."""
+    from labelprism.plans import cluster_profile
+    res = cluster_profile.run(_emb(spark, sf), "vec_id", "embedding", "label", k=10, nonlinear=True)
+    n = res["table"].groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("n_clusters"))
+    return res["centroids"].join(n, "label").select("label", rnd("centroid_x").alias("centroid_x"), rnd("centroid_y").alias("centroid_y"), "n", "n_clusters")
+
+
 @register("training_part", """
 WITH e AS (SELECT vec_id, label, ('0x' || substr(md5('49:' || vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS is_val FROM embeddings),
 fit AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n,

@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("documents labels embeddings conversations benchmark pages events "
           "lineitem orders customer part supplier nation region").split()
-SLOW = {"lda_topics", "cluster_profile", "classifier_eval", "topic_sweep"}
+SLOW = {"lda_topics", "cluster_profile", "classifier_eval", "topic_sweep", "cluster_map"}
 
 
 def _norm(v):
