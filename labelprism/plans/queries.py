@@ -1003,12 +1003,13 @@ def q_topic_sweep(spark, sf):
 
 @register("lda_topics")
 def q_lda_topics(spark, sf):
-    """Fit LDA (k=10) on normalised English-default text and
-    report the label × dominant-topic log odds."""
+    """Fit LDA (k=10) on normalised English-default text, name
+    its topics, and report the label × dominant-topic log odds."""
     from labelprism.plans import topic_analysis
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang"])
-    res = topic_analysis.run(tables.spread(docs, "doc_id"), "doc_id", "text", "lang", k=10, report=False)
-    return res["label_topic_log_odds"].withColumn("log_odds", rnd("log_odds"))
+    res = topic_analysis.run(tables.spread(docs, "doc_id"), "doc_id", "text", "lang", k=10)
+    names = res["topic_names"].select(F.col("topic").alias("dominant_topic"), "name", "position")
+    return res["label_topic_log_odds"].join(names, "dominant_topic").withColumn("log_odds", rnd("log_odds"))
 
 
 @register("cluster_profile")

@@ -1,7 +1,7 @@
 """Entry 1 — topic analysis of a labelled sentence table, as one lazy plan.
 
 read → drop null rows → normalise (T01) → drop blank → word tokens (T03) →
-vocabulary (T06) → count vectors (T07) → LDA (M01) → dominant topic (M02) →
+vocabulary (T06) → bag of words (T07) → LDA (M01) → dominant topic (M02) →
 label × topic log odds (A06); and from the same token table: label × term
 presence log odds (A07) → top keywords per label (W02).  The token table is
 persisted once and shared by every branch.
@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelprism.functions.columns import argmax
 from labelprism.functions.lexicon import lemma_table, stopword_table
-from labelprism.operators import assoc, clean, text, topics
+from labelprism.operators import assoc, clean, lda, text, topics
+from labelprism.session import ensure_checkpoint_dir
 
 
 def prepare_tokens(docs: DataFrame, key: str, text_col: str, label: str,
@@ -33,14 +35,17 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
     """Fit and report; returns a dict of DataFrames (lazy except the model).
     ``report=False`` skips the topic naming and report."""
     spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     toks = prepare_tokens(docs, key, text_col, label).persist()
     vocab = text.vocabulary(toks, key, "tokens", min_df, max_df)
-    vectors, words = topics.count_vectors(toks, "tokens", vocab)
-    model = topics.fit_topics(vectors, k=k, seed=seed, max_iter=max_iter)
-    assigned = topics.assign_topics(model, vectors)
-    tt = topics.model_topic_terms(model, words, spark)
-    doc_len = text.bag_of_words(toks, key, "tokens").join(vocab.select("term"), "term", "left_semi") \
-                  .groupBy(key).agg(F.sum("tf").alias("n"))
+    bow = text.bag_of_words(toks, key, "tokens").join(vocab.select("term"), "term", "left_semi").select(key, "term", "tf").checkpoint(eager=True)
+    model = lda.fit_many(bow, key, [k], seed, max_iter)
+    tt = lda.term_weights(model).select("topic", "term", "weight").checkpoint(eager=True)
+    # a document without a word of the vocabulary has no share of any topic
+    theta = lda.document_topics(model).select(F.col("key").alias(key), "theta").checkpoint(eager=True)
+    assigned = (toks.select(key, label).join(theta, key, "left")
+                .withColumn("theta", F.coalesce("theta", F.array_repeat(F.lit(0.0), k))).withColumn("dominant_topic", argmax("theta")))
+    doc_len = bow.groupBy(key).agg(F.sum("tf").alias("n"))
     shares = topics.topic_share(topics.doc_topics_long(assigned, key), doc_len, key)
     counts = topics.topic_term_counts(tt, shares)
     scores_tt = topics.topic_term_scores(counts)

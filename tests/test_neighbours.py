@@ -74,7 +74,7 @@ def test_partitions_and_odd_rows(spark):
 def test_smote_with_approximate_neighbours(spark, within):
     """In small classes the forest is exact: the same rows as with the exact search."""
     rng = np.random.default_rng(4)
-    rows = [(i, [float(v) for v in rng.normal(0, 1, 3)], "big" if i % 4 else "small", i % 2) for i in range(80)]
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 3)], "big" if i % 5 else "small", i % 2) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label string, fold int")
     a, b = (sorted(map(str, classify.smote(df, "label", "v", "id", k=3, within=within, approximate=x).collect())) for x in (False, True))
     assert a == b and len(a) > 80
