@@ -94,26 +94,28 @@ def test_comparison_reports_unread_tables_and_fails_on_bad_ones(spark, tmp_path)
 
 
 def test_nested_cv_fits_boosted_trees_inside_and_outside(spark, monkeypatch):
-    fits = []
-    real = classify.fit_classifier
+    fits, roles = [], set()
+    real = classify.boost.boost_many
 
-    def logged(train, features, label, kind, params, validation, seed):
-        fits.append((kind, dict(params), validation))
-        return real(train, features, label, kind, params, validation, seed)
+    def logged(rows, wanted, *more, **kw):
+        fits.extend(wanted)
+        roles.update(r.role for r in rows.select("role").distinct().collect())
+        return real(rows, wanted, *more, **kw)
 
-    monkeypatch.setattr(classify, "fit_classifier", logged)
+    monkeypatch.setattr(classify.boost, "boost_many", logged)
     rows = [(k, [float(k % 2) + (k % 7) / 50, float(k % 5)], f"c{k % 2}") for k in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label string")
     got = classify.nested_cv(df, "label", "v", "id", kind="gbt", outer=2, inner=2, trials=2, oversample=False, space=classify.SEARCH_SPACE | {"n_trees": (1, 2), "max_depth": (2, 2)})
-    assert len(fits) == 2 * (2 * 2 + 1) and all(kind == "gbt" and v == "is_val" for kind, _, v in fits)
+    assert len(fits) == 2 * (2 * 2 + 1) and roles == {classify.boost.TRAIN, classify.boost.STOP, classify.boost.TEST}
     assert got.agg(F.avg("accuracy")).first()[0] > 0.9
 
 
 def test_alignment_pairs_left_overs_and_names_the_rest(spark):
     rows = [("Topic1", 0, 0.5), ("Topic1", 1, 0.5), ("Topic2", 0, 0.9), ("Topic2", 1, 0.1), ("Topic10", 3, 0.3)]
     df = spark.createDataFrame(rows, "topic_a string, topic_b int, jaccard double")
-    got = topics.align_topics(df, [0, 1, 2, 3], ["Topic10", "Topic2", "Topic1"])
-    assert list(zip(got.topic, got.name, got.position)) == [(0, "Topic1", 0), (1, "Topic2", 1), (3, "Topic10", 2), (2, "Topic 3 (Unmapped)", 3)]
+    fitted, display = spark.createDataFrame([(k,) for k in range(4)], "topic int"), spark.createDataFrame([("Topic10",), ("Topic2",), ("Topic1",)], "name string")
+    got = topics.align_topics(df, fitted, display).orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(0, "Topic1", 0), (1, "Topic2", 1), (3, "Topic10", 2), (2, "Topic 3 (Unmapped)", 3)]
 
 
 def test_many_wide_centres_and_queries(spark):

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-FITTED = {"classifier_eval", "cluster_profile", "lda_topics"}
+FITTED = {"classifier_eval", "cluster_profile", "lda_topics", "topic_sweep", "cluster_map"}
 
 
 def _plan(df):
