@@ -17,12 +17,13 @@ from labelprism.operators import assoc, cluster, vectors
 
 def run(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label",
         k: int = 10, dims: int = 10, seed: int = 42, max_iter: int = 300, n_init: int = 10, nonlinear: bool = False) -> dict:
-    """``nonlinear`` reduces by the neighbour graph's eigenvectors instead of PCA."""
+    """``nonlinear`` reduces by the neighbour graph's eigenvectors instead of PCA: up
+    to four rounds, with the residual that they leave in ``models``."""
     spark = df.sparkSession
     vectors.vector_width(df, vec)
     unit = vectors.l2_normalise(df.select(key, label, vec), vec).persist()
     if nonlinear:
-        ten, values, residual = cluster.eigenmaps(unit, key, vec, dims, seed=seed, out="_r10")
+        ten, values, residual = cluster.eigenmaps(unit, key, vec, dims, seed=seed, max_rounds=4, tol=1e-3, out="_r10")
         red, first = unit.join(ten, key), {"eigenvalues": values, "residual": residual}
     else:
         red, first = cluster.reduce(unit, vec, dims, "_r10")
