@@ -95,3 +95,21 @@ def test_planted_topics_odd_rows_and_many_terms(spark):
     wide = spark.range(200).select(F.col("id").alias("name"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda j: F.concat(F.lit("t"), (F.col("id") * 300 + j).cast("string")))).alias("term"), F.lit(1).alias("tf"))
     many = lda.fit_many(wide, "name", [2], max_iter=1, block_terms=1000)
     assert many.blocks.count() > 50 and lda.term_weights(many).count() == 120_000
+
+
+def test_e_step_has_a_bounded_part_in_hand():
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate((rng.integers(0, 40, 5000), rng.integers(1, 9000, 60), [0, 20_000]))
+    got = list(lda.chunks_of(lengths, 20))
+    assert sorted(np.concatenate([d for d, _ in got])) == np.flatnonzero(lengths).tolist()
+    for docs, longest in got:
+        assert longest == lengths[docs].max()
+        assert len(docs) == 1 or (len(docs) * longest * 20 <= lda.CHUNK and longest <= 1.125 * lengths[docs].min())
+    assert len(got) < 400
+
+
+def test_fewer_topics_make_larger_batches(spark):
+    """A batch is sent each of its terms once: with few topics it may be larger."""
+    bow = spark.range(60_000).select((F.col("id") % 3000).alias("id"), F.concat(F.lit("t"), F.floor(F.col("id") / 3000).cast("string")).alias("term"), F.lit(1).alias("tf"))
+    few, many = (lda.prepare(bow, "id", ks, 1, pairs, 4096).batches.count() for ks, pairs in (([2], None), ([2], 2000)))
+    assert few <= 2 * spark.sparkContext.defaultParallelism < 20 < many
