@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelprism.operators.text import term_presence
-
 __all__ = ["label_distribution", "crosstab", "complete_cells", "complete_counts", "row_percent", "deviation",
            "log_odds", "term_log_odds", "label_keywords", "label_cluster_counts", "max_abs",
            "odds_score"]
@@ -128,19 +126,24 @@ def term_log_odds(docs: DataFrame, key: str, label: str, tokens: str, term: str
     l documents, c = non-l documents holding t, d = the rest; every cell +½.
     Every (label, term) pair of the vocabulary is scored, zero cells included.
 
-    Plan: one pass explodes each row's distinct terms and counts (term, label)
-    pairs, with partial counts map-side, so a term present everywhere costs a
-    row per label and map task; term totals and zero cells follow from those
-    counts.  Label sizes are a table that is joined; documents without any token
-    still count in them.
+    Plan: one pass explodes each row's distinct terms, and a null term for the
+    row itself, and counts (term, label) pairs, with partial counts map-side, so
+    a term present everywhere costs a row per label and map task; label sizes,
+    term totals and zero cells follow from those counts.  Documents without any
+    token still count in the sizes.
     """
     labelled = docs.where(F.col(label).isNotNull())
-    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_nl"))
+    held = F.array_compact(F.array_distinct(F.coalesce(tokens, F.array().cast(labelled.schema[tokens].dataType))))
+    none = F.array(F.lit(None).cast(labelled.schema[tokens].dataType.elementType))
+    rows = labelled.select(label, F.explode_outer(F.concat(none, held)).alias(term))
+    # which cells are sizes is an aggregate: a filter on it stays above the exchange, which all parts share
+    counted = rows.groupBy(term, label).agg(F.count(F.lit(1)).alias("a"), F.max(F.col(term).isNull()).alias("_size"))
+    sizes = counted.where("_size").select(label, F.col("a").alias("_nl"))
     n_all = sizes.agg(F.sum("_nl")).scalar()
-    pres = term_presence(labelled, key, tokens, term, keep=[label])
-    cells = pres.groupBy(term, label).agg(F.count(F.lit(1)).alias("a"))
+    cells = counted.where("not _size").select(term, label, "a")
     # every label of the corpus is a column, also one whose documents hold no token
-    labels = sizes.agg(F.collect_set(label)).scalar()
+    # (the filter keeps the count in it: without, it would be another exchange than the others')
+    labels = sizes.where("_nl > 0").agg(F.collect_set(label)).scalar()
     terms = cells.groupBy(term).agg(F.collect_list(F.struct(label, "a")).alias("_cells"), F.sum("a").alias("df"))
     seen = terms.select(term, "df", F.explode("_cells").alias("_s")).select(term, "df", "_s.*")
     unseen = terms.select(term, "df", F.explode(F.array_except(labels, F.col(f"_cells.{label}"))).alias(label), F.lit(0).cast("long").alias("a"))

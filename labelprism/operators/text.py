@@ -8,8 +8,12 @@ partitioned by whatever the next aggregate groups on.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from labelprism.functions.columns import word_tokens, ws_tokens
 from labelprism.operators.ordinal import sorted_ordinal
@@ -56,6 +60,38 @@ def _bounded_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
 
 
+def _replaced(stop: set[str], lemma: dict[str, str]):
+    """Rows with the token runs of each text of a group, to rows with the words kept, in text order."""
+    def one(word: str) -> str | None:
+        if not word.isalpha():
+            return None
+        low = word.lower()
+        return None if low in stop else lemma.get(low, word)
+
+    def run(batches):
+        for b in batches:
+            runs = b.column(b.num_columns - 1)
+            texts = pc.list_flatten(runs)
+            coded = pc.list_flatten(texts).dictionary_encode()
+            words = pa.array([one(w) for w in coded.dictionary.to_pylist()], pa.string())
+            got = words.take(coded.indices)
+            # words kept before each group: from its texts to their runs to those kept
+            kept = np.concatenate(([0], np.cumsum(np.asarray(got.is_valid()))))
+            per_text = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(texts)))))
+            per_row = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(runs)))))
+            out = pa.ListArray.from_arrays(pa.array(kept[per_text[per_row]], pa.int32()), got.drop_null())
+            several = np.flatnonzero(np.diff(per_row) > 1)
+            if len(several):    # rows with the same key: their words by place, then word
+                rows = out.to_pylist()
+                for i in several:
+                    ends = per_text[per_row[i]:per_row[i + 1] + 1]
+                    found = [(k, w.encode()) for s, e in zip(ends[:-1], ends[1:]) for k, w in enumerate(got[s:e].to_pylist()) if w is not None]
+                    rows[i] = [w.decode() for _, w in sorted(found)]
+                out = pa.array(rows, pa.list_(pa.string()))
+            yield pa.record_batch([*b.columns[:-1], out], b.schema.names)
+    return run
+
+
 def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
                    lemmas: DataFrame, out: str = "norm_text", keep: list[str] | None = None) -> DataFrame:
     """Keep alphabetic tokens that are not stop/number words, map each to
@@ -64,26 +100,36 @@ def normalise_text(df: DataFrame, key: str, text: str, stopwords: DataFrame,
     normalised text would be empty produce no output row (the caller's blank
     filter would drop them anyway).
 
-    Plan: posexplode the token runs → left-anti join on the stop table → left
-    join on the lemma table → regroup by ``key`` (plus the carried ``keep``
-    columns).  Each word table is counted with a bound first: up to
-    ``BROADCAST_ROWS`` rows it is broadcast (tables built on the driver carry
-    no size statistics, so neither the planner nor AQE would know in time),
-    beyond that it is a shuffle join, so a full lemma dictionary works too.
-    When the input is hash-partitioned by ``key`` the regroup needs no
-    shuffle.  (An in-row variant with higher-order functions was measured
-    10× slower: those run interpreted, the joins run in generated code.)
+    Plan: texts are grouped by ``key`` (plus the carried ``keep`` columns) —
+    whole texts, no shuffle when the input is hash-partitioned by ``key`` — and
+    the words of a record batch are looked up once per distinct word, so no row
+    per token is made, sorted or shuffled.  Each word table is read with a
+    bound first: one beyond ``BROADCAST_ROWS`` rows is joined to the exploded
+    tokens instead, so a full lemma dictionary works too.
     """
     keep = keep or []
+    stop_table = stopwords.select(F.col("form").alias("_lw")).distinct()
+    lemma_table = lemmas.select(F.col("form").alias("_lw"), F.col("lemma").alias("_lemma")).dropDuplicates(["_lw"])
+    small = [t.limit(BROADCAST_ROWS + 1).collect() for t in (stop_table, lemma_table)]
+    if any(len(rows) > BROADCAST_ROWS for rows in small):
+        return _normalise_by_joins(df, key, text, stop_table, lemma_table, out, keep)
+    stop = {r[0] for r in small[0]}
+    lemma = {r[0]: r[1] for r in small[1] if r[1] is not None}
+    grouped = df.where(F.col(text).isNotNull()).groupBy(key, *keep).agg(F.collect_list(text).alias("_t"))
+    runs = grouped.select(key, *keep, F.transform("_t", lambda t: F.regexp_extract_all(t, F.lit(ALNUM_RUN), 0)).alias("_w"))
+    schema = StructType([*df.select(key, *keep).schema.fields, StructField("_w", ArrayType(StringType()))])
+    words = runs.mapInArrow(_replaced(stop, lemma), schema)
+    return words.where(F.size("_w") > 0).select(key, *keep, F.array_join("_w", " ").alias(out))
+
+
+def _normalise_by_joins(df: DataFrame, key: str, text: str, stop_table: DataFrame, lemma_table: DataFrame, out: str, keep: list[str]) -> DataFrame:
+    """T01 with word tables of any size: a row per token, joined with both tables."""
     toks = (df.select(key, *keep, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(ALNUM_RUN), 0))
                       .alias("_pos", "_w"))
               .where(F.col("_w").rlike(ALPHA_ONLY))
               .withColumn("_lw", F.lower("_w")))
-    stop_df = _bounded_broadcast(stopwords.select(F.col("form").alias("_lw")).distinct())
-    lem_df = _bounded_broadcast(lemmas.select(F.col("form").alias("_lw"), F.col("lemma").alias("_lemma"))
-                                      .dropDuplicates(["_lw"]))
-    kept_rows = (toks.join(stop_df, "_lw", "left_anti")
-                     .join(lem_df, "_lw", "left")
+    kept_rows = (toks.join(_bounded_broadcast(stop_table), "_lw", "left_anti")
+                     .join(_bounded_broadcast(lemma_table), "_lw", "left")
                      .withColumn("_lemma", F.coalesce("_lemma", "_w")))
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "_lemma")))
     return kept_rows.groupBy(key, *keep).agg(

@@ -87,3 +87,16 @@ def test_report_and_label_sinks(spark, tmp_path):
     tables.write_by_label(kw, str(tmp_path / "kw"), "label")
     import os
     assert os.listdir(str(tmp_path / "kw")).count("file_label=a_b_c_d") == 1
+
+
+def test_normalise_makes_no_row_per_token_and_equals_the_joins(spark):
+    """Repeated keys, null keys and texts, words that are dropped, İ and Σ, a lemma of two words."""
+    rows = [(1, "The cats RAN abc123 self-driving", "x"), (1, "dogs ran 7 far", "x"), (2, None, "x"), (3, "the the", "x"), (None, "Children went", None),
+            (None, "home", None), (4, "İstanbul ΣΑΣ Straße 二", "y"), (4, "İstanbul ΣΑΣ Straße 二", "y"), (5, "", "y"), (6, "wrote", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lab string")
+    stop, lemmas = stopword_table(spark, ["the", "far"]), lemma_table(spark, [("ran", "run off"), ("children", "child"), ("σας", "sas"), ("wrote", None)])
+    got = text.normalise_text(df, "id", "text", stop, lemmas, keep=["lab"])
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    want = text._normalise_by_joins(df, "id", "text", stop.select(F.col("form").alias("_lw")), lemmas.select(F.col("form").alias("_lw"), F.col("lemma").alias("_lemma")), "norm_text", ["lab"])
+    order = lambda rows: sorted(map(str, rows))
+    assert order(got.collect()) == order(want.collect()) and got.count() == 4
