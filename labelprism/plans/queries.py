@@ -13,6 +13,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -596,11 +598,15 @@ def _fixed_bow(spark, sf):
     key = (spark.sparkContext.applicationId, sf, _files(spark, sf, "documents"))
     if key not in _FIXED:
         docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("lang", "label")
-        docs = text.add_word_tokens(tables.spread(docs, "doc_id"), "text").drop("text")
+        # always dealt by document: the texts are exchanged, not a row per document and term
+        parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+        docs = text.add_word_tokens(docs.repartition(parts, "doc_id"), "text").drop("text")
         full = text.bag_of_words(docs, "doc_id", "tokens", keep=["label", "source"])
         n_docs = load(spark, sf, "documents", ["doc_id"]).agg(F.count(F.lit(1)).cast("double")).scalar()
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/topic-report-{uuid.uuid4().hex}"
-        text.count_vectorise(full, text.vocabulary_from_bow(full, n_docs, 7, 0.8)).write.parquet(folder)
+        # the terms are few beside the pairs: they go to the pairs, as long as they fit
+        vocab = text.vocabulary_from_bow(full, n_docs, 7, 0.8).select("term").checkpoint(eager=True)
+        text.count_vectorise(full, text._bounded_broadcast(vocab)).write.parquet(folder)
         _FIXED[key] = folder
     return spark.read.parquet(_FIXED[key])
 
@@ -970,10 +976,38 @@ tw AS (SELECT k || '/' || t AS topic, term FROM wt QUALIFY row_number() OVER (PA
 score AS (SELECT split_part(topic, '/', 1)::INTEGER AS k, avg(coherence) AS coherence FROM cv GROUP BY 1)"""
 
 
+def _heaviest_by_remainder(ks: range, most: int):
+    """Rows ``term, doc_id, tf`` with all rows of a term in one task, to the ``most`` heaviest
+    terms of every topic (documents with ``doc_id mod k`` = topic) of every k among them."""
+    first = np.cumsum([0, *ks])
+
+    def run(batches):
+        number: dict[str, int] = {}
+        total = np.zeros((64, first[-1]), np.int64)
+        for b in batches:
+            coded = b.column("term").dictionary_encode()
+            ids = np.array([number.setdefault(t, len(number)) for t in coded.dictionary.to_pylist()], np.int64)
+            if len(number) > len(total):
+                total = np.concatenate((total, np.zeros((max(len(total), len(number) - len(total)), total.shape[1]), np.int64)))
+            row, doc, tf = ids[np.asarray(coded.indices)], np.asarray(b.column("doc_id")), np.asarray(b.column("tf"))
+            for k, at in zip(ks, first):
+                np.add.at(total.reshape(-1), row * total.shape[1] + at + np.mod(doc, k), tf)
+        terms = list(number)
+        rank = np.empty(len(terms), np.int64)
+        rank[sorted(range(len(terms)), key=lambda i: terms[i].encode())] = np.arange(len(terms))
+        for k, at in zip(ks, first):
+            for topic in range(k):
+                n = total[:len(terms), at + topic]
+                best = [i for i in np.lexsort((rank, -n))[:most] if n[i]]
+                yield pa.record_batch([pa.array([k] * len(best), pa.int32()), pa.array([topic] * len(best), pa.int64()),
+                                       pa.array([terms[i] for i in best], pa.string()), pa.array(n[best], pa.int64())], ["k", "topic", "term", "n"])
+    return run
+
+
 def _fixed_sweep(spark, sf):
-    bow = _fixed_bow(spark, sf).where("doc_id is not null")
-    each = bow.withColumn("k", F.explode(F.sequence(F.lit(_KS.start), F.lit(_KS.stop - 1))))
-    weights = each.groupBy("k", F.pmod("doc_id", "k").alias("topic"), "term").agg(F.sum("tf").alias("n"))
+    # the bag of words is exchanged once, by term, for the models of every k
+    bow = _fixed_bow(spark, sf).where("doc_id is not null").select("term", "doc_id", "tf")
+    weights = bow.repartition("term").mapInArrow(_heaviest_by_remainder(_KS, 10), "k int, topic long, term string, n long")
     nth = F.row_number().over(Window.partitionBy("k", "topic").orderBy(F.col("n").desc(), "term"))
     words = weights.withColumn("rank", nth).where("rank <= 10").select("k", "topic", "term").checkpoint(eager=True)
     docs = text.add_ws_tokens(tables.spread(load(spark, sf, "documents", ["doc_id", "text"]), "doc_id"), "text")

@@ -86,3 +86,32 @@ def test_deviation_reindexes_empty_cluster(spark):
     # global shares count every row with a label (3 of 4 are "a")
     assert math.isclose(got[(1, "a")].global_pct, 75.0)
     assert math.isclose(got[(1, "a")].deviation, 25.0)
+
+
+def test_term_log_odds_reads_the_documents_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2], ["x", f"t{i % 5}", None] if i % 7 else None) for i in range(40)], "id long, label string, toks array<string>")
+    got = assoc.term_log_odds(docs.mapInArrow(counted, docs.schema), "id", "label", "toks").collect()
+    assert seen.value == 40 and {r.term for r in got} == {"x", "t0", "t1", "t2", "t3", "t4"} and len(got) == 12
+    assert {(r.label, r.a, r.df) for r in got if r.term == "x"} == {("a", 17, 34), ("b", 17, 34)}
+
+
+def test_the_bag_of_words_sends_the_vocabulary_to_the_pairs(spark, tmp_path, monkeypatch):
+    """And pairs are made where a document is: one exchange, of the texts."""
+    from labelprism.plans import queries
+    rows = [(i, f"common word w{i % 2} w{i % 3}", "en", "s") for i in range(12)] + [(None, "common word", None, "s"), (3, "common word", "en", "s"), (50, None, "en", None)] + [(i, "other text", "fr", "s") for i in range(60, 70)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans = []
+    real = queries.text.count_vectorise
+    monkeypatch.setattr(queries.text, "count_vectorise", lambda *a: plans.append((a[0], real(*a))) or plans[-1][1])
+    got = {(r.doc_id, r.term): r.tf for r in queries._fixed_bow(spark, str(tmp_path)).collect()}
+    assert got[3, "word"] == 2 and got[3, "common"] == 2 and (None, "word") in got
+    full, kept = plans[0]
+    assert "strategy=broadcast" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert full._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
