@@ -41,7 +41,8 @@ def complete_cells(cells: DataFrame, row: str, col: str, col_values: list | None
     Columns are the given values, else those of ``col_domain`` (one column named
     ``col``), else those of the cells.  A row looks up
     which columns it has and gets a zero for each of the others; the counted
-    cells themselves pass through as they are.
+    cells themselves pass through as they are.  What ``cells`` is counted from
+    is read once.
     """
     kind = cells.schema[col].dataType
     if col_values is not None:
@@ -49,12 +50,16 @@ def complete_cells(cells: DataFrame, row: str, col: str, col_values: list | None
         cells = cells.where(F.array_contains(domain, F.col(col))) if col_values else cells.limit(0)
     else:
         domain = (cells if col_domain is None else col_domain).agg(F.collect_set(col)).scalar()
-    have = cells.groupBy(row).agg(F.collect_set(col).alias("_have"))
+    # cells are counted once: they pass through the rows they belong to
+    pair = F.struct(F.col(col).alias("c"), F.col(n).alias("n"))
+    have = cells.groupBy(row).agg(F.collect_list(pair).alias("_have"))
     if row_domain is not None:
         have = have.join(row_domain.select(row).where(F.col(row).isNotNull()).distinct(), row, "full")
-    rest = F.array_except(domain, F.coalesce("_have", F.array().cast(f"array<{kind.simpleString()}>")))
-    zero = have.select(row, F.explode(rest).alias(col), F.lit(0).cast(cells.schema[n].dataType).alias(n))
-    return cells.select(row, col, n).unionByName(zero)
+    cell_type = f"array<struct<c:{kind.simpleString()},n:{cells.schema[n].dataType.simpleString()}>>"
+    own = F.coalesce("_have", F.array().cast(cell_type))
+    rows = have.select(row, own.alias("_own"), F.array_except(domain, own["c"]).alias("_rest"))
+    zero = F.arrays_zip("_rest", F.array_repeat(F.lit(0), F.size("_rest"))).cast(cell_type)
+    return rows.select(row, F.explode(F.concat("_own", zero)).alias("_c")).select(row, F.col("_c.c").alias(col), F.col("_c.n").alias(n))
 
 
 def complete_counts(df: DataFrame, row: str, col: str, col_values: list | None = None,

@@ -115,3 +115,23 @@ def test_the_bag_of_words_sends_the_vocabulary_to_the_pairs(spark, tmp_path, mon
     full, kept = plans[0]
     assert "strategy=broadcast" in kept._jdf.queryExecution().optimizedPlan().toString()
     assert full._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_the_grid_is_made_from_one_count(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(f"r{i % 3}", f"c{i % 4}", i) for i in range(10)] + [("r9", "c9", 7), ("r1", None, 1)], "row string, col string, w long")
+    columns = spark.createDataFrame([("c0",), ("c1",), ("c2",), ("c3",), ("c8",), ("c9",)], "col string")
+    rows = spark.createDataFrame([("r1",), ("r7",), (None,)], "row string")
+    got = assoc.complete_counts(df.mapInArrow(counted, df.schema), "row", "col", weight="w", row_domain=rows, col_domain=columns).collect()
+    assert seen.value == 12 and len(got) == 5 * 6
+    want = {}
+    for i in range(10):
+        want[f"r{i % 3}", f"c{i % 4}"] = want.get((f"r{i % 3}", f"c{i % 4}"), 0) + i
+    want["r9", "c9"] = 7
+    assert {(r.row, r.col): r.n for r in got if r.n} == {k: v for k, v in want.items() if v}
