@@ -8,8 +8,8 @@ the whole corpus.  The word table has two parts:
 * the ``hot_words`` most frequent words (a bounded table, encoded once and
   broadcast) stand for nearly all positions; a document travels as the ranks of
   its words, one to three bytes each, with a gap for any other word;
-* every other word goes, with its document and place, to the partition of its
-  hash.  There the equal words stand together, each distinct one is encoded
+* every other word goes, with its document's key and its place, to the partition of
+  its hash.  There the equal words stand together, each distinct one is encoded
   once, and its ids join the document again by position.
 
 Which words are hot decides what moves, never the result.  Lower-casing A-Z
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from labelprism.llm.common import Words, add_counts, edges, keyed_bodies, load_tokenizer, lower_ascii, one_array, place_in, read_text, slices, words_of
+from labelprism.llm.common import Words, add_counts, edges, load_tokenizer, lower_ascii, one_array, place_in, read_text, slices, words_of
 
 __all__ = ["bpe_encode", "bpe_decode"]
 
@@ -164,6 +164,24 @@ def unpacked(data: pa.Array, width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges(size), pa.int32()), pa.array(flat))
 
 
+def short_keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, body``: ``key`` is 16 bytes of the SHA-256 of a row's id and text together.
+
+    Each rare word takes the key along twice, so it stands for id and text at once;
+    rows of one id and one text share it, null ids are an id of their own.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    digest = F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), body).cast("binary"), 256)
+    return docs.select(doc_id.alias("doc_id"), F.unhex(F.substring(digest, 1, 32)).alias("key"), body.alias("body"))
+
+
+def halves(key: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of each 16-byte key."""
+    both = np.frombuffer(b"".join(key.to_pylist()), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, ids array<int>`` of every row of ``docs``, as the tokenizer encodes its whole text.
 
@@ -174,7 +192,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
     spark = docs.sparkSession
     sc = spark.sparkContext
     spec = sc.broadcast(read_text(tokenizer_path))
-    source = keyed_bodies(docs).withColumn("body", F.col("body").cast("string"))
+    source = short_keyed(docs)
 
     def encode_rows(batches):
         tok = load_tokenizer(spec.value)
@@ -199,7 +217,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
         for b in slices(batches):
             words = bpe_words(b.column("body"))
             codes = to_bytes(ranks(words), words.per_text)
-            yield pa.record_batch([*(b.column(k) for k in ("doc_id", "id", "tag")), pa.array(codes, pa.binary())], ["doc_id", "id", "tag", "codes"])
+            yield pa.record_batch([b.column("doc_id"), *map(pa.array, halves(b.column("key"))), pa.array(codes, pa.binary())], ["doc_id", "key1", "key2", "codes"])
 
     def gaps(batches):
         for b in slices(batches):
@@ -208,9 +226,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
             text = np.repeat(np.arange(b.num_rows), words.per_text)[rare]
             n = np.bincount(text, minlength=b.num_rows)
             seq = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-            row = pa.array(text)
-            yield pa.record_batch([b.column("id").take(row), b.column("tag").take(row), pa.array(seq), words.distinct.take(pa.array(words.codes[rare]))],
-                                  ["id", "tag", "place", "word"])
+            yield pa.record_batch([*(pa.array(k[text]) for k in halves(b.column("key"))), pa.array(seq), words.distinct.take(pa.array(words.codes[rare]))],
+                                  ["key1", "key2", "place", "word"])
 
     def encode_once(batches):
         """Equal words follow each other, so a batch's first word may be the one encoded last."""
@@ -225,16 +242,16 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS)
             if distinct:
                 last = column.indices[-1].as_py()
                 word, ids = distinct[last], got.slice(last, 1)
-            yield pa.record_batch([*(b.column(k) for k in ("id", "tag", "place")), packed(got.take(column.indices), width)], ["id", "tag", "place", "ids"])
+            yield pa.record_batch([*(b.column(k) for k in ("key1", "key2", "place")), packed(got.take(column.indices), width)], ["key1", "key2", "place", "ids"])
 
-    coded_docs = source.mapInArrow(coded, "doc_id long, id long, tag string, codes binary")
-    rare = (source.mapInArrow(gaps, "id long, tag string, place long, word string")
-            .repartition("word", F.when(F.octet_length("word") >= LONG_WORD, F.pmod(F.xxhash64("id", "tag"), F.lit(SALTS))).otherwise(0)).sortWithinPartitions("word")
-            .mapInArrow(encode_once, "id long, tag string, place long, ids binary"))
+    coded_docs = source.mapInArrow(coded, "doc_id long, key1 long, key2 long, codes binary")
+    rare = (source.mapInArrow(gaps, "key1 long, key2 long, place long, word string")
+            .repartition("word", F.when(F.octet_length("word") >= LONG_WORD, F.pmod(F.xxhash64("key1", "key2"), F.lit(SALTS))).otherwise(0)).sortWithinPartitions("word")
+            .mapInArrow(encode_once, "key1 long, key2 long, place long, ids binary"))
     # dealt out row by row: a task holds few words of a document, so gathering them there first would only add
-    rest = (rare.repartition("id", "tag")
-            .groupBy("id", "tag").agg(F.collect_list(F.struct("place", "ids")).alias("rest")))
-    joined = coded_docs.join(rest, ["id", "tag"], "left").select("doc_id", "codes", "rest")
+    rest = (rare.repartition("key1", "key2")
+            .groupBy("key1", "key2").agg(F.collect_list(F.struct("place", "ids")).alias("rest")))
+    joined = coded_docs.join(rest, ["key1", "key2"], "left").select("doc_id", "codes", "rest")
 
     def fill(batches):
         for b in slices(batches, "codes"):

@@ -1,5 +1,6 @@
 """BPE encoding and decoding, token files and piece counts against the libraries or brute force."""
 
+import re
 import zlib
 
 import numpy as np
@@ -146,6 +147,18 @@ def test_common_long_words_are_hot_and_bytes_are_bounded(spark, library, monkeyp
     assert sorted((r.doc_id, list(r.ids)) for r in bpe.bpe_encode(docs, PATH).collect()) == want
 
 
+def test_rare_words_travel_with_a_short_key(spark):
+    """Id and text are told apart by 16 bytes in all, two numbers in every row that is exchanged."""
+    texts = [(1, "a b"), (1, "a c"), (2, "a b"), (None, "a b"), (None, None), (3, ""), (3, None), (1, "a b"), (-(1 << 63), "a b"), (12, "3:x"), (123, ":x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    keys = [bytes(r.key) for r in bpe.short_keyed(docs).collect()]
+    same = {(i, t or "") for i, t in texts}
+    assert {len(k) for k in keys} == {16} and len(set(keys)) == len(same) == len(texts) - 2
+    plan = bpe.bpe_encode(docs, PATH, hot_words=1)._jdf.queryExecution().optimizedPlan().toString()
+    sent = re.findall(r"(?:coded|gaps|encode_once)\(.*?\).*?, \[([^\]]*)\]", plan)
+    assert len(sent) >= 3 and all("key1#" in s and "key2#" in s and "tag#" not in s for s in sent)
+
+
 def test_token_files_empty_table(spark):
     folder = shared_folder(spark, "test-tokens")
     files = token_files.write_token_files(empty(spark), folder, PATH)
