@@ -70,3 +70,38 @@ def test_knn_skips_null_key_and_null_vector(spark):
                                "id long, v array<double>")
     got = {(r.id, r.nbr) for r in vectors.knn(df, "id", "v", k=1).collect()}
     assert got == {(1, 2), (2, 1), (4, 2)}
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_tiles_find_the_rows_that_differences_find(monkeypatch, copies):
+    """Products of large numbers close together round away their distances; equal rows tie; a name may come again."""
+    monkeypatch.setattr(vectors, "TILE", (16, 32))
+    rng = np.random.default_rng(5)
+    y = rng.normal(1000, 1e-6, (150, 4))
+    y[100:100 + copies] = y[3]
+    names = np.sort(rng.integers(0, 120, len(y)))
+    d = vectors.squared(y, y)
+    d[names[:, None] == names[None]] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    kept = vectors.first_copies(y, names, 5)
+    for places in (np.arange(len(y)), kept):
+        a, b, found = vectors.nearest_rows(y, y[places], 5, (names, names[places]))
+        assert (places[b].reshape(-1, 5) == want).all() and (a == np.repeat(np.arange(len(y)), 5)).all()
+        assert np.array_equal(found, np.take_along_axis(d, want, axis=1).ravel())
+    assert len(kept) < len(y) or not copies
+
+
+def test_exact_search_measures_few_pairs_by_differences(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    measured, of = [], vectors.squared_of
+    monkeypatch.setattr(vectors, "squared_of", lambda a, i, b, j: measured.append(len(i)) or of(a, i, b, j))
+    _, _, d = vectors.nearest_rows(x, x, 5, (np.arange(3000),) * 2)
+    assert len(d) == 15_000 and sum(measured) < 100_000
+
+
+def test_knn_leaves_out_numbers_that_are_not_finite(spark):
+    big = 1e200  # its square is no number, the differences are
+    df = spark.createDataFrame([(1, [big, 0.0]), (2, [big, 1.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, [big, 3.0])], "id long, v array<double>")
+    got = {(r.id, r.nbr, r.dist) for r in vectors.knn(df, "id", "v", k=1).collect()}
+    assert got == {(1, 2, 1.0), (2, 1, 1.0), (5, 2, 4.0)}
