@@ -8,14 +8,17 @@ of rows.  :func:`kmeans_restarts` runs all restarts of k-means in the same scans
 
 from __future__ import annotations
 
+import pickle
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelprism.functions.columns import as_double_array, hash_hex, hash_uniform
@@ -71,6 +74,9 @@ def cluster(df: DataFrame, vec: str, model: KMeansModel, out: str = "cluster") -
 
 
 # ------------------------------------------------------------------ k-means, all restarts together
+TASK_CELLS = 2_000_000  # numbers of a scan's task
+
+
 class Restarts(NamedTuple):
     """Centres ``[restart, centre, dimension]``, the cost and the steps of each restart, scans of the data, and the best restart."""
 
@@ -92,25 +98,33 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (diff ** 2).sum(axis=1)
 
 
-def scan(data: DataFrame, width: int, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """One pass for all restarts: per restart the sums and counts of its centres' rows, and its cost."""
-    model = data.sparkSession.sparkContext.broadcast(centres)
-
+def numbers(data: DataFrame, width: int) -> RDD:
+    """The column ``_v`` as one matrix per batch of rows, so that a scan is one stage of matrices."""
     def run(batches):
-        total = {r: np.zeros((len(c), width + 2)) for r, c in model.value.items()}
         for b in batches:
-            x, _ = batch_matrix(b.column("_v"), width)
-            for r, c in model.value.items():
-                at, d = nearest(x, c)
-                np.add.at(total[r], at, np.column_stack((x, np.ones(len(x)), d)))
-        for r, t in total.items():
-            i, j = np.nonzero(t)
-            yield pa.record_batch([pa.array(np.full(len(i), r), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(t[i, j])], ["restart", "centre", "pos", "s"])
-
-    got = data.select("_v").mapInArrow(run, "restart int, centre int, pos int, s double").groupBy("restart", "centre", "pos").agg(F.sum("s").alias("s")).collect()
-    out = {r: np.zeros((len(c), width + 2)) for r, c in centres.items()}
-    for row in got:
-        out[row["restart"]][row["centre"], row["pos"]] = row["s"]
+            yield pa.record_batch([pa.array([batch_matrix(b.column("_v"), width)[0].tobytes()], pa.binary())], ["x"])
+
+    return data.select("_v").mapInArrow(run, "x binary").rdd.map(lambda r: np.frombuffer(r["x"]).reshape(-1, width))
+
+
+def added(blocks: RDD, run):
+    """The sum of ``run``'s arrays over all blocks, added up in a tree."""
+    return blocks.mapPartitions(lambda xs: [sum(map(run, xs), 0)]).treeReduce(lambda a, b: a + b)
+
+
+def scan(blocks: RDD, width: int, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """One pass for all restarts: per restart the sums and counts of its centres' rows, and its cost."""
+    model = blocks.context.broadcast(centres)
+
+    def run(x):
+        out = []
+        for c in model.value.values():
+            at, d = nearest(x, c)
+            out.append(np.array([np.bincount(at, v, len(c)) for v in (*x.T, np.ones(len(x)), d)]).T)
+        return np.concatenate(out)
+
+    total = added(blocks, run) + np.zeros((sum(map(len, centres.values())), width + 2))
+    out = dict(zip(centres, np.split(total, np.cumsum([len(c) for c in centres.values()])[:-1])))
     return {r: (t[:, :width], t[:, width], float(t[:, width + 1].sum())) for r, t in out.items()}
 
 
@@ -170,25 +184,28 @@ def kmeans_restarts(df: DataFrame, key: str, vec: str, k: int = 10, seed: int =
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    data = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("_k"), as_double_array(vec).alias("_v"), hash_uniform(key, seed).alias("_u")).persist()
+    data = kept = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("_k"), as_double_array(vec).alias("_v"), hash_uniform(key, seed).alias("_u")).persist()
     try:
-        width = data.agg(F.max(F.size("_v"))).head()[0]
+        width, n_rows = data.agg(F.max(F.size("_v")), F.count(F.lit(1))).head()
         if width is None:
             raise ValueError(f"no vectors in column {vec!r}")
+        # every scan starts a task per partition: as many as the cores or the numbers ask for
+        data = data.coalesce(max(spark.sparkContext.defaultParallelism, -(-n_rows * width // TASK_CELLS)))
+        blocks = numbers(data, width).persist()
         first = data.where(F.size("_v") == width).agg(*(F.min_by("_v", hash_hex("_k", seed + 1000 + r)).alias(f"r{r}") for r in range(n_init))).head()
         candidates = {r: np.array([first[r]], np.float64) for r in range(n_init)}
         scans = 1
         for turn in range(rounds):
-            costs = {r: found[2] for r, found in scan(data, width, candidates).items()}
+            costs = {r: found[2] for r, found in scan(blocks, width, candidates).items()}
             new = drawn(data, width, candidates, costs, 2.0 * k, seed, turn)
             candidates = {r: np.unique(np.concatenate((c, new[r])), axis=0) for r, c in candidates.items()}
             scans += 2
-        weights = {r: found[1] for r, found in scan(data, width, candidates).items()}
+        weights = {r: found[1] for r, found in scan(blocks, width, candidates).items()}
         scans += 1
         centres = {r: weighted_start(candidates[r], weights[r], k, seed + r) for r in range(n_init)}
         costs, steps, moving = np.zeros(n_init), np.zeros(n_init, int), set(range(n_init))
         for _ in range(max_iter):
-            found = scan(data, width, {r: centres[r] for r in moving})
+            found = scan(blocks, width, {r: centres[r] for r in moving})
             scans += 1
             for r in sorted(moving):
                 sums, n, cost = found[r]
@@ -200,11 +217,12 @@ def kmeans_restarts(df: DataFrame, key: str, vec: str, k: int = 10, seed: int =
             if not moving:
                 break
         # the cost of the centres as they are now
-        for r, (_, _, cost) in scan(data, width, centres).items():
+        for r, (_, _, cost) in scan(blocks, width, centres).items():
             costs[r] = cost
         scans += 1
+        blocks.unpersist()
     finally:
-        data.unpersist()
+        kept.unpersist()
     most = max(len(c) for c in centres.values())
     out = np.full((n_init, most, width), np.nan)
     for r, c in centres.items():
@@ -221,6 +239,9 @@ def centres_table(spark, found: Restarts) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Laplacian eigenmaps
+LINKS = 500_000  # links of a block
+
+
 def graph_edges(df: DataFrame, key: str, vec: str, k: int = 15, seed: int = 42, exact: bool = False) -> DataFrame:
     """``src, dst, w`` of the symmetric neighbour graph: a link if either row has the other among its ``k`` nearest.
 
@@ -235,33 +256,60 @@ def graph_edges(df: DataFrame, key: str, vec: str, k: int = 15, seed: int = 42,
     return ends.select("src", "dst", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w"))
 
 
-def gram(rows: DataFrame, column: str, width: int) -> np.ndarray:
-    """The column's transpose times itself: partial products of each task, added up."""
-    def run(batches):
-        total = np.zeros((width, width))
-        for b in batches:
-            x, _ = batch_matrix(b.column(column), width)
-            total += x.T @ x
-        i, j = np.nonzero(total)
-        yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
-
-    out = np.zeros((width, width))
-    for r in rows.select(column).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
-        out[r["i"], r["j"]] = r["s"]
-    return out
-
+def linked(rows: DataFrame, edges: DataFrame, parts: int) -> tuple[DataFrame, RDD]:
+    """The rows' places ``src, block, pos, ...`` in ``parts`` blocks, and each block's number, links and first columns ``t``.
 
-def combined(rows: DataFrame, column: str, by: np.ndarray, out: str) -> DataFrame:
-    """``src, out``: the column's rows times a small matrix, in a narrow map."""
-    model = rows.sparkSession.sparkContext.broadcast(by)
-    kind = rows.schema["src"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            x, _ = batch_matrix(b.column(column), len(model.value))
-            yield pa.record_batch([b.column("src"), pa.array(list(x @ model.value), pa.list_(pa.float64()))], ["src", out])
-
-    return rows.select("src", column).mapInArrow(run, f"src {kind}, {out} array<double>")
+    The links of a block, ``(at, w, starts, to, pos)``: rows ``at`` of the block times ``w``,
+    added up over stretches that begin at ``starts``, go to the rows ``pos`` of block ``c``
+    for each ``(c, from, to)`` of ``to``.
+    """
+    place = rows.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
+    place = place.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy("src")) - 1).checkpoint(eager=True)
+    ends = edges.join(place.select("src", F.col("block").alias("home"), F.col("pos").alias("at")), "src") \
+                .join(place.select(F.col("src").alias("dst"), F.col("block").alias("to"), "pos"), "dst")
+
+    def build(own: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        first = np.stack(own.sort_values("pos")["t"].to_numpy())
+        at, to, pos, w = (out[c].to_numpy() for c in ("at", "to", "pos", "w"))
+        order = np.lexsort((pos, to))
+        at, to, pos, w = at[order], to[order], pos[order], w[order]
+        starts = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1]) | (to[1:] != to[:-1]))))
+        to, pos = to[starts], pos[starts]
+        new = np.concatenate((np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), [len(to)]))
+        links = at, w, starts, [(int(to[i]), int(i), int(j)) for i, j in zip(new[:-1], new[1:])], pos
+        return pd.DataFrame({"block": own["block"].iloc[:1], "state": [pickle.dumps((links, first))]})
+
+    found = place.select("block", "pos", "t").groupBy("block").cogroup(ends.select("home", "at", "to", "pos", "w").groupBy("home")).applyInPandas(build, "block int, state binary")
+    return place, found.rdd.map(lambda r: (r["block"], pickle.loads(r["state"])))
+
+
+def sent(m: int):
+    """A block to itself, and its part of the product with its last ``m`` columns to the blocks that it has links to."""
+    def run(item):
+        block, (links, t) = item
+        at, w, starts, to, pos = links
+        sums = np.add.reduceat(w[:, None] * t[at, -m:], starts, axis=0)
+        yield block, (links, t)
+        for c, i, j in to:
+            yield c, (pos[i:j], sums[i:j])
+    return run
+
+
+def received(m: int):
+    """Blocks with ``m`` more columns: the next Chebyshev polynomial of the matrix times the first ones."""
+    def run(items):
+        states, parts = {}, {}
+        for block, (a, b) in items:
+            if isinstance(a, tuple):
+                states[block] = a, b
+            else:
+                parts.setdefault(block, []).append((a, b))
+        for block, (links, t) in states.items():
+            total = np.zeros((len(t), m))
+            for pos, sums in parts[block]:
+                total[pos] += sums
+            yield block, (links, np.hstack((t, total if t.shape[1] == m else 2 * total - t[:, -2 * m:-m])))
+    return run
 
 
 def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, seed: int = 42, max_rounds: int = 12, steps: int = 8, tol: float = 1e-4,
@@ -270,17 +318,21 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
 
     The coordinates are the eigenvectors of the normalised Laplacian after the
     constant one.  A round takes ``dims + 4`` columns, multiplies them ``steps + 1``
-    times by the graph's matrix in Chebyshev polynomials (a join and an aggregate of
-    a thin table each) and keeps the best combinations of all columns that arose
-    (Rayleigh-Ritz); only products of columns come to the driver.  Coordinates are
+    times by the graph's matrix in Chebyshev polynomials and keeps the best
+    combinations of all columns that arose (Rayleigh-Ritz); only products of columns
+    come to the driver.  Rows and links are dealt into blocks, arrays of a task each:
+    a product is one exchange of the sums that blocks owe each other, and the products
+    of a round are one job.  Coordinates are
     divided by the square root of the degree; of each, the row with the largest
     entry is positive.  Rows without a neighbour are left out.
     """
     ensure_checkpoint_dir(df.sparkSession)
     edges = graph_edges(df, key, vec, k, seed, exact).checkpoint(eager=True)
     m = dims + 4
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    y = degree.select("src", F.array(*(hash_uniform("src", seed + j) - 0.5 for j in range(m))).alias("t"))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // LINKS))
+    place, y = linked(degree.withColumn("t", F.array(*(hash_uniform("src", seed + j) - 0.5 for j in range(m)))), edges, parts)
+    y = y.partitionBy(parts, int)
     whole = m * (steps + 2)
     # the matrix times all columns but the last block, in terms of the columns: A T0 = T1, A Tj = (Tj+1 + Tj-1) / 2
     shift = np.zeros((whole, whole - m))
@@ -290,15 +342,14 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
                 shift[m + c, c] = 1
             else:
                 shift[m * (j + 1) + c, m * j + c] = shift[m * (j - 1) + c, m * j + c] = 0.5
-    values, residual = np.zeros(m), np.inf
+    values, residual, last = np.zeros(m), np.inf, None
     for _ in range(max_rounds):
-        table = y.checkpoint(eager=True)
-        for j in range(steps + 1):
-            last = [F.col("t")[m * j + c].alias(f"y{c}") for c in range(m)]
-            sums = edges.join(table.select(F.col("src").alias("dst"), *last), "dst").groupBy("src").agg(*(F.sum(F.col("w") * F.col(f"y{c}")).alias(f"y{c}") for c in range(m)))
-            new = F.array(*(F.col(f"y{c}") if j == 0 else 2 * F.col(f"y{c}") - F.col("t")[m * (j - 1) + c] for c in range(m)))
-            table = table.join(sums, "src").select("src", F.concat("t", new).alias("t")).checkpoint(eager=True)
-        g = gram(table, "t", whole)
+        table = y
+        for _ in range(steps + 1):
+            table = table.flatMap(sent(m)).partitionBy(parts, int).mapPartitions(received(m), preservesPartitioning=True)
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        table.checkpoint()
+        g = added(table, lambda item: item[1][1].T @ item[1][1])
         inner = whole - m
         basis, vectors = np.linalg.eigh(g[:inner, :inner])
         good = basis > basis.max() * 1e-12
@@ -311,10 +362,19 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
         ay = shift @ by
         square = np.einsum("ij,ik,kj->j", ay, g, ay) - values ** 2
         residual = float(np.sqrt(np.maximum(square[: dims + 1], 0)).max())
-        y = combined(table, "t", np.vstack((by, np.zeros((m, by.shape[1])))), "t").checkpoint(eager=True)
+        mix = np.zeros((whole, m))
+        mix[:inner, :by.shape[1]] = by
+        y = table.mapValues(lambda state, mix=mix: (state[0], state[1] @ mix))
+        held, last = last, table
+        if held is not None:
+            held.unpersist()
         if residual < tol:
             break
+    rows = y.flatMap(lambda item: ((item[0], pos, t) for pos, t in enumerate(item[1][1].tolist())))
+    y = df.sparkSession.createDataFrame(rows, "block int, pos int, t array<double>").join(place.select("block", "pos", "src", "n"), ["block", "pos"]).checkpoint(eager=True)
+    if last is not None:
+        last.unpersist()
     kept = [F.col("t")[j + 1] for j in range(dims)]
     signs = y.agg(*(F.max_by(F.signum(c), F.struct(F.round(F.abs(c), 9), hash_hex("src", seed))) for c in kept)).head()
-    scaled = y.join(degree, "src").select(F.col("src").alias(key), F.array(*(c * float(s or 1.0) / F.sqrt("n") for c, s in zip(kept, signs))).alias(out))
+    scaled = y.select(F.col("src").alias(key), F.array(*(c * float(s or 1.0) / F.sqrt("n") for c, s in zip(kept, signs))).alias(out))
     return scaled, values[: dims + 1], residual

@@ -89,3 +89,45 @@ def test_eigenmaps_against_a_dense_solver(spark):
     for j in range(3):
         assert np.linalg.norm(a @ y[:, j] - values[j + 1] * y[:, j]) < 2e-2
         assert np.linalg.norm(y[:, j]) == pytest.approx(1, abs=1e-3)
+
+
+def test_a_product_is_one_exchange_between_blocks(spark):
+    """Chebyshev columns of three blocks against the dense matrix; string keys, one row with very many links."""
+    rng = np.random.default_rng(8)
+    a = np.triu(rng.random((40, 40)) < 0.1, 1)
+    a[0, 1:] = True
+    a = (a | a.T) * rng.random((40, 40))
+    a = (a + a.T) / 2
+    t = rng.normal(size=(40, 2))
+    edges = spark.createDataFrame([(f"k{i:02}", f"k{j:02}", float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src string, dst string, w double")
+    rows = spark.createDataFrame([(f"k{i:02}", [float(v) for v in t[i]]) for i in range(40)], "src string, t array<double>")
+    cluster.ensure_checkpoint_dir(spark)
+    place, state = cluster.linked(rows, edges, 3)
+    for _ in range(3):
+        state = state.flatMap(cluster.sent(2)).partitionBy(3, int).mapPartitions(cluster.received(2), preservesPartitioning=True)
+    found = dict(state.mapValues(lambda s: s[1]).collect())
+    want = [t, a @ t]
+    want += [2 * a @ want[1] - want[0]]
+    want += [2 * a @ want[2] - want[1]]
+    for r in place.collect():
+        assert np.allclose(found[r.block][r.pos], np.hstack(want)[int(r.src[1:])])
+    assert state.toDebugString().decode().count("PairwiseRDD") == 3
+    assert np.allclose(cluster.added(state, lambda s: s[1][1].T @ s[1][1]), np.hstack(want).T @ np.hstack(want))
+
+
+def test_a_scan_of_kmeans_is_one_stage(spark):
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    data = frame(spark, x).select("id", "v").repartition(5).selectExpr("v AS _v").persist()
+    blocks = cluster.numbers(data, 3)
+    centres = {0: x[:2], 4: x[5:8]}
+    sc = spark.sparkContext
+    sc.setJobGroup("scan", "one scan")
+    found = cluster.scan(blocks, 3, centres)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("scan")]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(len(j.stageIds) for j in jobs) <= 3  # the cached rows, and a tree of sums
+    for r, c in centres.items():
+        at, d = cluster.nearest(x, c)
+        sums, n, cost = found[r]
+        assert np.allclose(sums, [x[at == k].sum(axis=0) for k in range(len(c))]) and (n == np.bincount(at, minlength=len(c))).all() and cost == pytest.approx(d.sum())
+    data.unpersist()
