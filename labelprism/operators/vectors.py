@@ -187,7 +187,7 @@ def assign_clusters(df: DataFrame, vec: str, centers: DataFrame, cid: str, cvec:
 
 # ------------------------------------------------------------------ kNN
 BLOCK_ROWS, BLOCK_CELLS = 32_768, 4_000_000   # a block of the exact search: rows, numbers (32 MB)
-TILE = 256, 1024                              # rows and candidates of one matrix product
+TILE = 512, 2048                              # rows and candidates of one matrix product
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     """V05 (exact): the ``k`` nearest rows of every row by squared Euclidean
     distance, ``(key, nbr, dist, rank)``, ties by neighbour key.
 
-    Rows are hashed into blocks of about ``block_rows`` (by default a quarter of
+    Rows are hashed into blocks of about ``block_rows`` (by default an eighth of
     the rows, but 4096 to ``BLOCK_ROWS`` and at most ``BLOCK_CELLS`` numbers);
     every (query block, candidate block) pair — within ``partition`` if given
     (SMOTE stays inside a class) — is one group, searched by matrix products in
@@ -320,7 +320,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
     base = (df.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
               .select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag))
     n = F.count(F.lit(1))
-    rows = F.lit(block_rows) if block_rows else F.least(F.greatest(n / 4, F.lit(4096)), F.lit(BLOCK_ROWS), F.ceil(BLOCK_CELLS / F.greatest(F.max(F.size("_v")), F.lit(1))))
+    rows = F.lit(block_rows) if block_rows else F.least(F.greatest(n / 8, F.lit(4096)), F.lit(BLOCK_ROWS), F.ceil(BLOCK_CELLS / F.greatest(F.max(F.size("_v")), F.lit(1))))
     blocks = F.ceil(n / rows).cast("int").alias("_nb")
     if pcols:
         # blocks per partition, from its size (a null partition is one too)
