@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from labelprism.functions.columns import argmax
 from labelprism.functions.lexicon import lemma_table, stopword_table
 from labelprism.operators import assoc, clean, lda, text, topics
-from labelprism.session import ensure_checkpoint_dir
+from labelprism.session import ensure_checkpoint_dir, settled, written
 
 
 def prepare_tokens(docs: DataFrame, key: str, text_col: str, label: str,
@@ -38,11 +38,12 @@ def run(docs: DataFrame, key: str = "doc_id", text_col: str = "Sentence", label:
     ensure_checkpoint_dir(spark)
     toks = prepare_tokens(docs, key, text_col, label).persist()
     vocab = text.vocabulary(toks, key, "tokens", min_df, max_df)
-    bow = text.bag_of_words(toks, key, "tokens").join(vocab.select("term"), "term", "left_semi").select(key, "term", "tf").checkpoint(eager=True)
+    # in columns, a term's number for the term: a fraction of the size that the rows have in a checkpoint
+    bow = written(text.bag_of_words(toks, key, "tokens").join(vocab.select("term"), "term", "left_semi").select(key, "term", "tf"))
     model = lda.fit_many(bow, key, [k], seed, max_iter)
-    tt = lda.term_weights(model).select("topic", "term", "weight").checkpoint(eager=True)
+    tt = settled(lda.term_weights(model).select("topic", "term", "weight"))
     # a document without a word of the vocabulary has no share of any topic
-    theta = lda.document_topics(model).select(F.col("key").alias(key), "theta").checkpoint(eager=True)
+    theta = settled(lda.document_topics(model).select(F.col("key").alias(key), "theta"))
     assigned = (toks.select(key, label).join(theta, key, "left")
                 .withColumn("theta", F.coalesce("theta", F.array_repeat(F.lit(0.0), k))).withColumn("dominant_topic", argmax("theta")))
     doc_len = bow.groupBy(key).agg(F.sum("tf").alias("n"))

@@ -1,6 +1,7 @@
 """LDA in shared passes: parts against plain versions, models against models fitted alone and spark.ml."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -113,3 +114,49 @@ def test_fewer_topics_make_larger_batches(spark):
     bow = spark.range(60_000).select((F.col("id") % 3000).alias("id"), F.concat(F.lit("t"), F.floor(F.col("id") / 3000).cast("string")).alias("term"), F.lit(1).alias("tf"))
     few, many = (lda.prepare(bow, "id", ks, 1, pairs, 4096).batches.count() for ks, pairs in (([2], None), ([2], 2000)))
     assert few <= 2 * spark.sparkContext.defaultParallelism < 20 < many
+
+
+def files_of_shuffles(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    every = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in every if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_a_fit_leaves_no_files_and_its_documents_stay_where_they_are(spark):
+    """The files of a pass go with it, and what a pass exchanges does not grow with the pairs of a term."""
+    bow = spark.range(20_000).select((F.col("id") % 500).alias("id"), F.concat(F.lit("t"), F.floor(F.col("id") / 500).cast("string")).alias("term"), F.lit(1).alias("tf")).checkpoint()
+    before = files_of_shuffles(spark)
+    model = lda.fit_many(bow, "id", [2, 3], max_iter=3)
+    for _ in range(50):     # the files of SQL shuffles are removed in the background
+        left = sum(n for f, n in files_of_shuffles(spark).items() if f not in before)
+        if left > 1000:
+            time.sleep(0.2)
+    assert left <= 1000     # two counts, of a row each
+    corpus = model.corpus
+    for kept, others in ((corpus.packed, (corpus.asked,)), (corpus.wanted, (corpus.terms,))):
+        assert all(kept.union(o).getNumPartitions() == kept.getNumPartitions() for o in others)
+    assert corpus.pass_bytes == 16 * sum(len(r.terms) for r in corpus.batches.collect())
+
+
+def test_groups_of_models_change_nothing(spark, monkeypatch):
+    """Models that would exchange too much together take their passes one group after the other."""
+    rows = [(d, f"t{(d * 7 + j * j) % 23}", 1 + (d + j) % 3) for d in range(40) for j in range(6)]
+    bow = spark.createDataFrame(rows, "id long, term string, tf int")
+    both = weights(lda.fit_many(bow, "id", [2, 3, 4], max_iter=3))
+    monkeypatch.setattr(lda, "PASS_BYTES", 1)
+    monkeypatch.setattr(lda, "PAIR_BYTES", 0)
+    model = lda.fit_many(bow, "id", [2, 3, 4], max_iter=3)
+    assert lda.groups_of([2, 3, 4], model.corpus) == [(0, 1), (1, 2), (2, 3)]
+    apart = weights(model)
+    assert both.keys() == apart.keys() and all(abs(both[x] - apart[x]) < 1e-9 for x in both)
+
+
+def test_packed_batches_do_not_depend_on_how_their_parts_came():
+    import pyarrow as pa
+    rows = pa.record_batch([pa.array([0] * 6, pa.int32()), pa.array(["b", "a", "b", "a", "c", "b"]), pa.array(["y", "x", "z", "é", "x", "y"]), pa.array([1, 2, 3, 4, 5, 0.1])], ["batch", "key", "term", "tf"])
+    parts = [p.column("part")[0].as_py() for b in (rows.slice(0, 2), rows.slice(2, 3), rows.slice(5)) for p in lda.small_parts([b])]
+    one, other = lda.pack(parts), lda.pack(parts[::-1])
+    assert one == other and one[1:] == (["a", "b", "c"], ["x", "y", "z", "é"])
+    lengths, term, tf = lda.unpack(one[0])
+    assert lengths.tolist() == [2, 3, 1] and term.tolist() == [0, 3, 1, 1, 2, 0] and tf.tolist() == [2, 4, 0.1, 1, 3, 5]
