@@ -15,13 +15,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 from pyspark.ml.functions import array_to_vector
 
 from labelprism.operators.ordinal import join_null_safe
 from labelprism.functions.columns import argmax, as_double_array, l2_norm
+from labelprism.session import settled
 
 __all__ = ["vector_width", "to_vector", "l2_normalise", "collect_matrix", "batch_matrix",
            "semantic_topk", "rule_score", "knn", "dominant", "centroids", "centroids_long",
@@ -275,7 +277,6 @@ def _block_knn(k: int, exclude_self: bool):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["_role"] == 0]
         c = pdf[pdf["_role"] == 1].sort_values("_key", kind="stable")  # so that ties go to the lower key
-        cols = ["_key", "_nbr", "_d"] + (["_part"] if "_part" in pdf.columns else [])
         qk, ck = q["_key"].to_numpy(), c["_key"].to_numpy()
         a = b = np.zeros(0, np.int64)
         d = np.zeros(0)
@@ -292,41 +293,147 @@ def _block_knn(k: int, exclude_self: bool):
             a, b, d = nearest_rows(qx[q_at], cx[c_at], k, own)
             a, b = q_at[a], c_at[b]
         found = pd.DataFrame({"_key": qk[a], "_nbr": ck[b], "_d": d})
-        if "_part" in pdf.columns:
-            found["_part"] = pdf["_part"].iloc[0]
-        return found[cols]
+        found["_part"] = pdf["_part"].iloc[0]
+        return found
     return fn
 
 
+QUERY_ROWS = 4096   # rows that one task of the exact search asks for
+
+
+def packed_blocks(rows: DataFrame, n: int) -> RDD:
+    """``(block, data)``: the rows ``_key, _v`` dealt by key into ``n`` blocks, each one Arrow table sorted by key, written."""
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            block = np.asarray(b.column("_blk"))
+            for i in np.unique(block):
+                held.setdefault(int(i), []).append(b.filter(pa.array(block == i)).select(["_key", "_v"]))
+        for i in sorted(held):
+            table = pa.Table.from_batches(held.pop(i)).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_blk", "data"])
+
+    dealt = rows.select(F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int").alias("_blk"), "_key", "_v").repartition(n, "_blk").sortWithinPartitions("_blk", "_key")
+    return settled(dealt.mapInArrow(run, "_blk int, data binary")).rdd.map(tuple)
+
+
+def unpacked(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of a block, without the rows whose vector is not finite."""
+    rows = pa.ipc.open_stream(bytes(data)).read_all().combine_chunks()
+    column = rows["_v"].chunk(0)
+    x, at = batch_matrix(column, len(column[0]))
+    if len(at) < len(column):
+        raise ValueError("vectors have unequal widths")
+    finite = np.flatnonzero(np.isfinite(x).all(axis=1))
+    return rows["_key"].chunk(0).take(pa.array(finite)), x[finite]
+
+
+def _search(k: int, exclude_self: bool, n_blocks: int):
+    """Pairs of a block of rows that ask and a block of candidates to each row's ``k`` nearest so far and what ties with them."""
+    def run(items):
+        name, held = None, None
+
+        def found():
+            if held is None or not len(held[2]):
+                return
+            keys, i, j, d = held
+            sink = pa.BufferOutputStream()
+            table = pa.table([keys.take(pa.array(i)), j, pa.array(d)], ["_key", "_nbr", "_d"])
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield (sink.getvalue().to_pybytes(),)
+
+        for (asked, queries), (block, candidates) in items:
+            if asked != name:
+                yield from found()
+                name = asked
+                q_keys, x = unpacked(queries)
+                held = q_keys, np.zeros(0, np.int64), q_keys.slice(0, 0), np.zeros(0)
+            c_keys, y = unpacked(candidates)
+            if not (len(x) and len(y) and x.shape[1]):
+                continue
+            if x.shape[1] != y.shape[1]:
+                raise ValueError("vectors have unequal widths")
+            codes = pa.chunked_array([c_keys, q_keys]).dictionary_encode().unify_dictionaries()
+            names = np.concatenate([np.asarray(c.indices) for c in codes.chunks])
+            some = first_copies(y, names[:len(y)], k)
+            # a key has one block, so only blocks of the same hash hold rows of the same key
+            own = (names[len(y):], names[:len(y)][some]) if exclude_self and asked % n_blocks == block else None
+            a, b, d = nearest_rows(x, y[some], k, own)
+            i, j, d = np.concatenate((held[1], a)), pa.concat_arrays([held[2], c_keys.take(pa.array(some[b]))]), np.concatenate((held[3], d))
+            order = np.lexsort((d, i))
+            rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+            far = np.full(len(x), np.inf)
+            far[i[order][rank == k - 1]] = d[order][rank == k - 1]
+            near = np.flatnonzero(d <= far[i])
+            held = q_keys, i[near], j.take(pa.array(near)), d[near]
+        yield from found()
+    return run
+
+
+def _knn_blocks(base: DataFrame, k: int, block_rows: int | None, exclude_self: bool, kinds: str) -> DataFrame:
+    """``_key, _nbr, _d``: every row's nearest rows of all blocks.  A vector is written once, and once more if it asks."""
+    spark = base.sparkSession
+    n, asking, width = base.agg(F.count(F.lit(1)), F.count_if("_q"), F.max(F.size("_v"))).head()
+    rows = block_rows or min(max(-(-n // 8), 4096), BLOCK_ROWS, -(-BLOCK_CELLS // max(width or 1, 1)))
+    n_blocks = max(1, -(-n // rows))
+    # blocks that ask are smaller, so that there are tasks for all cores; a multiple, so that equal keys are in blocks of equal remainders
+    most = min(QUERY_ROWS, -(-asking // (2 * spark.sparkContext.defaultParallelism)) or 1)
+    n_asking = n_blocks * max(1, -(-asking // (n_blocks * max(most, 256))))
+    candidates, queries = packed_blocks(base, n_blocks), packed_blocks(base.where("_q"), n_asking)
+    parts = queries.getNumPartitions()
+    # the blocks that meet are read where they are written; all that a block of rows asks is one task
+    found = queries.cartesian(candidates).coalesce(parts).mapPartitions(_search(k, exclude_self, n_blocks))
+
+    def rows_of(batches):
+        for b in batches:
+            for data in b.column("x").to_pylist():
+                yield from pa.ipc.open_stream(data)
+
+    return spark.createDataFrame(found, "x binary", verifySchema=False).mapInArrow(rows_of, kinds)
+
+
 def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = None,
-        block_rows: int = 1024, exclude_self: bool = True, query_flag: str | None = None) -> DataFrame:
+        block_rows: int | None = None, exclude_self: bool = True, query_flag: str | None = None) -> DataFrame:
     """V05 (exact): the ``k`` nearest rows of every row by squared Euclidean
     distance, ``(key, nbr, dist, rank)``, ties by neighbour key.
 
     Rows are hashed into blocks of about ``block_rows`` (by default an eighth of
-    the rows, but 4096 to ``BLOCK_ROWS`` and at most ``BLOCK_CELLS`` numbers);
-    every (query block, candidate block) pair — within ``partition`` if given
-    (SMOTE stays inside a class) — is one group, searched by matrix products in
-    tiles (:func:`nearest_rows`), and only each query's best k per block leave the
-    task.  The final top-k per row is a partial window limit.  Work is quadratic
-    in rows (exact search is), and a vector travels twice per block; memory per
-    task is bounded by the block.  With ``query_flag`` only rows where that
-    boolean column is true are searched for (every row is still a candidate).
+    the rows, but 4096 to ``BLOCK_ROWS`` and at most ``BLOCK_CELLS`` numbers),
+    which are searched by matrix products in tiles (:func:`nearest_rows`).
+    Without ``partition`` the blocks are written once, in the vectors' own type, and
+    a task reads one after the other for its rows (``QUERY_ROWS`` at most), so
+    vectors are not exchanged and the results are those of all blocks already.
+    With ``partition`` (SMOTE stays inside a class) every pair of blocks of a
+    partition is one group; a vector travels twice per block, and only each
+    query's best k per block leave the task.  The final top-k per row is a partial
+    window limit.  Work is quadratic in rows (exact search is); memory per task is
+    bounded by the block.  With ``query_flag`` only rows where that boolean
+    column is true are searched for (every row is still a candidate).
     Rows with a null key or a null vector take no part (they cannot be named
     or placed).
     """
-    pcols = [partition] if partition else []
     flag = [F.col(query_flag).alias("_q")] if query_flag else [F.lit(True).alias("_q")]
+    key_type = df.schema[key].dataType.simpleString()
+    if not partition:
+        # float vectors stay half as large; a task widens them as the column would be
+        kind = df.schema[vec].dataType
+        own = F.col(vec) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else as_double_array(vec)
+        base = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("_key"), own.alias("_v"), *flag)
+        w = Window.partitionBy("_key").orderBy(F.col("_d").asc(), F.col("_nbr").asc())
+        near = _knn_blocks(base, k, block_rows, exclude_self, f"_key {key_type}, _nbr {key_type}, _d double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return near.select(F.col("_key").alias(key), F.col("_nbr").alias("nbr"), F.col("_d").alias("dist"), "rank")
+    pcols = [partition]
     base = (df.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
               .select(*pcols, F.col(key).alias("_key"), as_double_array(vec).alias("_v"), *flag))
     n = F.count(F.lit(1))
     rows = F.lit(block_rows) if block_rows else F.least(F.greatest(n / 8, F.lit(4096)), F.lit(BLOCK_ROWS), F.ceil(BLOCK_CELLS / F.greatest(F.max(F.size("_v")), F.lit(1))))
     blocks = F.ceil(n / rows).cast("int").alias("_nb")
-    if pcols:
-        # blocks per partition, from its size (a null partition is one too)
-        sized = join_null_safe(base, base.groupBy(partition).agg(blocks), [partition])
-    else:
-        sized = base.withColumn("_nb", F.lit(max(1, base.agg(blocks).head()[0] or 0)))
+    # blocks per partition, from its size (a null partition is one too)
+    sized = join_null_safe(base, base.groupBy(partition).agg(blocks), [partition])
     blk = F.pmod(F.xxhash64("_key"), F.col("_nb")).cast("int")
     sized = sized.withColumn("_blk", blk)
     others = F.sequence(F.lit(0), F.col("_nb") - 1)
@@ -334,16 +441,9 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 5, partition: str | None = N
                                               F.explode(others).alias("_j"), F.lit(0).alias("_role"))
     cands = sized.select(*pcols, "_key", "_v", F.explode(others).alias("_i"), F.col("_blk").alias("_j"),
                          F.lit(1).alias("_role"))
-    both = queries.unionByName(cands)
-    if partition:
-        both = both.withColumnRenamed(partition, "_part")
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"_key {key_type}, _nbr {key_type}, _d double" + (
-        f", _part {df.schema[partition].dataType.simpleString()}" if partition else "")
-    grp = ["_part", "_i", "_j"] if partition else ["_i", "_j"]
-    pairs = both.groupBy(*grp).applyInPandas(_block_knn(k, exclude_self), schema)
-    if partition:
-        pairs = pairs.withColumnRenamed("_part", partition)
+    both = queries.unionByName(cands).withColumnRenamed(partition, "_part")
+    schema = f"_key {key_type}, _nbr {key_type}, _d double, _part {df.schema[partition].dataType.simpleString()}"
+    pairs = both.groupBy("_part", "_i", "_j").applyInPandas(_block_knn(k, exclude_self), schema).withColumnRenamed("_part", partition)
     w = Window.partitionBy(*pcols, "_key").orderBy(F.col("_d").asc(), F.col("_nbr").asc())
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                  .select(*pcols, F.col("_key").alias(key), F.col("_nbr").alias("nbr"),

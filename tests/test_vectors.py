@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelprism.operators import vectors
 
@@ -105,3 +106,32 @@ def test_knn_leaves_out_numbers_that_are_not_finite(spark):
     df = spark.createDataFrame([(1, [big, 0.0]), (2, [big, 1.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, [big, 3.0])], "id long, v array<double>")
     got = {(r.id, r.nbr, r.dist) for r in vectors.knn(df, "id", "v", k=1).collect()}
     assert got == {(1, 2, 1.0), (2, 1, 1.0), (5, 2, 4.0)}
+
+
+def test_exact_search_exchanges_no_vectors(spark):
+    """However many blocks there are, a vector is written once or twice, not once per block."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:04d}" if i % 300 else "twin", [float(v) for v in rng.normal(0, 1, 16)]) for i in range(1500)] + [(None, [0.0] * 16), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, v array<float>").checkpoint()
+    files = lambda: {f.getName(): f.length() for n in [spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()] for f in map(n.apply, range(n.size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = vectors.knn(df, "id", "v", k=3, block_rows=150).collect()
+    written = sum(n for name, n in files().items() if name not in before)
+    assert written < 4 * 1500 * 16 * 4    # ten blocks on both sides were twenty times the vectors, as doubles
+    keys, x = [r[0] for r in rows[:1500]], np.array([r[1] for r in rows[:1500]], np.float32).astype(float)
+    found = {}
+    for r in got:
+        found.setdefault(r.id, {})[r["rank"]] = (r.nbr, r.dist)
+    for i in range(1, 1500, 97):
+        d = sorted((((x[i] - x[j]) ** 2).sum(), keys[j]) for j in range(1500) if keys[j] != keys[i])[:3]
+        assert [found[keys[i]][n + 1][0] for n in range(3)] == [k for _, k in d]
+        assert np.allclose([found[keys[i]][n + 1][1] for n in range(3)], [v for v, _ in d])
+    assert len(got) == 3 * len(set(keys)) and all(r.nbr != r.id for r in got)
+
+
+def test_exact_search_has_large_blocks_unless_told(spark, monkeypatch):
+    seen = []
+    real = vectors.packed_blocks
+    monkeypatch.setattr(vectors, "packed_blocks", lambda rows, n: seen.append(n) or real(rows, n))
+    df = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    assert vectors.knn(df, "id", "v", k=2).count() == 6000 and seen[0] == 1
