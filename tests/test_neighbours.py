@@ -78,3 +78,19 @@ def test_smote_with_approximate_neighbours(spark, within):
     df = spark.createDataFrame(rows, "id long, v array<double>, label string, fold int")
     a, b = (sorted(map(str, classify.smote(df, "label", "v", "id", k=3, within=within, approximate=x).collect())) for x in (False, True))
     assert a == b and len(a) > 80
+
+
+def test_trees_and_exchange_in_parts_change_nothing(spark, monkeypatch):
+    """One tree at a time and the exchange in five slices, from float vectors: the same links, and fewer bytes at once."""
+    rng = np.random.default_rng(6)
+    df = frame(spark, rng.normal(0, 1, (200, 3))).select("id", F.col("v").cast("array<float>").alias("v"), (F.col("id") % 2).alias("half")).checkpoint()
+    monkeypatch.setattr(neighbours, "LIST", 4)
+    run = lambda: sorted(map(str, neighbours.knn_approximate(df, "id", "v", k=2, partition="half", trees=3, leaf=12).collect()))
+    whole, calls, slices = run(), [], []
+    groups, exchange = neighbours.forest_groups, neighbours.exchange
+    monkeypatch.setattr(neighbours, "forest_groups", lambda base, trees, *a: calls.append((trees, a[-1], base.schema["v"].dataType.simpleString())) or groups(base, trees, *a))
+    monkeypatch.setattr(neighbours, "exchange", lambda *a: slices.append(a[-2:]) or exchange(*a))
+    monkeypatch.setattr(neighbours, "TRAVEL_BYTES", 4000)
+    assert run() == whole and len(whole) == 400
+    assert calls == [(1, t, "array<float>") for t in range(3)]
+    assert slices == [(5, n) for n in range(5)]
