@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from labelprism.functions.columns import as_double_array, hash_hex, hash_uniform
 from labelprism.operators.neighbours import knn_approximate
 from labelprism.operators.vectors import batch_matrix, to_vector
-from labelprism.session import ensure_checkpoint_dir
+from labelprism.session import ensure_checkpoint_dir, forget, kept, release_shuffles, settled
 
 __all__ = ["fit_reducer", "reduce", "eigenmaps", "graph_edges", "fit_kmeans", "cluster", "kmeans_restarts", "Restarts"]
 
@@ -239,7 +239,8 @@ def centres_table(spark, found: Restarts) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Laplacian eigenmaps
-LINKS = 500_000  # links of a block
+LINKS = 1_000_000  # links of a block
+ROUND_BYTES = 512 << 20  # that the products of a round may exchange before their files are removed
 
 
 def graph_edges(df: DataFrame, key: str, vec: str, k: int = 15, seed: int = 42, exact: bool = False) -> DataFrame:
@@ -283,18 +284,25 @@ def linked(rows: DataFrame, edges: DataFrame, parts: int) -> tuple[DataFrame, RD
     return place, found.rdd.map(lambda r: (r["block"], pickle.loads(r["state"])))
 
 
-def sent(m: int):
-    """A block to itself, and its part of the product with its last ``m`` columns to the blocks that it has links to."""
+def owed(m: int):
+    """A block's part of the product with its last ``m`` columns, to the blocks that it has links to."""
     def run(item):
-        block, (links, t) = item
+        _, (links, t) = item
         at, w, starts, to, pos = links
         sums = np.add.reduceat(w[:, None] * t[at, -m:], starts, axis=0)
-        yield block, (links, t)
         for c, i, j in to:
             yield c, (pos[i:j], sums[i:j])
     return run
 
 
+def sent(m: int):
+    """A block to itself, and what it owes to others."""
+    def run(item):
+        yield item
+        yield from owed(m)(item)
+    return run
+
+
 def received(m: int):
     """Blocks with ``m`` more columns: the next Chebyshev polynomial of the matrix times the first ones."""
     def run(items):
@@ -312,6 +320,51 @@ def received(m: int):
     return run
 
 
+def columns_by_block(items) -> tuple[dict, list]:
+    """Of a partition's items, per block the links and columns ``{-1: links, n: the n-th m columns}``, and what blocks were sent."""
+    states, parts = {}, []
+    for block, (a, b) in items:
+        if isinstance(a, int):
+            states.setdefault(block, {})[a] = b
+        else:
+            parts.append((block, (a, b)))
+    return states, parts
+
+
+def product(links: RDD, columns: list[RDD], m: int, parts: int) -> tuple[RDD, RDD]:
+    """The next ``block, (n, m columns)`` after ``columns``, and the sums that blocks owe each other for it.
+
+    Links and columns stay where they are; only the sums are exchanged.
+    """
+    n = len(columns)
+
+    def send(items):
+        for block, of in columns_by_block(items)[0].items():
+            yield from owed(m)((block, (of[-1], of[n - 1])))
+
+    def receive(items):
+        states, came = columns_by_block(items)
+        held = [(block, ((), np.hstack([of[c] for c in sorted(of)]))) for block, of in states.items()]
+        for block, (_, t) in received(m)([*held, *came]):
+            yield block, (n, t[:, -m:])
+
+    sums = links.union(columns[-1]).mapPartitions(send).partitionBy(parts, int)
+    last = columns[-1] if n == 1 else columns[-2].union(columns[-1])
+    return last.union(sums).mapPartitions(receive, preservesPartitioning=True), sums
+
+
+def side_by_side(columns: list[RDD]) -> RDD:
+    """``block, (n, columns)`` of all steps as ``block, ((), all columns)``."""
+    def run(items):
+        for block, of in columns_by_block(items)[0].items():
+            yield block, ((), np.hstack([of[c] for c in sorted(of)]))
+
+    every = columns[0]
+    for c in columns[1:]:
+        every = every.union(c)
+    return every.mapPartitions(run, preservesPartitioning=True)
+
+
 def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, seed: int = 42, max_rounds: int = 12, steps: int = 8, tol: float = 1e-4,
               exact: bool = False, out: str = "map") -> tuple[DataFrame, np.ndarray, float]:
     """M06 (non-linear): ``key, out array<double>[dims]`` from the neighbour graph, the eigenvalues, and the largest residual.
@@ -320,19 +373,27 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
     constant one.  A round takes ``dims + 4`` columns, multiplies them ``steps + 1``
     times by the graph's matrix in Chebyshev polynomials and keeps the best
     combinations of all columns that arose (Rayleigh-Ritz); only products of columns
-    come to the driver.  Rows and links are dealt into blocks, arrays of a task each:
-    a product is one exchange of the sums that blocks owe each other, and the products
-    of a round are one job.  Coordinates are
+    come to the driver.  Rows and links are dealt into blocks, arrays of a task each,
+    which stay where they are: a product is one exchange of the sums that blocks owe
+    each other (:func:`product`), and as many products as exchange ``ROUND_BYTES`` are one
+    job, after which their files are removed.  Coordinates are
     divided by the square root of the degree; of each, the row with the largest
     entry is positive.  Rows without a neighbour are left out.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    edges = graph_edges(df, key, vec, k, seed, exact).checkpoint(eager=True)
+    edges = settled(graph_edges(df, key, vec, k, seed, exact))
     m = dims + 4
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // LINKS))
-    place, y = linked(degree.withColumn("t", F.array(*(hash_uniform("src", seed + j) - 0.5 for j in range(m)))), edges, parts)
-    y = y.partitionBy(parts, int)
+    n_links = edges.count()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_links // LINKS))
+    place, found = linked(degree.withColumn("t", F.array(*(hash_uniform("src", seed + j) - 0.5 for j in range(m)))), edges, parts)
+    dealt = found.partitionBy(parts, int)
+    whole_blocks = kept(dealt)
+    release_shuffles(dealt)
+    forget(edges)
+    links, y = whole_blocks.mapPartitions(lambda items: ((b, (-1, s[0])) for b, s in items), True), whole_blocks.mapPartitions(lambda items: ((b, (0, s[1])) for b, s in items), True)
+    # a row's links lead to each block once at most
+    at_once = max(1, ROUND_BYTES // max(1, min(n_links, place.count() * parts) * (8 * m + 8)))
     whole = m * (steps + 2)
     # the matrix times all columns but the last block, in terms of the columns: A T0 = T1, A Tj = (Tj+1 + Tj-1) / 2
     shift = np.zeros((whole, whole - m))
@@ -344,10 +405,16 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
                 shift[m * (j + 1) + c, m * j + c] = shift[m * (j - 1) + c, m * j + c] = 0.5
     values, residual, last = np.zeros(m), np.inf, None
     for _ in range(max_rounds):
-        table = y
-        for _ in range(steps + 1):
-            table = table.flatMap(sent(m)).partitionBy(parts, int).mapPartitions(received(m), preservesPartitioning=True)
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        columns, exchanged = [y.persist(StorageLevel.MEMORY_AND_DISK)], []
+        for n in range(steps + 1):
+            new, sums = product(links, columns, m, parts)
+            columns.append(new.persist(StorageLevel.MEMORY_AND_DISK))
+            exchanged.append(sums)
+            if len(exchanged) == at_once:
+                columns[-1].count()
+                while exchanged:
+                    release_shuffles(exchanged.pop())
+        table = side_by_side(columns).persist(StorageLevel.MEMORY_AND_DISK)
         table.checkpoint()
         g = added(table, lambda item: item[1][1].T @ item[1][1])
         inner = whole - m
@@ -364,17 +431,22 @@ def eigenmaps(df: DataFrame, key: str, vec: str, dims: int = 2, k: int = 15, see
         residual = float(np.sqrt(np.maximum(square[: dims + 1], 0)).max())
         mix = np.zeros((whole, m))
         mix[:inner, :by.shape[1]] = by
-        y = table.mapValues(lambda state, mix=mix: (state[0], state[1] @ mix))
-        held, last = last, table
-        if held is not None:
-            held.unpersist()
+        y = table.mapValues(lambda state, mix=mix: (0, state[1] @ mix))
+        for c in columns:
+            c.unpersist()
+        for sums in exchanged:
+            release_shuffles(sums)
+        if last is not None:
+            forget(last)
+        last = table
         if residual < tol:
             break
     rows = y.flatMap(lambda item: ((item[0], pos, t) for pos, t in enumerate(item[1][1].tolist())))
-    y = df.sparkSession.createDataFrame(rows, "block int, pos int, t array<double>").join(place.select("block", "pos", "src", "n"), ["block", "pos"]).checkpoint(eager=True)
+    y = df.sparkSession.createDataFrame(rows, "block int, pos int, t array<double>").join(place.select("block", "pos", "src", "n"), ["block", "pos"])
+    y = settled(y)
     if last is not None:
-        last.unpersist()
-    kept = [F.col("t")[j + 1] for j in range(dims)]
-    signs = y.agg(*(F.max_by(F.signum(c), F.struct(F.round(F.abs(c), 9), hash_hex("src", seed))) for c in kept)).head()
-    scaled = y.select(F.col("src").alias(key), F.array(*(c * float(s or 1.0) / F.sqrt("n") for c, s in zip(kept, signs))).alias(out))
+        forget(last)
+    shown = [F.col("t")[j + 1] for j in range(dims)]
+    signs = y.agg(*(F.max_by(F.signum(c), F.struct(F.round(F.abs(c), 9), hash_hex("src", seed))) for c in shown)).head()
+    scaled = y.select(F.col("src").alias(key), F.array(*(c * float(s or 1.0) / F.sqrt("n") for c, s in zip(shown, signs))).alias(out))
     return scaled, values[: dims + 1], residual

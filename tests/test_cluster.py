@@ -131,3 +131,41 @@ def test_a_scan_of_kmeans_is_one_stage(spark):
         sums, n, cost = found[r]
         assert np.allclose(sums, [x[at == k].sum(axis=0) for k in range(len(c))]) and (n == np.bincount(at, minlength=len(c))).all() and cost == pytest.approx(d.sum())
     data.unpersist()
+
+
+def test_links_and_columns_stay_where_they_are(spark):
+    """Products against the dense matrix; what has no partner in another block is not exchanged."""
+    rng = np.random.default_rng(10)
+    a = np.triu(rng.random((30, 30)) < 0.3, 1) * rng.random((30, 30))
+    a = a + a.T
+    t = rng.normal(size=(30, 2))
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src int, dst int, w double")
+    rows = spark.createDataFrame([(i, [float(v) for v in t[i]]) for i in range(30)], "src int, t array<double>")
+    cluster.ensure_checkpoint_dir(spark)
+    place, state = cluster.linked(rows, edges, 3)
+    state = state.partitionBy(3, int).persist()
+    links, columns = (state.mapPartitions(lambda items, n=n: ((b, (n, s[n + 1])) for b, s in items), True) for n in (-1, 0))
+    columns, want = [columns], [t, a @ t]
+    for n in range(3):
+        new, sums = cluster.product(links, columns, 2, 3)
+        assert new.getNumPartitions() == 3 and all(len(x) == 2 and x[1].shape[1] == 2 for _, x in sums.collect())
+        columns.append(new.persist())
+        if n:
+            want.append(2 * a @ want[-1] - want[-2])
+    found = dict(cluster.side_by_side(columns).mapValues(lambda s: s[1]).collect())
+    for r in place.collect():
+        assert np.allclose(found[r.block][r.pos], np.hstack(want)[r.src])
+    for c in (state, *columns):
+        c.unpersist()
+
+
+@pytest.mark.parametrize("room", [1, 1 << 30])
+def test_rounds_in_parts_find_the_same_coordinates(spark, monkeypatch, room):
+    monkeypatch.setattr(cluster, "ROUND_BYTES", room)
+    x = np.random.default_rng(11).normal(size=(40, 3))
+    got, values, _ = cluster.eigenmaps(frame(spark, x), "id", "v", dims=2, k=5, exact=True, steps=3, max_rounds=2, tol=0)
+    edges = cluster.graph_edges(frame(spark, x), "id", "v", k=5, exact=True).collect()
+    a = np.zeros((40, 40))
+    for e in edges:
+        a[e.src, e.dst] = e.w
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(a))[::-1][:3], atol=1e-2) and got.count() == 40
